@@ -25,35 +25,31 @@ MOST_ROUNDS = 200
 def _contract(links: DataFrame, paths: bool) -> tuple[list[DataFrame], DataFrame]:
     """Records of what was taken off, round by round, and the core: (node, parent, steps, via)."""
     via = F.array().cast("array<string>") if paths else F.lit(None).cast("string")
-    live = cut(links.select("node", "parent", F.lit(1).cast("long").alias("steps"), via.alias("via")))
+    live = links.select("node", "parent", F.lit(1).cast("long").alias("steps"), via.alias("via"))
     records: list[DataFrame] = []
     for turn in range(MOST_ROUNDS):
-        n = live.count()
-        if not n:
-            break
-        loops = live.filter("node = parent")
         # children per node: one row per parent, partly aggregated before the shuffle
-        kids = live.filter("node <> parent").groupBy("parent").agg(F.count("*").alias("kids"), F.min("node").alias("kid"))
-        known = live.join(kids.withColumnsRenamed({"parent": "p"}), F.col("node") == F.col("p"), "left")
+        kids = live.filter("node <> parent").groupBy(F.col("parent").alias("p")).agg(F.count("*").alias("kids"), F.min("node").alias("kid"))
+        known = live.join(kids, F.col("node") == F.col("p"), "left")
         known = cut(known.select("node", "parent", "steps", "via", F.coalesce("kids", F.lit(0)).alias("kids"), "kid"))
+        n, loops = known.agg(F.count("*"), F.count_if(F.col("node") == F.col("parent"))).first()
+        if n == loops:
+            return records, known.select("node", "parent", "steps", "via")
         leaves = known.filter("kids = 0 and node <> parent").select("node", "parent", "steps", "via")
         # a chain node goes if its coin shows heads and its child, if it lies in the chain too, shows tails
-        coin = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 1
+        coin = lambda c: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2)) == 1  # noqa: B023, E731
         chain = known.filter((F.col("kids") == 1) & (F.col("node") != F.col("parent")) & coin("node") & ~coin("kid"))
-        spliced = chain.select(F.col("node").alias("mid"), F.col("parent").alias("over"), F.col("steps").alias("more"), F.col("via").alias("mid_via"), "kid")
+        spliced = chain.select(F.col("node").alias("mid"), F.col("parent").alias("over"), F.col("steps").alias("more"), F.col("via").alias("mid_via"))
         records.append(leaves)
         records.append(chain.select("node", "parent", "steps", "via"))
-        rest = known.join(chain.select("node"), "node", "left_anti").filter("kids > 0 or node = parent").select("node", "parent", "steps", "via")
-        # the only child may itself be a leaf that has just gone: then it keeps its recorded parent, recorded here too
+        # what stays hangs on the parent of its parent if that has gone; a leaf that has gone keeps its recorded parent
+        stays = (F.col("kids") > 0) | (F.col("node") == F.col("parent"))
+        gone = (F.col("kids") == 1) & (F.col("node") != F.col("parent")) & coin("node") & ~coin("kid")
+        rest = known.filter(stays & ~gone).select("node", "parent", "steps", "via")
+        rest = rest.join(spliced, (F.col("parent") == F.col("mid")) & (F.col("node") != F.col("parent")), "left")
         hung = F.concat("mid_via", F.array("mid"), "via") if paths else F.col("via")
-        rest = rest.join(spliced.drop("kid"), (F.col("parent") == F.col("mid")) & (F.col("node") != F.col("parent")), "left")
-        rest = rest.select("node", F.coalesce("over", "parent").alias("parent"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.when(F.col("mid").isNotNull(), hung).otherwise(F.col("via")).alias("via"))
-        live = cut(rest)
-        if live.count() == n and n == loops.count():
-            break
-    else:
-        raise RuntimeError("the contraction did not end")
-    return records, live
+        live = rest.select("node", F.coalesce("over", "parent").alias("parent"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.when(F.col("mid").isNotNull(), hung).otherwise(F.col("via")).alias("via"))
+    raise RuntimeError("the contraction did not end")
 
 
 def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:

@@ -104,7 +104,7 @@ def orphans(refs: DataFrame, deltas: list[DataFrame]) -> DataFrame:
         # at most HOT_SHARE keys, as each has more than that part of all references
         few = F.broadcast(hot.select(*on))
         salted = distinct.join(few, on, "left_semi").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
-        grid = hot.select(*on, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+        grid = hot.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
         parts.append(salted.join(grid, [*on, "salt"], "left_semi").select(*cols))
         plain = distinct.join(few, on, "left_anti")
         missing = missing.filter(F.col("refs") <= hot_from)

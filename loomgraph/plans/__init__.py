@@ -1,6 +1,6 @@
 """All queries by name and, where SQL can express them, the SQL that gives the same rows."""
 
-from . import general
+from . import general, reference
 
-QUERIES = {**general.QUERIES}
-ORACLE = {**general.ORACLE}
+QUERIES = {**general.QUERIES, **reference.QUERIES}
+ORACLE = {**general.ORACLE, **reference.ORACLE}

@@ -369,3 +369,306 @@ def agg_reciprocal_rank(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT model, variant, count(*) AS n, count(DISTINCT method_id) AS methods FROM method_embeddings GROUP BY ALL")
 def agg_model_counts(spark: SparkSession, folder: str) -> DataFrame:
     return t(spark, folder, "method_embeddings").groupBy("model", "variant").agg(F.count("*").alias("n"), F.count_distinct("method_id").alias("methods"))
+
+
+# ---------------------------------------------------------------- windows and sets
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_partkey) AS same_part FROM lineitem")
+def window_count(spark: SparkSession, folder: str) -> DataFrame:
+    li = t(spark, folder, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", F.count("*").over(Window.partitionBy("l_partkey")).alias("same_part"))
+
+
+@query("WITH " + METHODS + " SELECT id, row_number() OVER (PARTITION BY file_path ORDER BY start_line, id) AS position FROM (SELECT id, min(file_path) AS file_path, min(start_line) AS start_line FROM methods GROUP BY id)")
+def window_file_methods(spark: SparkSession, folder: str) -> DataFrame:
+    m = t(spark, folder, "methods").groupBy("id").agg(F.min("file_path").alias("file_path"), F.min("start_line").alias("start_line"))
+    return cg.files_methods(m, m.select("file_path")).select("id", "position")
+
+
+@query("WITH " + PAIRS + " SELECT id FROM (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs)")
+def set_union(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+
+
+@query("WITH " + PAIRS + " SELECT DISTINCT src AS id FROM pairs EXCEPT SELECT dst FROM pairs")
+def set_except(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+
+
+# ---------------------------------------------------------------- traversal; the starting points are a query's arguments
+
+REACH = "WITH RECURSIVE " + PAIRS + ", seeds AS (SELECT DISTINCT src AS id FROM pairs WHERE src LIKE '0a%')"
+
+
+@query(REACH + ", walk AS (SELECT id, 0 AS depth FROM seeds UNION SELECT p.dst, w.depth + 1 FROM walk w JOIN pairs p ON p.src = w.id WHERE w.depth < 3) SELECT id, min(depth) AS depth FROM walk GROUP BY id")
+def graph_levels(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.levels(e, seeds_of(e, "0a"), 3)
+
+
+@query("WITH RECURSIVE " + PAIRS + ", seeds AS (SELECT DISTINCT dst AS id FROM pairs WHERE dst LIKE '0%'), walk AS (SELECT id, 0 AS depth FROM seeds UNION SELECT p.src, w.depth + 1 FROM walk w JOIN pairs p ON p.dst = w.id WHERE w.depth < 3) SELECT id, min(depth) AS depth FROM walk GROUP BY id HAVING min(depth) > 0")
+def graph_callers(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.callers(e, e.filter("dst like '0%'").select(F.col("dst").alias("id")), 3)
+
+
+@query(REACH + ", b AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs), walk AS (SELECT id, 0 AS depth FROM seeds UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN b ON b.src = w.id WHERE w.depth < 2) SELECT id, min(depth) AS depth FROM walk GROUP BY id HAVING min(depth) > 0")
+def graph_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.neighbourhood(e, seeds_of(e, "0a"), 2)
+
+
+@query(REACH + ", b AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs), walk AS (SELECT id, 0 AS depth FROM seeds UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN b ON b.src = w.id WHERE w.depth < 2) SELECT src, dst FROM pairs WHERE src IN (SELECT id FROM walk) AND dst IN (SELECT id FROM walk)")
+def graph_subgraph(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.subgraph(e, seeds_of(e, "0a"), 2)[1]
+
+
+@query(REACH + ", walk AS (SELECT id, [id] AS path FROM seeds UNION ALL SELECT p.dst, list_append(w.path, p.dst) FROM walk w JOIN pairs p ON p.src = w.id WHERE len(w.path) <= 3 AND NOT list_contains(w.path, p.dst)) SELECT id, array_to_string(path, '>') AS path FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(path), path) = 1")
+def graph_shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.shortest_paths(e, seeds_of(e, "0a"), 3).select("id", F.array_join("path", ">").alias("path"))
+
+
+@query(REACH + ", walk AS (SELECT src, dst, 1 AS depth FROM pairs WHERE src LIKE '0a%' UNION SELECT w.src, p.dst, w.depth + 1 FROM walk w JOIN pairs p ON p.src = w.dst WHERE w.depth < 4) SELECT src, dst, min(depth) AS depth FROM walk GROUP BY ALL")
+def graph_closure(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.closure(e, seeds_of(e, "0a"), 4)
+
+
+@query("WITH " + EDGES + " SELECT id, sum(o) AS out, sum(i) AS \"in\" FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id")
+def graph_degrees(spark: SparkSession, folder: str) -> DataFrame:
+    return traversal.degrees(edges_of(spark, folder))
+
+
+@query("WITH RECURSIVE " + PAIRS + ", walk AS (SELECT src, dst, 1 AS n FROM pairs WHERE src NOT LIKE '%3' UNION SELECT w.src, p.dst, w.n + 1 FROM walk w JOIN pairs p ON p.src = w.dst WHERE w.dst LIKE '%3' AND w.n < 20) SELECT DISTINCT src, dst FROM walk WHERE dst NOT LIKE '%3'")
+def graph_bridges(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    gone = e.select(F.col("src").alias("id")).union(e.select("dst")).filter("id like '%3'")
+    return traversal.bridges(e, gone, 20)
+
+
+@query(REACH + ", walk AS (SELECT src, dst, 1 AS depth FROM pairs WHERE src LIKE '0a%' UNION SELECT w.src, p.dst, w.depth + 1 FROM walk w JOIN pairs p ON p.src = w.dst WHERE w.depth < 4), e AS (SELECT src, count(DISTINCT dst) AS n FROM walk WHERE dst NOT IN (SELECT src FROM pairs) GROUP BY 1) SELECT s.id, coalesce(n, 0) AS sinks, round(log2(coalesce(n, 0) + 1), 6) AS entropy FROM seeds s LEFT JOIN e ON e.src = s.id")
+def graph_sinks(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.sinks(e, seeds_of(e, "0a"), 4).withColumn("entropy", F.round("entropy", 6))
+
+
+FLOW = REACH + ", walk AS (SELECT id, 0 AS depth FROM seeds UNION SELECT p.dst, w.depth + 1 FROM walk w JOIN pairs p ON p.src = w.id WHERE w.depth < 3), n AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"
+
+
+@query(FLOW + ", f AS (SELECT p.src, p.dst FROM pairs p JOIN n a ON a.id = p.src AND a.depth < 3 JOIN n b ON b.id = p.dst), d AS (SELECT n.id, n.depth, (SELECT count(*) FROM f WHERE f.src = n.id) AS out, (SELECT count(*) FROM f WHERE f.dst = n.id) AS inn FROM n) SELECT id, depth, out, inn AS \"in\", CAST((CASE depth WHEN 0 THEN 100 WHEN 1 THEN 30 WHEN 2 THEN 20 WHEN 3 THEN 10 ELSE 0 END) + (CASE WHEN out > 0 THEN 15 ELSE -10 END) + (CASE WHEN out >= 2 THEN 10 ELSE 0 END) + (CASE WHEN inn >= 2 THEN 10 ELSE 0 END) - (CASE WHEN out >= 5 THEN 10 ELSE 0 END) AS DOUBLE) AS rank, CASE WHEN depth <= 2 AND out > 0 AND inn <= 2 THEN 'primary' WHEN out >= 5 OR inn >= 3 OR out = 0 THEN 'utility' ELSE 'supporting' END AS tier, CASE WHEN depth <= 2 AND out > 0 AND inn <= 2 THEN 'high' WHEN out >= 5 OR inn >= 3 OR out = 0 OR depth <= 3 THEN 'medium' ELSE 'low' END AS confidence FROM d")
+def graph_flow_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    nodes, walked, _ = traversal.stitched_flow(e, seeds_of(e, "0a"), 3)
+    return traversal.flow_ranks(nodes, walked)
+
+
+@query(FLOW + ", f AS (SELECT p.src, p.dst, a.depth AS da, b.depth AS db FROM pairs p JOIN n a ON a.id = p.src AND a.depth < 3 JOIN n b ON b.id = p.dst) SELECT id, 'max_depth' AS reason FROM n WHERE depth >= 3 UNION SELECT id, 'no_callees' FROM n WHERE depth < 3 AND id NOT IN (SELECT src FROM pairs) UNION SELECT src, 'cycle' FROM f WHERE db < da OR src = dst")
+def graph_flow_stops(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.stitched_flow(e, seeds_of(e, "0a"), 3)[2]
+
+
+@query("WITH " + PAIRS + " SELECT i.id, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM pairs WHERE src = i.id), '') AS calls, coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM pairs WHERE dst = i.id), '') AS called_by FROM (SELECT DISTINCT id FROM methods QUALIFY max(indexed_at) OVER (PARTITION BY id) IS NOT NULL) i WHERE i.id IN (SELECT id FROM (SELECT id, deleted_at FROM methods QUALIFY rank() OVER (PARTITION BY id ORDER BY indexed_at DESC) = 1) GROUP BY id HAVING count(*) = count(*) FILTER (deleted_at IS NULL))")
+def graph_enriched(spark: SparkSession, folder: str) -> DataFrame:
+    m, s = t(spark, folder, "methods", "callsites")
+    # of the rows indexed last, those of a method deleted in any of them are left out
+    last = m.select("id", "indexed_at", "deleted_at").withColumn("r", F.rank().over(Window.partitionBy("id").orderBy(F.desc("indexed_at")))).filter("r = 1 and indexed_at is not null")
+    alive = last.groupBy("id").agg(F.count("deleted_at").alias("gone")).filter("gone = 0").select("id")
+    g = cg.CodeGraph(m, alive, s).enriched_methods()
+    return g.select("id", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by"))
+
+
+# ---------------------------------------------------------------- text and vectors
+
+
+@query(r"SELECT DISTINCT id, array_to_string(list_filter(regexp_split_to_array(lower(coalesce(signature, '')), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') AS tokens FROM methods")
+def text_index_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return t(spark, folder, "methods").select("id", F.array_join(text.index_tokens(F.col("signature")), " ").alias("tokens")).distinct()
+
+
+@query()
+def text_rank_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    names = t(spark, folder, "methods").select("method_name").distinct()
+    return names.select("method_name", F.array_join(F.array_sort(text.rank_tokens(F.col("method_name"))), " ").alias("tokens"))
+
+
+@query()
+def text_stems(spark: SparkSession, folder: str) -> DataFrame:
+    titles = t(spark, folder, "doc_chunks").filter("title is not null").select("title").distinct()
+    return titles.select("title", text.without_stop_words(F.col("title")).alias("kept"))
+
+
+BM25 = r"""
+WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT id, len(w) AS l, len(list_filter(w, lambda x: starts_with(x, 'invoice'))) AS a, len(list_filter(w, lambda x: starts_with(x, 'retry'))) AS b FROM d),
+s AS (SELECT count(*) AS n, avg(l) AS avg, count(*) FILTER (a > 0) AS na, count(*) FILTER (b > 0) AS nb FROM f),
+i AS (SELECT *, CASE WHEN ln((n - na + 0.5) / (na + 0.5)) > 0 THEN ln((n - na + 0.5) / (na + 0.5)) ELSE 1e-6 END AS ia, CASE WHEN ln((n - nb + 0.5) / (nb + 0.5)) > 0 THEN ln((n - nb + 0.5) / (nb + 0.5)) ELSE 1e-6 END AS ib FROM s)
+SELECT id, round(-(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / avg)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / avg))), 6) AS score, CAST(a > 0 AS INT) + CAST(b > 0 AS INT) AS terms FROM f, i WHERE a > 0 OR b > 0
+"""
+
+
+@query(BM25)
+def search_bm25(spark: SparkSession, folder: str) -> DataFrame:
+    d = t(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return search.bm25(d, ["invoice", "retry"], ["text"], "doc_id").withColumn("score", F.round("score", 6))
+
+
+@query()
+def search_two_phase(spark: SparkSession, folder: str) -> DataFrame:
+    m = one_per_method(t(spark, folder, "methods"))
+    return search.two_phase(m, ["invoice", "archive"]).select("id", F.round("score", 6).alias("score"), "bucket")
+
+
+@query("WITH " + METHODS + ", p AS (SELECT *, lower(coalesce(method_name, '')) AS n, lower(coalesce(signature, '')) AS g, lower(coalesce(file_path, '')) AS f FROM m), x AS (SELECT *, CASE WHEN contains(f, '/') THEN regexp_replace(f, '/[^/]*$', '') ELSE '' END AS folder, regexp_replace(split_part(f, '/', -1), '\\.[^.]*$', '') AS file FROM p) SELECT id, round((CASE WHEN n = 'invoice' THEN 2.0 WHEN contains(n, 'invoice') THEN 1.0 ELSE 0 END) + (CASE WHEN contains(g, 'invoice') THEN 0.5 ELSE 0 END) + (CASE WHEN contains(file, 'invoice') THEN 1.5 WHEN contains(folder, 'invoice') THEN 0.5 ELSE 0 END) - (CASE WHEN regexp_matches(f, '/tests?/|tests?\\.java$') THEN 1.0 ELSE 0 END) - (CASE WHEN regexp_matches(f, '/generated/|/gen/|\\.generated\\.|_generated\\.|build/generated|target/generated') THEN 10.0 ELSE 0 END), 6) AS score FROM x")
+def search_hit_score(spark: SparkSession, folder: str) -> DataFrame:
+    m = one_per_method(t(spark, folder, "methods"))
+    s = search.hit_score(F.lit(0.0), ["invoice"], F.col("method_name"), F.col("signature"), F.col("file_path"), F.lit(None).cast("array<string>"))
+    return m.select("id", F.round(s, 6).alias("score"))
+
+
+@query("SELECT id, (CAST(contains(b, 'invoice') AS INT) + CAST(contains(b, 'archive') AS INT)) AS matched FROM (SELECT id, lower(concat_ws(' ', method_name, signature, source)) AS b FROM methods) WHERE contains(b, 'invoice') OR contains(b, 'archive')")
+def search_substring(spark: SparkSession, folder: str) -> DataFrame:
+    return search.substring_hits(t(spark, folder, "methods"), ["invoice", "archive"])
+
+
+@query("WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 5) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) DESC, vec_id LIMIT 10")
+def search_dense(spark: SparkSession, folder: str) -> DataFrame:
+    v = t(spark, folder, "embeddings")
+    q = v.orderBy("vec_id").first()
+    return search.dense_hits(v, q["embedding"], 10, "vec_id").withColumn("similarity", F.round("similarity", 5))
+
+
+@query("WITH e AS (SELECT event_id AS id, -value AS score, CASE WHEN event_type = 'view' THEN NULL ELSE value / 1000 END AS similarity, CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END AS heuristic FROM events WHERE value IS NOT NULL), b AS (SELECT min(-score) AS lo, max(-score) AS hi FROM e) SELECT id, round(CASE WHEN similarity IS NULL THEN 0.8 * (-score - lo) / (hi - lo) + 0.2 * heuristic ELSE 0.6 * (-score - lo) / (hi - lo) + 0.2 * similarity + 0.2 * heuristic END, 6) AS blend FROM e, b")
+def search_blend(spark: SparkSession, folder: str) -> DataFrame:
+    e = t(spark, folder, "events").filter("value is not null")
+    hits = e.select(F.col("event_id").alias("id"), (-F.col("value")).alias("score"), F.when(F.col("event_type") != "view", F.col("value") / 1000).alias("similarity"), F.when(F.col("event_type") == "click", 1.0).otherwise(0.0).alias("heuristic"))
+    return search.blended(hits).select("id", F.round("blend", 6).alias("blend"))
+
+
+# ---------------------------------------------------------------- resolution
+
+
+def calls_of(callsites: DataFrame) -> DataFrame:
+    least = ["caller_method_id", "callee_name", "receiver", "argument_count", "text", "line", "column_no"]
+    one = callsites.groupBy(F.col("id").alias("callsite_id")).agg(*(F.min(c).alias(c) for c in least), F.min("receiver_type_raw").alias("receiver_type"), F.min("argument_types").alias("argument_types"))
+    return one
+
+
+@query()
+def resolve_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    m, c, s = t(spark, folder, "methods", "classes", "callsites")
+    methods = m.groupBy("id").agg(*(F.min(x).alias(x) for x in ("class_full_name", "method_name", "parameter_types", "return_type")))
+    return resolve.resolve(calls_of(s), methods, c, cg.inheritance_edges(c)).select("callsite_id", "status", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query("""
+WITH m AS (SELECT id, lower(split_part(min(class_full_name), '.', -1)) AS r, min(method_name) AS name, len(min(parameter_types)) AS arity FROM methods GROUP BY id),
+k AS (SELECT r, name, arity, min(id) AS first FROM m GROUP BY ALL), a AS (SELECT name, arity, list_sort(list(id)) AS "all", min(id) AS one FROM m GROUP BY ALL), n AS (SELECT name, min(id) AS anyone FROM m GROUP BY ALL),
+c AS (SELECT id, min(callee_name) AS name, lower(min(receiver)) AS r, coalesce(min(argument_count), -1) AS arity FROM callsites GROUP BY id),
+j AS (SELECT c.id, k.first, a."all", b.one AS less, d.one AS more, n.anyone FROM c LEFT JOIN k ON k.r = c.r AND k.name = c.name AND k.arity = c.arity LEFT JOIN a ON a.name = c.name AND a.arity = c.arity LEFT JOIN a b ON b.name = c.name AND b.arity = c.arity - 1 LEFT JOIN a d ON d.name = c.name AND d.arity = c.arity + 1 LEFT JOIN n ON n.name = c.name)
+SELECT id AS callsite_id, CASE WHEN first IS NOT NULL THEN 'resolved_receiver' WHEN "all" IS NOT NULL THEN 'resolved_arity' WHEN coalesce(less, more) IS NOT NULL THEN 'resolved_close_arity' WHEN anyone IS NOT NULL THEN 'resolved_name_only' ELSE 'unresolved' END AS status,
+CASE WHEN first IS NOT NULL THEN first WHEN "all" IS NOT NULL THEN array_to_string("all", ',') ELSE coalesce(less, more, anyone, '') END AS candidates FROM j
+""")
+def resolve_dynamic(spark: SparkSession, folder: str) -> DataFrame:
+    m, s = t(spark, folder, "methods", "callsites")
+    methods = m.groupBy("id").agg(*(F.min(x).alias(x) for x in ("class_full_name", "method_name", "parameter_types")))
+    return resolve.dynamic_cascade(calls_of(s), methods).select("callsite_id", "status", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query()
+def resolve_types(spark: SparkSession, folder: str) -> DataFrame:
+    c, s, m = t(spark, folder, "classes", "callsites", "methods")
+    caller = m.groupBy(F.col("id").alias("caller_method_id")).agg(F.min("class_full_name").alias("caller_class"))
+    pairs = s.join(caller, "caller_method_id").select("caller_class", F.col("receiver_type_raw").alias("written"))
+    looked = c.groupBy("full_name").agg(F.min("package_name").alias("package_name"), F.min("imports").alias("imports"))
+    return resolve.normalised_types(pairs, looked)
+
+
+@query("WITH " + EDGES + ", s AS (SELECT DISTINCT full_name FROM classes WHERE len(list_filter(annotations, lambda a: list_contains(['Service','Component','Repository','Controller','RestController','Configuration'], regexp_extract(a, '^[@\\[]?(?:[\\w.]*\\.)?(\\w+)', 1)))) > 0 AND full_name NOT LIKE '%Service'), p AS (SELECT DISTINCT id FROM methods WHERE class_full_name IN (SELECT full_name FROM s)) SELECT callsite_id, src, dst, dst IN (SELECT id FROM p) AS phantom FROM edges")
+def resolve_phantoms(spark: SparkSession, folder: str) -> DataFrame:
+    m, c = t(spark, folder, "methods", "classes")
+    confirmed = c.filter("full_name like '%Service'").select("full_name").distinct()
+    return resolve.phantom_edges(edges_of(spark, folder), m, c, confirmed)
+
+
+# ---------------------------------------------------------------- changes
+
+
+@query("WITH o AS (SELECT p_partkey AS k, p_size AS s FROM part WHERE p_partkey % 10 <> 0), n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_size + 1 ELSE p_size END AS s FROM part WHERE p_partkey % 11 <> 0) SELECT coalesce(o.k, n.k) AS p_partkey, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.k = n.k WHERE o.k IS NULL OR n.k IS NULL OR o.s <> n.s")
+def change_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    p = t(spark, folder, "part").select("p_partkey", "p_size")
+    new = p.filter("p_partkey % 11 <> 0").withColumn("p_size", F.when(F.expr("p_partkey % 3 = 0"), F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return changes.fingerprint_diff(p.filter("p_partkey % 10 <> 0"), new, "p_partkey", ["p_size"])
+
+
+@query("""
+WITH o AS (SELECT signature, file_path, count(*) AS n, min(start_line) AS l, min(coalesce(source, '')) AS s FROM methods WHERE variant = 'main' GROUP BY ALL),
+v AS (SELECT signature, file_path, count(*) AS n, min(start_line) AS l, min(coalesce(source, '')) AS s FROM methods WHERE variant = 'validated' GROUP BY ALL),
+d AS (SELECT coalesce(o.file_path, v.file_path) AS file_path, o.n IS NULL AS added, v.n IS NULL AS removed, coalesce(o.n = 1 AND v.n = 1 AND o.l <> v.l, false) AS shifted, coalesce(o.n = 1 AND v.n = 1 AND o.s <> v.s, false) AS edited FROM o FULL JOIN v ON o.signature = v.signature AND o.file_path = v.file_path)
+SELECT file_path, CASE WHEN bool_or(added OR removed) THEN 'structural' WHEN bool_or(edited) THEN 'callsite_change' WHEN bool_or(shifted) THEN 'metadata_only' ELSE 'no_change' END AS change_type FROM d GROUP BY file_path
+""")
+def change_records(spark: SparkSession, folder: str) -> DataFrame:
+    m = t(spark, folder, "methods")
+    return changes.file_changes(changes.record_diff(m.filter("variant = 'main'"), m.filter("variant = 'validated'")))
+
+
+@query("SELECT module_id, max(tool) AS tool FROM (SELECT module_id, tool FROM modules WHERE tool IS NOT NULL UNION ALL SELECT module_id, 'unknown' FROM modules WHERE tool IS NULL) GROUP BY module_id")
+def change_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    m = t(spark, folder, "modules")
+    fix = m.filter("tool is null").withColumn("tool", F.lit("unknown"))
+    return changes.upsert(m, fix, ["module_id"]).select("module_id", "tool")
+
+
+@query("SELECT method_id, model, text_hash FROM method_embeddings WHERE variant = 'main' AND (method_id, model, text_hash) NOT IN (SELECT method_id, model, text_hash FROM method_embeddings WHERE variant = 'validated' AND method_id IS NOT NULL AND text_hash IS NOT NULL)")
+def change_hash_gate(spark: SparkSession, folder: str) -> DataFrame:
+    e = t(spark, folder, "method_embeddings").select("method_id", "model", "text_hash", "variant")
+    return changes.hash_gate(e.filter("variant = 'main'").drop("variant"), e.filter("variant = 'validated'"))
+
+
+@query("SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS events FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE > ts THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, g")
+def stream_bursts(spark: SparkSession, folder: str) -> DataFrame:
+    e = t(spark, folder, "events")
+    return debounce.bursts(e, "user_id", "ts", "30 minutes", what="event_type").drop("paths")
+
+
+# ---------------------------------------------------------------- documents
+
+
+@query("SELECT id, name FROM (SELECT DISTINCT id, unnest(regexp_extract_all(coalesce(content, ''), '\\b[A-Z][a-zA-Z0-9]{2,}\\b')) AS name FROM doc_chunks) WHERE name IN (SELECT name FROM classes UNION SELECT full_name FROM classes UNION SELECT method_name FROM methods WHERE length(method_name) > 2)")
+def docs_symbol_links(spark: SparkSession, folder: str) -> DataFrame:
+    d, c, m = t(spark, folder, "doc_chunks", "classes", "methods")
+    return docs.symbol_links(d, docs.graph_names(c, m))
+
+
+@query("WITH l AS (SELECT DISTINCT id, trim(unnest(string_split(coalesce(linked_classes, ''), ','))) AS name, source_path FROM doc_chunks), k AS (SELECT l.id, count(*) AS links, count(*) FILTER (name NOT IN (SELECT name FROM classes WHERE name IS NOT NULL)) AS gone FROM l WHERE name <> '' GROUP BY 1) SELECT id, links, gone, CASE WHEN gone = links THEN 'dropped' WHEN gone > 0 THEN 'partial' ELSE 'fresh' END AS state FROM k")
+def docs_staleness(spark: SparkSession, folder: str) -> DataFrame:
+    d, c = t(spark, folder, "doc_chunks", "classes")
+    return docs.stale_chunks(d, c)
+
+
+@query()
+def docs_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    d = t(spark, folder, "documents").filter("text is not null")
+    return docs.markdown_chunks(d.select(F.col("doc_id").cast("string").alias("path"), "text"))
+
+
+@query("SELECT DISTINCT source_path AS src, id AS dst, 'holds' AS kind FROM doc_chunks UNION SELECT id, name, 'names' FROM (SELECT id, trim(unnest(string_split(coalesce(linked_classes, ''), ','))) AS name FROM doc_chunks) WHERE name IN (SELECT name FROM classes)")
+def docs_graph(spark: SparkSession, folder: str) -> DataFrame:
+    d, c = t(spark, folder, "doc_chunks", "classes")
+    return docs.doc_graph(d, c)[1]
+
+
+@query("SELECT name, count(DISTINCT id) AS n FROM (SELECT id, unnest(regexp_extract_all(content, '`(?:\\w+\\.)?([A-Za-z]\\w+)`', 1)) AS name FROM doc_chunks) WHERE name NOT IN (SELECT name FROM classes WHERE name IS NOT NULL UNION SELECT full_name FROM classes WHERE full_name IS NOT NULL UNION SELECT method_name FROM methods WHERE length(method_name) > 2) GROUP BY name")
+def docs_unknown_references(spark: SparkSession, folder: str) -> DataFrame:
+    d, c, m = t(spark, folder, "doc_chunks", "classes", "methods")
+    return docs.unknown_references(d, docs.graph_names(c, m))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
+def source_json_fields(spark: SparkSession, folder: str) -> DataFrame:
+    return t(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
