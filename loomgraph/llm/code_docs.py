@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -25,14 +24,14 @@ MIN_WORDS = 6
 BLANK_LINES = {"java": 1, "scala": 1, "typescript": 1, "csharp": 1, "go": 0}
 
 _MODIFIERS = r"(?:(?:public|private|protected|internal|static|final|abstract|async|override|export|default|sealed|virtual|readonly|synchronized|native|implicit|inline|lazy|get|set|unsafe|partial|extern|new|declare)\s+)*"
-#: Declarations by language; %s is the method's name.
+#: Declarations by language; the group is the method's name.
 _DECLARATION = {
-    "java": _MODIFIERS + r"(?:<[^>]+>\s*)?(?:[\w.$]+(?:<.*>)?(?:\[\])*\s+)?%s\s*\(",
-    "csharp": _MODIFIERS + r"(?:[\w.]+(?:<.*>)?\??(?:\[\])*\s+)?%s\s*(?:<[^>(]*>)?\s*\(",
-    "typescript": _MODIFIERS + r"(?:(?:function\s*\*?|const|let|var)\s+)?#?%s\s*(?:<[^>(]*>)?\s*(?:\(|[=:])",
-    "scala": r"(?:(?:final|override|private|protected|implicit|inline|lazy)(?:\[\w+\])?\s+)*def\s+%s\b",
-    "go": r"func\s+(?:\([^)]*\)\s*)?%s\s*[(\[]",
-    "python": r"(?:async\s+)?def\s+%s\s*[(\[]",
+    "java": _MODIFIERS + r"(?:<[^>]+>\s*)?(?:[\w.$]+(?:<.*>)?(?:\[\])*\s+)?([\w$]+)\s*\(",
+    "csharp": _MODIFIERS + r"(?:[\w.]+(?:<.*>)?\??(?:\[\])*\s+)?([\w$]+)\s*(?:<[^>(]*>)?\s*\(",
+    "typescript": _MODIFIERS + r"(?:(?:function\s*\*?|const|let|var)\s+)?#?([\w$]+)\s*(?:<[^>(]*>)?\s*(?:\(|[=:])",
+    "scala": r"(?:(?:final|override|private|protected|implicit|inline|lazy)(?:\[\w+\])?\s+)*def\s+([\w$]+)\b",
+    "go": r"func\s+(?:\([^)]*\)\s*)?([\w$]+)\s*[(\[]",
+    "python": r"(?:async\s+)?def\s+([\w$]+)\s*[(\[]",
 }
 _STATEMENT = re.compile(r"^(?:return|throw|await|new|else|if|for|while|switch|yield|raise)\b")
 _ANNOTATION = re.compile(r"^(?:@[\w.$]+(?:\(.*\))?|\[[\w.]+(?:\(.*\))?(?:,.*)?\]|\)|@[\w.$]+\(.*)\s*$")
@@ -110,10 +109,7 @@ def describe(comment: list[str], method_name: str, language: str) -> str:
     return " ".join(out)
 
 
-@lru_cache(4096)
-def _declaration(language: str, name: str) -> re.Pattern | None:
-    form = _DECLARATION.get(language)
-    return re.compile(r"^\s*(?:(?:@\w+(?:\([^)]*\))?|\[[^\]]*\])\s+)*" + form % re.escape(name)) if form and name else None
+_FIND = {language: re.compile(r"^\s*(?:(?:@\w+(?:\([^)]*\))?|\[[^\]]*\])\s+)*" + form) for language, form in _DECLARATION.items()}
 
 
 def _masked(lines: list[str], language: str) -> list[bool]:
@@ -226,13 +222,13 @@ def pair(source: str | None, method_name: str | None, language: str | None, sign
     if not source or not language:
         return None
     name = method_name or (re.search(r"(\w+)\(", signature or "") or [None, ""])[1]
-    find = _declaration(language, name)
-    if find is None:
+    find = _FIND.get(language)
+    if find is None or not name:
         return None
     lines = source.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     masked = None
     for k, line in enumerate(lines):
-        if name in line and find.match(line) and not _STATEMENT.match(line.strip()):
+        if name in line and (m := find.match(line)) and m[1] == name and not _STATEMENT.match(line.strip()):
             masked = masked or _masked(lines, language)
             if masked[k]:
                 continue
