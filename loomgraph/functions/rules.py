@@ -23,7 +23,7 @@ TIERS = [(200, "XS"), (1_000, "S"), (5_000, "M"), (20_000, "L"), (None, "XL")]
 
 def annotation_name(a: Column) -> Column:
     """``@a.b.Name(args)`` is ``Name``."""
-    return F.substring_index(F.substring_index(F.ltrim(F.lit("@[ "), a), "(", 1), ".", -1)
+    return F.substring_index(F.substring_index(F.ltrim(a, F.lit("@[ ")), "(", 1), ".", -1)
 
 
 def annotation_names(annotations: Column) -> Column:
@@ -64,10 +64,10 @@ def endpoint(method_annotations: Column, class_annotations: Column) -> Column:
     """Struct of is_endpoint, http_method, route, controller_route, full_route from mapping annotations."""
     known = F.array(*(F.lit(x) for x in (*MAPPINGS, "RequestMapping")))
     mapped = F.filter(method_annotations, lambda a: F.array_contains(known, annotation_name(a)))
-    last_verb = F.element_at(F.filter(F.transform(mapped, lambda a: F.coalesce(*(F.when(annotation_name(a) == m, F.lit(v)) for m, v in MAPPINGS.items()), F.upper(F.nullif(F.regexp_extract(a, r"RequestMethod\.(\w+)", 1), F.lit(""))))), lambda x: x.isNotNull()), -1)
-    route = F.element_at(F.filter(F.transform(mapped, annotation_value), lambda x: x.isNotNull()), -1)
+    last_verb = F.try_element_at(F.filter(F.transform(mapped, lambda a: F.coalesce(*(F.when(annotation_name(a) == m, F.lit(v)) for m, v in MAPPINGS.items()), F.upper(F.nullif(F.regexp_extract(a, r"RequestMethod\.(\w+)", 1), F.lit(""))))), lambda x: x.isNotNull()), F.lit(-1))
+    route = F.try_element_at(F.filter(F.transform(mapped, annotation_value), lambda x: x.isNotNull()), F.lit(-1))
     base = annotation_value(F.get(F.filter(class_annotations, lambda a: annotation_name(a) == "RequestMapping"), 0))
-    whole = F.concat(F.rtrim(F.lit("/"), F.coalesce(base, F.lit(""))), F.lit("/"), F.ltrim(F.lit("/"), F.coalesce(route, F.lit(""))))
+    whole = F.concat(F.rtrim(F.coalesce(base, F.lit("")), F.lit("/")), F.lit("/"), F.ltrim(F.coalesce(route, F.lit("")), F.lit("/")))
     full = F.when(base.isNotNull() | route.isNotNull(), F.replace(whole, F.lit("//"), F.lit("/")))
     return F.struct(F.coalesce(F.size(mapped) > 0, F.lit(False)).alias("is_endpoint"), F.when(F.size(mapped) > 0, last_verb).alias("http_method"), F.when(F.size(mapped) > 0, route).alias("route"), base.alias("controller_route"), full.alias("full_route"))
 
@@ -103,7 +103,7 @@ def budget_tier(methods: Column) -> Column:
 def noisy_call(callee: Column, receiver: Column, receiver_type: Column, status: Column, language: Column) -> Column:
     """Whether a call is left out of a method's context."""
     simple = F.substring_index(F.regexp_replace(receiver_type, r"<.*$", ""), ".", -1)
-    any_prefix = lambda c, l: F.exists(F.array(*(F.lit(p) for p in NOISY_PREFIXES[l])), lambda p: c.startswith(p) | (c == F.rtrim(F.lit("."), p)))  # noqa: E731, E741
+    any_prefix = lambda c, l: F.exists(F.array(*(F.lit(p) for p in NOISY_PREFIXES[l])), lambda p: c.startswith(p) | (c == F.rtrim(p, F.lit("."))))  # noqa: E731, E741
     by_language = lambda c: F.when(language == "python", any_prefix(c, "python")).when(language == "typescript", any_prefix(c, "typescript")).otherwise(any_prefix(c, "java"))
     external = (status == "external_library") & ~((language == "typescript") & (F.coalesce(receiver, F.lit("")) == ""))
     parts = [callee.isin(NOISY_NAMES), simple.isin(NOISY_TYPES), by_language(receiver_type), by_language(receiver), external]

@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that natural-language queries do without.
 STOP_WORDS = (
@@ -22,7 +23,8 @@ CAMEL_RANK = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 
 def index_tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits, as the full-text index has them."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    plain = F.lower(F.translate(F.coalesce(text, F.lit("")), "İ", "i"))  # the one letter whose lower case is two
+    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def query_tokens(text: Column) -> Column:
@@ -142,7 +144,7 @@ def porter2(word: str) -> str:
     return w.replace("Y", "y")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Plain lower-case words stemmed; other words in lower case."""
     for part in words:

@@ -66,7 +66,7 @@ def upsert(base: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame
 
 
 def without_files(df: DataFrame, paths: DataFrame) -> DataFrame:
-    return df.join(paths.select("file_path").distinct(), "file_path", "left_anti")
+    return df.join(paths.select("file_path").distinct(), "file_path", "left_anti").select(*df.columns)
 
 
 def without_edges_of(edges: DataFrame, gone: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def patched_lines(base: DataFrame, patch: DataFrame) -> DataFrame:
 def rescoped(resolved: DataFrame, again: DataFrame, scope: DataFrame) -> DataFrame:
     """``resolved`` with the rows of call sites in ``scope`` (callsite_id) replaced by those of ``again``."""
     s = scope.select("callsite_id").distinct()
-    return resolved.join(s, "callsite_id", "left_anti").unionByName(again.join(s, "callsite_id", "left_semi").select(*resolved.columns))
+    return resolved.join(s, "callsite_id", "left_anti").select(*resolved.columns).unionByName(again.join(s, "callsite_id", "left_semi").select(*resolved.columns))
 
 
 def hash_gate(wanted: DataFrame, have: DataFrame, key: Sequence[str] = ("method_id", "model"), mark: str = "text_hash") -> DataFrame:

@@ -107,7 +107,7 @@ def suggestions(methods: DataFrame, needle: str, n: int | None = 5) -> DataFrame
 def annotated(methods: DataFrame, classes: DataFrame, annotation: str) -> DataFrame:
     """Methods and classes that carry an annotation, whatever its package and arguments, or that have the role of its name."""
     norm = annotation.lstrip("@[").split("(")[0].split(".")[-1].lower()
-    has = F.exists("annotations", lambda a: F.lower(rules.annotation_name(F.rtrim(F.lit("]"), a))) == norm)
+    has = F.exists("annotations", lambda a: F.lower(rules.annotation_name(F.rtrim(a, F.lit("]")))) == norm)
     m = methods.filter(F.coalesce(has, F.lit(False)) | F.coalesce(F.lower("framework_role") == norm, F.lit(False)))
     c = classes.filter(F.coalesce(has, F.lit(False)))
     return m.select("id", F.lit("method").alias("kind"), "signature", "file_path").unionByName(c.select("id", F.lit("class").alias("kind"), F.col("full_name").alias("signature"), "file_path"))

@@ -68,7 +68,7 @@ def stale_chunks(chunks: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def docs_for(chunks: DataFrame, name: str) -> DataFrame:
-    return chunks.filter(F.array_contains(F.transform(F.split(F.coalesce("linked_classes", F.lit("")), ","), F.trim), name))
+    return chunks.filter(F.array_contains(F.transform(F.split(F.coalesce("linked_classes", F.lit("")), ","), lambda x: F.trim(x)), name))
 
 
 def merged_hits(by_class: DataFrame, by_text: DataFrame) -> DataFrame:

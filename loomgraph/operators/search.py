@@ -20,6 +20,14 @@ from ..functions import rules, text
 K1, B = 1.2, 0.75
 
 
+def _starting(tokens: Column, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda t: t.startswith(term.lower())))
+
+
+def _tagged(column: str) -> Column:
+    return F.transform(text.index_tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(column).alias("column")))
+
+
 def document_lengths(docs: DataFrame, id_: str, columns: Sequence[str]) -> DataFrame:
     size = reduce(lambda a, b: a + b, (F.size(text.index_tokens(F.col(c))) for c in columns))
     return docs.select(F.col(id_).alias("id"), size.alias("length"))
@@ -27,9 +35,8 @@ def document_lengths(docs: DataFrame, id_: str, columns: Sequence[str]) -> DataF
 
 def postings(docs: DataFrame, id_: str, columns: Sequence[str]) -> DataFrame:
     """(id, term, frequencies by column, length): an inverted index, partitioned by term when written."""
-    one = [F.transform(text.index_tokens(F.col(c)), lambda t, c=c: F.struct(t.alias("term"), F.lit(c).alias("column"))) for c in columns]
     size = reduce(lambda a, b: a + b, (F.size(text.index_tokens(F.col(c))) for c in columns))
-    rows = docs.select(F.col(id_).alias("id"), size.alias("length"), F.explode(F.concat(*one)).alias("p")).select("id", "length", "p.*")
+    rows = docs.select(F.col(id_).alias("id"), size.alias("length"), F.explode(F.concat(*map(_tagged, columns))).alias("p")).select("id", "length", "p.*")
     return rows.groupBy("id", "term", "length").agg(*(F.count_if(F.col("column") == c).alias(c) for c in columns))
 
 
@@ -44,7 +51,7 @@ def bm25(docs: DataFrame, terms: Sequence[str], columns: Sequence[str], id_: str
     counted = {}
     for k, term in enumerate(terms):
         for c in columns:
-            counted[f"f_{k}_{c}"] = F.size(F.filter(tokens[c], lambda t, term=term: t.startswith(term.lower())))
+            counted[f"f_{k}_{c}"] = _starting(tokens[c], term)
     rows = docs.select(F.col(id_).alias("id"), size.alias("length"), *(v.alias(n) for n, v in counted.items()))
     seen = {k: reduce(lambda a, b: a + b, (F.col(f"f_{k}_{c}") for c in ([only] if only else columns))) for k in range(len(terms))}
     sums = rows.agg(F.count("*").alias("n"), F.avg("length").alias("average"), *(F.count_if(seen[k] > 0).alias(f"n_{k}") for k in seen)).first()

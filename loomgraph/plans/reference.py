@@ -524,7 +524,7 @@ def search_two_phase(spark: SparkSession, folder: str) -> DataFrame:
     return search.two_phase(m, ["invoice", "archive"]).select("id", F.round("score", 6).alias("score"), "bucket")
 
 
-@query("WITH " + METHODS + ", p AS (SELECT *, lower(coalesce(method_name, '')) AS n, lower(coalesce(signature, '')) AS g, lower(coalesce(file_path, '')) AS f FROM m), x AS (SELECT *, CASE WHEN contains(f, '/') THEN regexp_replace(f, '/[^/]*$', '') ELSE '' END AS folder, regexp_replace(split_part(f, '/', -1), '\\.[^.]*$', '') AS file FROM p) SELECT id, round((CASE WHEN n = 'invoice' THEN 2.0 WHEN contains(n, 'invoice') THEN 1.0 ELSE 0 END) + (CASE WHEN contains(g, 'invoice') THEN 0.5 ELSE 0 END) + (CASE WHEN contains(file, 'invoice') THEN 1.5 WHEN contains(folder, 'invoice') THEN 0.5 ELSE 0 END) - (CASE WHEN regexp_matches(f, '/tests?/|tests?\\.java$') THEN 1.0 ELSE 0 END) - (CASE WHEN regexp_matches(f, '/generated/|/gen/|\\.generated\\.|_generated\\.|build/generated|target/generated') THEN 10.0 ELSE 0 END), 6) AS score FROM x")
+@query("WITH " + METHODS + ", p AS (SELECT *, lower(coalesce(method_name, '')) AS n, lower(coalesce(signature, '')) AS g, lower(coalesce(file_path, '')) AS f FROM m), x AS (SELECT *, CASE WHEN contains(f, '/') THEN regexp_replace(f, '/[^/]*$', '') ELSE '' END AS folder, regexp_replace(split_part(f, '/', -1), '\\.[^.]*$', '') AS file FROM p) SELECT id, CAST(round((CASE WHEN n = 'invoice' THEN 2.0 WHEN contains(n, 'invoice') THEN 1.0 ELSE 0 END) + (CASE WHEN contains(g, 'invoice') THEN 0.5 ELSE 0 END) + (CASE WHEN contains(file, 'invoice') THEN 1.5 WHEN contains(folder, 'invoice') THEN 0.5 ELSE 0 END) - (CASE WHEN regexp_matches(f, '/tests?/|tests?\\.java$') THEN 1.0 ELSE 0 END) - (CASE WHEN regexp_matches(f, '/generated/|/gen/|\\.generated\\.|_generated\\.|build/generated|target/generated') THEN 10.0 ELSE 0 END), 6) AS DOUBLE) AS score FROM x")
 def search_hit_score(spark: SparkSession, folder: str) -> DataFrame:
     m = one_per_method(t(spark, folder, "methods"))
     s = search.hit_score(F.lit(0.0), ["invoice"], F.col("method_name"), F.col("signature"), F.col("file_path"), F.lit(None).cast("array<string>"))

@@ -33,11 +33,10 @@ def pruned(files: DataFrame, language: str | None = None) -> DataFrame:
     return out.filter(ends)
 
 
-def texts(spark: SparkSession, files: DataFrame | str, glob: str | None = None) -> DataFrame:
+def texts(spark: SparkSession, files: str, glob: str | None = None) -> DataFrame:
     """(path, text): files read whole."""
-    r = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    r = r.option("pathGlobFilter", glob) if glob else r
-    return r.text(files).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    read = spark.read.text(files, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return read.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def skipped(text: Column, length: Column) -> Column:

@@ -41,7 +41,7 @@ def shapes_of(path: str, text: str) -> list[tuple[Any, ...]]:
         has_body = "{" in text[m.start() : line_end if line_end >= 0 else len(text)]
         body = _block(text, m.start()) if has_body else ""
         before = text[max(0, m.start() - 400) : m.start()]
-        traits = before[before.rfind("}") + 1 :]
+        traits = before[before.rfind("\n}") + 2 :] if "\n}" in before else before
         members = [{"name": x[2], "target_shape": x[3], "required": "@required" in (x[1] or "")} for x in _MEMBER.finditer(body)] if kind in ("structure", "union") else []
         detail: dict[str, Any] = {}
         if kind == "operation":
