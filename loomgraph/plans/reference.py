@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, rules, text
-from ..operators import changes, docs, resolve, rollups, search, traversal
+from ..operators import changes, docs, flows, resolve, rollups, search, synthesis, traversal
 from ..operators import code_graph as cg
 from ..sources.tables import table
 from ..streaming import debounce
@@ -672,3 +672,67 @@ def docs_unknown_references(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def source_json_fields(spark: SparkSession, folder: str) -> DataFrame:
     return t(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+# ---------------------------------------------------------------- synthesis and flows
+
+
+@query(r"SELECT o AS outer_name, i AS inner_name, arg_min(full_name, (CASE WHEN contains(full_name, '$') THEN 0 ELSE 1 END, full_name)) AS full_name FROM (SELECT full_name, regexp_extract(full_name, '(\w+)[.$](\w+)$', 1) AS o, regexp_extract(full_name, '(\w+)[.$](\w+)$', 2) AS i FROM classes WHERE full_name IS NOT NULL) WHERE o <> '' GROUP BY o, i")
+def synth_inner_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return synthesis.inner_classes(t(spark, folder, "classes")).withColumnsRenamed({"outer": "outer_name", "inner": "inner_name"})
+
+
+@query("WITH " + INHERITANCE + " SELECT c.id AS class_id, c.full_name AS class_full_name, unnest(['save','saveAll','findById','existsById','findAll','findAllById','count','deleteById','delete','deleteAll']) AS method_name, true AS generated FROM classes c WHERE c.id IN (SELECT source_id FROM inh WHERE split_part(target, '.', -1) IN ('Repository','CrudRepository','ListCrudRepository','PagingAndSortingRepository','JpaRepository','MongoRepository','ReactiveCrudRepository','ReactiveMongoRepository'))")
+def synth_repository_methods(spark: SparkSession, folder: str) -> DataFrame:
+    c = t(spark, folder, "classes")
+    return synthesis.repository_methods(c, cg.inheritance_edges(c))
+
+
+@query()
+def synth_receiver_types(spark: SparkSession, folder: str) -> DataFrame:
+    m, s = t(spark, folder, "methods", "callsites")
+    names = m.filter("parameter_names is null or size(parameter_names) = size(array_distinct(parameter_names))").filter("size(parameter_names) = size(parameter_types)")
+    return synthesis.receiver_types(calls_of(s), cg.latest(names))
+
+
+@query(r"""SELECT id AS method_id, concat_ws(chr(10), CASE WHEN method_name <> '' THEN 'method: ' || method_name END, CASE WHEN class_full_name <> '' THEN 'class: ' || class_full_name END, CASE WHEN signature <> '' THEN 'signature: ' || signature END, CASE WHEN return_type <> '' THEN 'returns: ' || return_type END, CASE WHEN array_to_string(parameter_names, ', ') <> '' THEN 'parameters: ' || array_to_string(parameter_names, ', ') END, CASE WHEN array_to_string(annotations, ' ') <> '' THEN 'annotations: ' || array_to_string(annotations, ' ') END, CASE WHEN framework_role <> '' THEN 'role: ' || framework_role END, CASE WHEN coalesce(full_route, route) <> '' THEN 'route: ' || coalesce(full_route, route) END, CASE WHEN trim(regexp_replace(substring(source, 1, 2000), '\s+', ' ', 'g')) <> '' THEN 'source: ' || trim(regexp_replace(substring(source, 1, 2000), '\s+', ' ', 'g')) END) AS payload FROM methods""")
+def synth_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    return synthesis.embedding_payloads(t(spark, folder, "methods")).select("method_id", "payload")
+
+
+@query(r"""SELECT doc_id AS id, n - 1 AS position, regexp_extract(l, '^\s*at\s+([\w.$]+)\.([\w$<>]+)\(([\w.$-]+\.\w+):(\d+)\)', 1) AS class, regexp_extract(l, '^\s*at\s+([\w.$]+)\.([\w$<>]+)\(([\w.$-]+\.\w+):(\d+)\)', 2) AS method, CAST(regexp_extract(l, '^\s*at\s+([\w.$]+)\.([\w$<>]+)\(([\w.$-]+\.\w+):(\d+)\)', 4) AS INT) AS line
+FROM (SELECT doc_id, unnest(string_split_regex(text, '\r\n|\n|\r')) AS l, generate_subscripts(string_split_regex(text, '\r\n|\n|\r'), 1) AS n FROM documents) WHERE regexp_matches(l, '^\s*at\s+([\w.$]+)\.([\w$<>]+)\(([\w.$-]+\.\w+):(\d+)\)')""")
+def flow_stack_frames(spark: SparkSession, folder: str) -> DataFrame:
+    f = flows.stack_frames(t(spark, folder, "documents"), "doc_id").filter("class is not null")
+    return f.select("id", "position", "class", "method", "line")
+
+
+@query()
+def flow_matched_frames(spark: SparkSession, folder: str) -> DataFrame:
+    d, m = t(spark, folder, "documents", "methods")
+    return flows.matched_frames(flows.stack_frames(d, "doc_id"), m).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(r"""
+SELECT category, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(lower(coalesce(receiver, '')), '^(log|logger|_log|metrics?|tracer)\b') OR regexp_matches(lower(callee_name), 'log|metric') THEN 'observability'
+ WHEN callee_name IN ('debug','info','warn','error','trace','isDebugEnabled','isInfoEnabled','map','flatMap','filter','forEach','stream','collect','toList','isPresent','orElse','orElseGet','orElseThrow','get','put','add','remove','clear','size','isEmpty','toString','equals','hashCode') OR regexp_matches(lower(coalesce(receiver_type, '')), '(string|list|map|set|optional|collection)$') THEN 'utility'
+ WHEN resolution_status LIKE 'resolved%' THEN CASE WHEN b THEN 'business_internal' ELSE 'probable_internal' END WHEN resolution_status = 'ambiguous_type' AND candidate_count > 0 THEN 'probable_internal' WHEN resolution_status = 'external_library' THEN 'external_library'
+ WHEN resolution_status LIKE 'unresolved%' THEN CASE WHEN b THEN 'unresolved_business' ELSE 'unknown' END ELSE 'framework' END AS category FROM (SELECT *, regexp_matches(lower(coalesce(receiver_type, '')), 'service|repository|controller|handler|processor|manager') AS b FROM callsites)) GROUP BY category
+""")
+def flow_categories(spark: SparkSession, folder: str) -> DataFrame:
+    s = t(spark, folder, "callsites")
+    c = flows.trace_category(F.col("callee_name"), F.col("receiver"), F.col("receiver_type"), F.col("resolution_status"), F.col("candidate_count"))
+    return s.groupBy(c.alias("category")).agg(F.count("*").alias("n"))
+
+
+@query(FLOW + ", c AS (SELECT id, min(line) AS line FROM callsites GROUP BY id) SELECT e.src, e.dst, n.depth, string_agg(DISTINCT CAST(c.line AS VARCHAR), ',' ORDER BY CAST(c.line AS VARCHAR)) AS lines FROM edges e JOIN n ON n.id = e.src AND n.depth < 3 JOIN c ON c.id = e.callsite_id GROUP BY ALL")
+def flow_traced(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    line = t(spark, folder, "callsites").groupBy(F.col("id").alias("callsite_id")).agg(F.min("line").cast("string").alias("line"))
+    return flows.traced(e.join(line, "callsite_id"), seeds_of(e, "0a"), 3).withColumn("lines", F.array_join("lines", ","))
+
+
+@query()
+def flow_graph_retrieval(spark: SparkSession, folder: str) -> DataFrame:
+    m = one_per_method(t(spark, folder, "methods"))
+    return flows.graph_retrieval(m, edges_of(spark, folder), ["invoice", "archive"]).withColumn("score", F.round("score", 6))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import ids, rules, text
-from loomgraph.operators import changes, docs, resolve, rollups, search, traversal
+from loomgraph.operators import changes, docs, flows, resolve, rollups, search, synthesis, traversal
 from loomgraph.operators import code_graph as cg
 
 
@@ -203,3 +203,28 @@ def test_evaluation(spark):
     assert rows(rollups.latency_summary(df, "k", "v")) == [("a", 20, 9.5, 10.0, 19.0)]
     empty = F.array().cast("array<string>")
     assert tuple(one(spark, rollups.set_scores(empty, empty))) == (1.0, 1.0, 0.0, 0.0)
+
+
+def test_synthesis(spark):
+    classes = spark.createDataFrame([("c1", "p.A", ["@Data", "@Builder"]), ("c2", "p.R", [])], "id string, full_name string, annotations array<string>")
+    fields = spark.createDataFrame([("c1", "name", "String", []), ("c1", "open", "boolean", ["final"]), ("c1", "LOG", "Logger", ["static"]), ("c2", "x", "int", [])], "class_id string, name string, type_name string, modifiers array<string>")
+    made = {(r["method_name"], r["kind"]) for r in synthesis.accessor_methods(classes, fields).collect()}
+    assert made == {("getName", "getter"), ("setName", "setter"), ("name", "builder"), ("isOpen", "getter"), ("open", "builder"), ("builder", "builder"), ("build", "builder")}
+    inh = spark.createDataFrame([("c2", "p.R", "org.x.JpaRepository<A>", "extends")], "source_id string, source string, target string, relation string")
+    assert synthesis.repository_methods(classes, inh).count() == 10
+    names = spark.createDataFrame([("p.Outer.Inner",), ("q.Outer$Inner",)], "full_name string")
+    assert synthesis.inner_classes(names).first()["full_name"] == "q.Outer$Inner"
+
+
+def test_stack_traces(spark, graph):
+    text_ = "Error\n\tat com.example.TestService.process(TestService.java:22)\r\n\tat com.lib.X.y(X.java:1)\n  File \"/a/TestRepository.java\", line 31, in fetch\n"
+    frames = flows.stack_frames(spark.createDataFrame([(1, text_), (2, None)], "id int, text string"))
+    got = flows.matched_frames(frames, graph[1]).orderBy("position").collect()
+    assert [(r["status"], r["method_id"]) for r in got] == [("matched", "m2"), ("unmatched", None), ("matched", "m3")]
+    assert flows.anchors(flows.matched_frames(frames, graph[1])).first()["method_id"] == "m2"
+
+
+def test_rules_of_exclusion(spark, graph):
+    wanted = spark.createDataFrame([("package", "com.example", False), ("selector", "fetch", True), ("selector", "process", True)], "kind string, pattern string, include boolean")
+    out = {r["id"]: r["out"] for r in flows.excluded(graph[1], wanted).collect()}
+    assert out == {"m1": True, "m2": True, "m3": False, "m4": True, "m5": True}
