@@ -61,7 +61,7 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     records, core = _contract(clean, paths)
     none = F.lit(None).cast("array<string>")
     solved = core.select("node", F.lit("").alias("root"), F.lit(-1).cast("long").alias("depth"), none.alias("path"))
-    solved = cut(solved)
+    solved, parts = cut(solved), int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # records of one round: leaves first, then chain nodes; chain nodes' parents were gone at the same time or later
     for at in range(len(records) - 1, -1, -1):
         record = records[at]
@@ -76,7 +76,9 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
             F.when(ends, F.lit(-1)).when(found, F.col("up_depth") + F.col("steps")).otherwise(F.col("steps")).cast("long").alias("depth"),
             path.alias("path"),
         )
-        solved = cut(solved.unionByName(fresh)) if at % 2 == 0 else solved.unionByName(fresh)
+        solved = solved.unionByName(fresh)
+        if at % 2 == 0:  # unions add up partitions
+            solved = cut(solved.coalesce(parts))
     out = solved.select("node", "root", F.col("depth").cast("int").alias("depth"), "path")
     return out if paths else out.drop("path")
 
