@@ -9,6 +9,7 @@ tokens over all columns; ``N``, ``n`` and the average are of the whole corpus. Q
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -20,8 +21,16 @@ from ..functions import rules, text
 K1, B = 1.2, 0.75
 
 
-def _starting(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t.startswith(term.lower())))
+_TOKENS = r"[\p{L}\p{N}]+"
+
+
+def _plain(column: str) -> Column:
+    return F.lower(F.translate(F.coalesce(column, F.lit("")), "İ", "i"))
+
+
+def _starting(plain: Column, term: str) -> Column:
+    """How many tokens begin with a term, counted in the text itself: no array of tokens is made."""
+    return F.regexp_count(plain, F.lit(r"(?<![\p{L}\p{N}])" + re.escape(term.lower())))
 
 
 def _tagged(column: str) -> Column:
@@ -43,11 +52,11 @@ def postings(docs: DataFrame, id_: str, columns: Sequence[str]) -> DataFrame:
 def bm25(docs: DataFrame, terms: Sequence[str], columns: Sequence[str], id_: str = "id", weights: Mapping[str, float] | None = None, only: str | None = None, every: bool = False) -> DataFrame:
     """(id, score, terms): documents with any (or ``every``) of the prefix ``terms``, in ``only`` one column if given.
 
-    The corpus is read once: frequencies of the few query terms are expressions over a document's token arrays, and only
-    documents with a hit leave the scan; corpus figures are one row of sums."""
+    Frequencies of the few query terms are counted in the scan, of which only documents with a hit leave; corpus figures are
+    one row of sums."""
     weights = weights or {}
-    tokens = {c: text.index_tokens(F.col(c)) for c in columns}
-    size = reduce(lambda a, b: a + b, (F.size(t) for t in tokens.values()))
+    tokens = {c: _plain(c) for c in columns}
+    size = reduce(lambda a, b: a + b, (F.regexp_count(t, F.lit(_TOKENS)) for t in tokens.values()))
     counted = {}
     for k, term in enumerate(terms):
         for c in columns:

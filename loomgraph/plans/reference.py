@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, rules, text
 from ..operators import changes, docs, flows, resolve, rollups, search, synthesis, traversal
 from ..operators import code_graph as cg
+from ..session import spread
 from ..sources.tables import table
 from ..streaming import debounce
 
@@ -514,7 +515,7 @@ SELECT id, round(-(ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / avg)) + ib * b *
 
 @query(BM25)
 def search_bm25(spark: SparkSession, folder: str) -> DataFrame:
-    d = t(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = spread(t(spark, folder, "documents").select("doc_id", "text"))
     return search.bm25(d, ["invoice", "retry"], ["text"], "doc_id").withColumn("score", F.round("score", 6))
 
 

@@ -47,3 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
         return kept.checkpoint(eager=True)
     finally:
         kept.unpersist()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a scan, over at least as many partitions as there are cores: a small table in one file would otherwise keep one
+    core busy with the dear narrow steps behind it. Tables of many files or row groups are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    found = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if found >= cores else df.repartition(cores)
