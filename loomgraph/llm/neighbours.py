@@ -125,12 +125,15 @@ def fit(sample: np.ndarray, total: int, seed: int = 0) -> Codebooks:
     return Codebooks(cells, books, region, probes, np.bincount(region[lists[:, 0]], minlength=most) * scale, np.bincount(part, minlength=most) * scale)
 
 
-def _listed(x: np.ndarray, cells: np.ndarray, probes: int) -> np.ndarray:
+def _listed(x: np.ndarray, cells: np.ndarray, probes: int, block: int = 4096) -> np.ndarray:
     """The nearest cells of each vector, nearest first."""
     probes = min(probes, len(cells))
-    loss = (cells * cells).sum(1)[None, :] - 2 * (x @ cells.T)
-    near = np.argpartition(loss, probes - 1, axis=1)[:, :probes]
-    return np.take_along_axis(near, np.argsort(np.take_along_axis(loss, near, 1), axis=1, kind="stable"), 1)
+    half, out = (cells * cells).sum(1) / 2, np.empty((len(x), probes), np.int64)
+    for i in range(0, len(x), block):
+        loss = half - x[i : i + block] @ cells.T
+        near = np.argpartition(loss, probes - 1, axis=1)[:, :probes]
+        out[i : i + block] = np.take_along_axis(near, np.argsort(np.take_along_axis(loss, near, 1), axis=1, kind="stable"), 1)
+    return out
 
 
 def _probes(sample: np.ndarray, lists: np.ndarray, rng: np.random.Generator) -> int:

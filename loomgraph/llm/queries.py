@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from . import bpe, code_docs, generated_files, neighbours, packing, spam_pages, splitting
 
 CAPACITY = 2048
@@ -19,7 +19,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
-    return generated_files.judged_files(table(spark, folder, "methods"), table(spark, folder, "classes"))
+    return generated_files.judged_files(spread(table(spark, folder, "methods").select("file_path", "source")), table(spark, folder, "classes"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,21 +57,29 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("model", "method_id_a", "method_id_b")
 
 
+def _sources(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "methods").select("id", "language", "method_name", "signature", "source"))
+
+
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Code and description of each documented method."""
-    return code_docs.code_pairs(table(spark, folder, "methods")).distinct()
+    return code_docs.code_pairs(_sources(spark, folder)).distinct()
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return code_docs.code_pairs(table(spark, folder, "methods")).select("id").filter("id is not null").distinct()
+    return code_docs.code_pairs(_sources(spark, folder)).select("id").filter("id is not null").distinct()
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.encode(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return bpe.encode(_texts(spark, folder)).select("doc_id", "ids")
 
 
 def _sized(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.count_tokens(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "tokens")
+    return bpe.count_tokens(_texts(spark, folder)).select("doc_id", "tokens")
 
 
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,7 +97,7 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_labels(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each document by label."""
-    return spam_pages.labelled_pages(table(spark, folder, "documents"))
+    return spam_pages.labelled_pages(_texts(spark, folder))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
