@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .skew import hot_keys, left_join_unique
 
 MOST_ROUNDS = 200
 
@@ -58,6 +59,7 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     ``path`` is the array of names from the root to the node. Nodes on or below a cycle have an empty root, depth -1 and
     a null path."""
     clean = links.select("node", "parent").filter("node is not null and parent is not null")
+    hot = hot_keys(clean, "parent")  # a splice hangs one child in place of another, so no parent becomes hot later
     records, core = _contract(clean, paths)
     none = F.lit(None).cast("array<string>")
     solved = core.select("node", F.lit("").alias("root"), F.lit(-1).cast("long").alias("depth"), none.alias("path"))
@@ -66,7 +68,7 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     for at in range(len(records) - 1, -1, -1):
         record = records[at]
         up = solved.select(F.col("node").alias("p"), F.col("root").alias("up_root"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
-        got = record.join(up, F.col("parent") == F.col("p"), "left")
+        got = left_join_unique(record, up, "parent", "p", hot, F.col("node"))
         found = F.col("p").isNotNull()
         ends = found & (F.col("up_depth") < 0)
         path = F.when(ends, none).otherwise(F.concat(F.coalesce("up_path", F.array("parent")), F.col("via"), F.array("node"))) if paths else none
@@ -111,6 +113,7 @@ def class_links(classes: DataFrame) -> DataFrame:
     # most names are looked up once; a package's popular base class may be looked up by many, so look up distinct names
     wanted = named.filter("local is not null").select("local").distinct()
     there = wanted.join(last.select(F.col("full_name").alias("local")), "local", "left_semi").withColumn("is_there", F.lit(True))
-    named = named.join(there, "local", "left")
+    there = there.withColumnRenamed("local", "found")
+    named = left_join_unique(named, there, "local", "found", hot_keys(named, "local"), F.col("full_name"))
     parent = F.when(F.col("dotted"), F.col("text")).when(F.col("is_there"), F.col("local")).otherwise(F.coalesce("imported", "text"))
     return named.select(F.col("full_name").alias("node"), parent.alias("parent"))
