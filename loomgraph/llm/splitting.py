@@ -97,14 +97,11 @@ _FIELDS = ("id", "source_path", "source_type", "title", "content", "linked_class
 
 
 def current(chunks: DataFrame) -> DataFrame:
-    """The row of each id that counts. The text itself takes no part in the aggregation: the winner is found by length
-    and hash, and joined back only by id, time and hash."""
-    c = chunks.select(*_FIELDS)
+    """The row of each id that counts: an aggregation that keeps one row of each id in every partition before anything is
+    shuffled, so an id with very many rows is no burden."""
     rank: list[Column] = [F.coalesce("ts", F.lit(-(2**62))), F.coalesce(F.length("content"), F.lit(-1)), F.xxhash64("content"), F.xxhash64("source_path", "source_type", "title", "linked_classes", "chunk_index")]
-    ranked = c.withColumn("_rank", F.struct(*rank))
-    best = ranked.groupBy("id").agg(F.max("_rank").alias("_best")).select(F.col("id").alias("_id"), "_best")
-    joined = ranked.join(best, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_rank") == F.col("_best")))
-    return joined.select(*_FIELDS).dropDuplicates(["id"])
+    best = F.max_by(F.struct(*(f for f in _FIELDS if f != "id")), F.struct(*rank)).alias("r")
+    return chunks.groupBy("id").agg(best).select("id", "r.*")
 
 
 def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
