@@ -484,6 +484,87 @@ def graph_enriched(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("id", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by"))
 
 
+# ---------------------------------------------------------------- traversal from all callers and from all endpoints
+
+#: Starting points by a property of the data, where the queries above take an id prefix.
+ENDPOINTS = "(SELECT lower(trim(id)) FROM methods WHERE is_endpoint)"
+
+
+def from_all(name: str) -> str:
+    return ORACLE[name].replace(" WHERE src LIKE '0a%'", "")
+
+
+def from_endpoints(name: str) -> str:
+    return ORACLE[name].replace("src LIKE '0a%'", f"src IN {ENDPOINTS}").replace("dst LIKE '0%'", f"dst IN {ENDPOINTS}").replace("src LIKE 'a%' OR dst LIKE 'a%'", f"src IN {ENDPOINTS} OR dst IN {ENDPOINTS}")
+
+
+def endpoints_of(spark: SparkSession, folder: str, edges: DataFrame, side: str = "src") -> DataFrame:
+    """The endpoint methods that have calls of their own, or with ``dst`` those that are called."""
+    ends = t(spark, folder, "methods").filter("is_endpoint").select(cg.key("id").alias("id")).distinct()
+    return edges.select(F.col(side).alias("id")).distinct().join(ends, "id", "left_semi")
+
+
+@query(from_all("graph_closure"))
+def graph_closure_all(spark: SparkSession, folder: str) -> DataFrame:
+    return traversal.closure(edges_of(spark, folder), None, 4)
+
+
+@query(from_all("graph_sinks"))
+def graph_sinks_all(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.sinks(e, e.select(F.col("src").alias("id")), 4).withColumn("entropy", F.round("entropy", 6))
+
+
+@query(from_endpoints("graph_levels"))
+def graph_levels_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.levels(e, endpoints_of(spark, folder, e), 3)
+
+
+@query(from_endpoints("graph_callers"))
+def graph_callers_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.callers(e, endpoints_of(spark, folder, e, "dst"), 3)
+
+
+@query(from_endpoints("graph_neighbourhood"))
+def graph_neighbourhood_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.neighbourhood(e, endpoints_of(spark, folder, e), 2)
+
+
+@query(from_endpoints("graph_subgraph"))
+def graph_subgraph_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.subgraph(e, endpoints_of(spark, folder, e), 2)[1]
+
+
+@query(from_endpoints("graph_shortest_paths"))
+def graph_shortest_paths_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.shortest_paths(e, endpoints_of(spark, folder, e), 3).select("id", F.array_join("path", ">").alias("path"))
+
+
+@query(from_endpoints("graph_flow_ranks"))
+def graph_flow_ranks_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    nodes, walked, _ = traversal.stitched_flow(e, endpoints_of(spark, folder, e), 3)
+    return traversal.flow_ranks(nodes, walked)
+
+
+@query(from_endpoints("graph_flow_stops"))
+def graph_flow_stops_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    return traversal.stitched_flow(e, endpoints_of(spark, folder, e), 3)[2]
+
+
+@query(from_endpoints("join_touching"))
+def join_touching_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder).select("src", "dst").distinct()
+    nodes = endpoints_of(spark, folder, e).union(endpoints_of(spark, folder, e, "dst")).distinct()
+    return cg.touching(e, nodes)
+
+
 # ---------------------------------------------------------------- text and vectors
 
 
@@ -733,6 +814,13 @@ def flow_traced(spark: SparkSession, folder: str) -> DataFrame:
     return flows.traced(e.join(line, "callsite_id"), seeds_of(e, "0a"), 3).withColumn("lines", F.array_join("lines", ","))
 
 
+@query(from_endpoints("flow_traced"))
+def flow_traced_endpoints(spark: SparkSession, folder: str) -> DataFrame:
+    e = edges_of(spark, folder)
+    line = t(spark, folder, "callsites").groupBy(F.col("id").alias("callsite_id")).agg(F.min("line").cast("string").alias("line"))
+    return flows.traced(e.join(line, "callsite_id"), endpoints_of(spark, folder, e), 3).withColumn("lines", F.array_join("lines", ","))
+
+
 @query()
 def flow_graph_retrieval(spark: SparkSession, folder: str) -> DataFrame:
     m = one_per_method(t(spark, folder, "methods"))
