@@ -31,7 +31,8 @@ def bare_type(c: Column) -> Column:
 
 @dataclass(frozen=True)
 class Lookups:
-    """One row per key with the sorted list of candidates: by class and name, by short class and name, by name."""
+    """One row per key with the sorted list of candidates: by class and name, by short class and name, by name and arity
+    (arity -1: all of the name)."""
 
     by_class: DataFrame
     by_short: DataFrame
@@ -41,11 +42,12 @@ class Lookups:
     @classmethod
     def build(cls, methods: DataFrame, classes: DataFrame) -> Lookups:
         m = methods.select("id", F.col("class_full_name").alias("cls"), "method_name", F.size(F.coalesce("parameter_types", F.array().cast("array<string>"))).alias("arity"), F.coalesce("parameter_types", F.array().cast("array<string>")).alias("types"))
+        any_arity = m.unionByName(m.withColumn("arity", F.lit(-1)))
         many = F.array_sort(F.collect_set(F.struct("id", "arity", "types"))).alias("c")
         return cls(
             m.groupBy("cls", "method_name").agg(many),
             m.groupBy(ids.short_name("cls").alias("short"), "method_name").agg(many),
-            m.groupBy("method_name", "arity").agg(F.count_distinct("id").alias("n"), F.min("id").alias("one")),
+            any_arity.groupBy("method_name", "arity").agg(F.array_sort(F.collect_set("id")).alias("all")),
             classes.select("full_name", "package_name", "extends", "implements_json", "imports").dropDuplicates(["full_name"]),
         )
 
@@ -95,8 +97,8 @@ def _fitting(candidates: Column, count: Column, types: Column) -> Column:
 def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritance: DataFrame) -> DataFrame:
     """(callsite_id, status, candidates) of each call site.
 
-    Without receiver: the caller's class, its ancestors (the nearest that declares the name), then any method of that name
-    and arity. With receiver: the sole implementation of an interface, the class itself, its ancestors, a class of that
+    Without receiver: the caller's class, its ancestors (the nearest that declares the name), then all methods of that name
+    and arity, or of that name if the number of arguments isn't known. With receiver: the sole implementation of an interface, the class itself, its ancestors, a class of that
     short name (kept as ambiguous), else unresolved where the class is known and external where it isn't."""
     look = Lookups.build(methods, classes)
     caller = methods.select(F.col("id").alias("caller_method_id"), F.col("class_full_name").alias("caller_class")).dropDuplicates(["caller_method_id"])
@@ -119,7 +121,9 @@ def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritanc
     known = look.classes.select(F.col("full_name").alias("cls"), F.lit(True).alias("known"))
     facts = facts.join(known, "cls", "left")
     r = c.join(facts, (F.col("type") == F.col("cls")) & (F.col("callee_name") == F.col("method_name")), "left").drop("method_name")
-    r = r.join(look.by_name.select(F.col("method_name").alias("gname"), "arity", F.col("n").alias("globals"), "one"), (F.col("callee_name") == F.col("gname")) & (F.col("n") == F.col("arity")), "left")
+    # only calls on the own class look at all methods of a name: the others don't meet the long lists
+    sought = F.when(F.col("own"), F.col("callee_name"))
+    r = r.join(look.by_name.select(F.col("method_name").alias("gname"), "arity", "all"), (sought == F.col("gname")) & (F.greatest("n", F.lit(-1)) == F.col("arity")), "left")
 
     fit = {k: F.coalesce(_fitting(F.col(k), F.col("n"), F.col("given")), F.array().cast("array<string>")) for k in ("exact", "inherited", "impl", "by_short")}
     r = r.withColumns({f"{k}_fit": v for k, v in fit.items()})
@@ -129,8 +133,8 @@ def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritanc
         (F.col("own") & (size("exact") == 1), "resolved_same_class", F.col("exact_fit")),
         (F.col("own") & (size("exact") > 1), "ambiguous_overload", F.col("exact_fit")),
         (F.col("own") & (size("inherited") > 0), "resolved_inherited", F.col("inherited_fit")),
-        (F.col("own") & (F.col("globals") == 1), "candidate_global_name_arity", F.array("one")),
-        (F.col("own") & (F.col("globals") > 1), "ambiguous_global_name_arity", F.array("one")),
+        (F.col("own") & (F.size("all") == 1), "candidate_global_name_arity", F.col("all")),
+        (F.col("own") & (F.size("all") > 1), "ambiguous_global_name_arity", F.col("all")),
         (F.col("own"), "unresolved_method", F.array().cast("array<string>")),
         (how == "ambiguous", "ambiguous_type", F.array().cast("array<string>")),
         (size("impl") == 1, "resolved_via_sole_implementation", F.col("impl_fit")),
