@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..session import cut
-from .traversal import closure
+from .traversal import closure, deep_closure
 
 # Types that need no import.
 LANG_TYPES = "String Object Integer Long Double Float Boolean Byte Short Character Void Number Math System Thread Runnable Exception RuntimeException Error Throwable Iterable Class Enum StringBuilder Override".split()
@@ -75,14 +75,29 @@ def normalised_types(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return p.select("caller_class", "written", type_.alias("type"), how.alias("how"))
 
 
-def ancestors(classes: DataFrame, inheritance: DataFrame, depth: int = 20) -> DataFrame:
-    """(cls, ancestor, distance, rank): all supertypes by name; among equals the extended one comes first."""
+def resolved_parents(classes: DataFrame, inheritance: DataFrame) -> DataFrame:
+    """``inheritance`` with targets by full name: as written if dotted or if the source has no package, else the class of
+    that name in the source's package, else as :func:`normalised_types` has it."""
+    full = normalised_types(inheritance.select(F.col("source").alias("caller_class"), F.col("target").alias("written")), classes)
+    own = classes.select(F.col("full_name").alias("source"), F.col("package_name").alias("package")).dropDuplicates(["source"])
+    known = classes.select(F.col("full_name").alias("local"), F.lit(True).alias("local_known")).distinct()
+    t = inheritance.join(full.select(F.col("caller_class").alias("source"), F.col("written").alias("target"), "type"), ["source", "target"], "left").join(own, "source", "left")
+    short = (F.instr("target", ".") == 0) & (F.coalesce("package", F.lit("")) != "")
+    t = t.withColumn("local", F.when(short, F.concat_ws(".", "package", "target"))).join(known, "local", "left")
+    target = F.when(F.col("local_known"), F.col("local")).when(short, F.coalesce("type", "target")).otherwise(F.col("target"))
+    return t.withColumn("target", target).select(*inheritance.columns)
+
+
+def ancestors(classes: DataFrame, inheritance: DataFrame, depth: int | None = None) -> DataFrame:
+    """(cls, ancestor, distance, rank): all supertypes by full name (see :func:`resolved_parents`), up to the roots unless
+    ``depth`` is given; among equals the extended one comes first."""
     e = inheritance.select(F.col("source").alias("src"), F.col("target").alias("dst"))
     known = classes.select(F.col("full_name").alias("dst")).distinct()
     direct = inheritance.select(F.col("source").alias("src"), F.col("target").alias("dst"), F.when(F.col("relation") == "extends", 0).otherwise(1).alias("rank"))
-    up = closure(e.join(known, "dst", "left_semi"), depth=depth)
+    e = e.join(known, "dst", "left_semi")
+    up = deep_closure(e) if depth is None else closure(e, depth=depth)
     first = direct.groupBy("src", "dst").agg(F.min("rank").alias("rank"))
-    return up.join(first, ["src", "dst"], "left").select(F.col("src").alias("cls"), F.col("dst").alias("ancestor"), F.col("depth").alias("distance"), F.coalesce("rank", F.lit(1)).alias("rank"))
+    return up.filter("src <> dst").join(first, ["src", "dst"], "left").select(F.col("src").alias("cls"), F.col("dst").alias("ancestor"), F.col("depth").alias("distance"), F.coalesce("rank", F.lit(1)).alias("rank"))
 
 
 def _fitting(candidates: Column, count: Column, types: Column) -> Column:
@@ -101,6 +116,7 @@ def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritanc
     and arity, or of that name if the number of arguments isn't known. With receiver: the sole implementation of an interface, the class itself, its ancestors, a class of that
     short name (kept as ambiguous), else unresolved where the class is known and external where it isn't."""
     look = Lookups.build(methods, classes)
+    written, inheritance = inheritance, cut(resolved_parents(look.classes, inheritance))
     caller = methods.select(F.col("id").alias("caller_method_id"), F.col("class_full_name").alias("caller_class")).dropDuplicates(["caller_method_id"])
     c = calls.select("callsite_id", "caller_method_id", "callee_name", "receiver", F.col("receiver_type").alias("written"), F.coalesce("argument_count", F.lit(-1)).alias("n"), F.coalesce("argument_types", F.array().cast("array<string>")).alias("given"))
     c = c.join(caller, "caller_method_id", "left")
@@ -114,7 +130,8 @@ def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritanc
     up = ancestors(look.classes, inheritance)
     inherited = pairs.join(up, "cls").join(look.by_class.select(F.col("cls").alias("ancestor"), "method_name", F.col("c").alias("found")), ["ancestor", "method_name"])
     inherited = inherited.groupBy("cls", "method_name").agg(F.min_by("found", F.struct("distance", "rank", "ancestor")).alias("inherited"))
-    below = inheritance.filter("relation = 'implements'").groupBy(F.col("target").alias("cls")).agg(F.count_distinct("source").alias("k"), F.min("source").alias("sole")).filter("k = 1")
+    # receivers of unqualified types meet the names that implementers wrote, the others full names
+    below = inheritance.unionByName(written).filter("relation = 'implements'").groupBy(F.col("target").alias("cls")).agg(F.count_distinct("source").alias("k"), F.min("source").alias("sole")).filter("k = 1")
     sole = pairs.join(below, "cls").join(look.by_class.select(F.col("cls").alias("sole"), "method_name", F.col("c").alias("impl")), ["sole", "method_name"]).select("cls", "method_name", "impl")
     short = pairs.withColumn("short", ids.short_name("cls")).join(look.by_short.withColumnRenamed("c", "by_short"), ["short", "method_name"]).select("cls", "method_name", "by_short")
     facts = reduce(lambda a, b: a.join(b, ["cls", "method_name"], "left"), (exact, inherited, sole, short), pairs)
@@ -176,10 +193,12 @@ def dynamic_cascade(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return c.select("callsite_id", status.alias("status"), found.alias("candidates"))
 
 
-def hierarchy_fan_out(resolved: DataFrame, methods: DataFrame, inheritance: DataFrame, depth: int = 20) -> DataFrame:
-    """Candidates joined by the overriding methods of subtypes, except for names that every type has."""
+def hierarchy_fan_out(resolved: DataFrame, methods: DataFrame, inheritance: DataFrame, depth: int | None = None) -> DataFrame:
+    """Candidates joined by the overriding methods of subtypes, except for names that every type has. Targets of
+    ``inheritance`` are full names (see :func:`resolved_parents`)."""
     m = methods.select("id", F.col("class_full_name").alias("cls"), "method_name")
-    down = closure(inheritance.select(F.col("target").alias("src"), F.col("source").alias("dst")), depth=depth)
+    e = inheritance.select(F.col("target").alias("src"), F.col("source").alias("dst"))
+    down = deep_closure(e) if depth is None else closure(e, depth=depth)
     targets = resolved.select("callsite_id", F.explode("candidates").alias("id")).join(m, "id").filter(~F.col("method_name").isin(NO_FAN_OUT))
     over = targets.join(down.select(F.col("src").alias("cls"), F.col("dst").alias("sub")), "cls").join(m.select(F.col("id").alias("sub_id"), F.col("cls").alias("sub"), "method_name"), ["sub", "method_name"])
     more = over.groupBy("callsite_id").agg(F.collect_set("sub_id").alias("more"))
@@ -206,7 +225,7 @@ def phantom_edges(edges: DataFrame, methods: DataFrame, classes: DataFrame, conf
     return edges.join(m, "dst", "left").withColumn("phantom", F.coalesce("phantom", F.lit(False)))
 
 
-def reachable_imports(edges: DataFrame, methods: DataFrame, imports: DataFrame, depth: int = 20) -> DataFrame:
+def reachable_imports(edges: DataFrame, methods: DataFrame, imports: DataFrame, depth: int | None = None) -> DataFrame:
     """Edges within a module, or into a module that the caller's module imports directly or over others (src, dst modules)."""
     m = methods.select("id", "module_id").dropDuplicates(["id"])
     full = edges.join(m.select(F.col("id").alias("src"), F.col("module_id").alias("a")), "src").join(m.select(F.col("id").alias("dst"), F.col("module_id").alias("b")), "dst")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomgraph.operators import resolve
+from loomgraph.operators import resolve, traversal
 from loomgraph.operators import code_graph as cg
 
 CALLS = "callsite_id string, caller_method_id string, callee_name string, receiver string, receiver_type string, argument_count int, argument_types array<string>"
@@ -31,3 +31,36 @@ def test_all_methods_of_a_name(resolved):
         "zero": ("candidate_global_name_arity", ["m3"]),
         "none": ("unresolved_method", []),
     }
+
+
+def test_parents_by_short_name_and_deep_chains(spark, resolved):
+    chain = [(f"c{i}", f"p.C{i}", "p", f"C{i + 1}" if i < 25 else None, None, []) for i in range(26)]
+    classes = [*chain, ("d", "q.D", "q", "Far<String>", '["Kind", "Flag"]', ["r.Far", "s.*"]), ("e", "r.Far", "r", None, None, []), ("f", "q.Kind", "q", None, None, []), ("g", "s.Flag", "s", None, None, []), ("h", "Bare", "", "C0", None, [])]
+    inh = cg.inheritance_edges(spark.createDataFrame(classes, CLASSES))
+    full = resolve.resolved_parents(spark.createDataFrame(classes, CLASSES), inh)
+    assert {(r["target"], r["relation"]) for r in full.filter("source = 'q.D'").collect()} == {("r.Far", "extends"), ("q.Kind", "implements"), ("s.Flag", "implements")}
+    assert [r["target"] for r in full.filter("source = 'Bare'").collect()] == ["C0"]
+    methods = [("m0", "p.C0", "start", []), ("m1", "p.C25", "stop", []), ("m2", "q.D", "run", []), ("m3", "r.Far", "go", []), ("m4", "s.Flag", "wave", [])]
+    calls = [("deep", "m0", "stop", None, None, 0, []), ("far", "m2", "go", None, None, 0, []), ("flag", "m2", "wave", None, None, 0, []), ("typed", "m2", "stop", "x", "p.C0", 0, [])]
+    assert resolved(calls, methods, classes) == {
+        "deep": ("resolved_inherited", ["m1"]),
+        "far": ("resolved_inherited", ["m3"]),
+        "flag": ("resolved_inherited", ["m4"]),
+        "typed": ("resolved_inherited", ["m1"]),
+    }
+
+
+def test_fan_out_and_imports_of_any_depth(spark):
+    methods = spark.createDataFrame([("a", "C0", "stop", "M0"), ("b", "C22", "stop", "M22")], "id string, class_full_name string, method_name string, module_id string")
+    links = [(f"C{i + 1}", f"C{i}", f"M{i}", f"M{i + 1}") for i in range(22)]
+    inh = spark.createDataFrame([(s, t) for s, t, _, _ in links], "source string, target string")
+    hits = spark.createDataFrame([("k", "x", ["a"])], "callsite_id string, status string, candidates array<string>")
+    assert resolve.hierarchy_fan_out(hits, methods, inh).first()["candidates"] == ["a", "b"]
+    imports = spark.createDataFrame([(a, b) for _, _, a, b in links], "src string, dst string")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    assert resolve.reachable_imports(edges, methods, imports).count() == 1
+
+
+def test_doubling_gives_the_closure(spark):
+    e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (0, 3), (4, 2), (7, 7)], "src int, dst int")
+    assert sorted(map(tuple, traversal.deep_closure(e).collect())) == sorted(map(tuple, traversal.closure(e).collect()))
