@@ -13,7 +13,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
@@ -134,6 +134,46 @@ def dense_hits(vectors: DataFrame, query: Sequence[float], k: int, id_: str = "m
     return fit.select(F.col(id_).alias("id"), cosine(F.col("embedding"), q).alias("similarity")).filter("similarity is not null and not isnan(similarity)").orderBy(F.desc("similarity"), "id").limit(k)
 
 
+#: Vectors of a block and queries of a block: one task holds the products of both.
+BLOCK, ASKED = 8192, 1024
+
+
+def dense_hits_all(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "method_id") -> DataFrame:
+    """(query, id, similarity): the ``k`` vectors nearest to each row of ``queries`` by brute force, block by block; ties by id.
+    Only vectors of the query's length count; those with nulls and of norm 0 have no similarity."""
+    clean = lambda df: df.filter("embedding is not null and forall(embedding, x -> x is not null)").select(F.col(id_).alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("n"))
+    v, q = clean(vectors), clean(queries)
+    parts, asked = vectors.count() // BLOCK + 1, queries.count() // ASKED + 1
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.withColumn("p", of(parts)).withColumn("b", every(asked))
+    q = q.withColumn("b", of(asked)).withColumn("p", every(parts))
+    type_ = vectors.schema[id_].dataType.simpleString()
+
+    def run(left, right):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        ask, ids_ = left.column("id").to_pylist(), right.column("id").to_pylist()
+        out: tuple[list, list, list] = ([], [], [])
+        if ask and ids_:
+            x, y = (np.array(t.column("v").to_pylist(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = (x @ y.T) / np.sqrt((x * x).sum(1)[:, None] * (y * y).sum(1)[None, :])
+            for i, row in enumerate(s):
+                at = np.flatnonzero(~np.isnan(row))
+                if len(at) > k:  # all that are not below the k-th, so that ties are kept
+                    at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
+                for j in sorted(at.tolist(), key=lambda j: (-row[j], ids_[j]))[:k]:
+                    out[0].append(ask[i]), out[1].append(ids_[j]), out[2].append(float(row[j]))
+        return pa.table({"query": pa.array(out[0], left.schema.field("id").type), "id": pa.array(out[1], right.schema.field("id").type), "similarity": pa.array(out[2], pa.float64())})
+
+    keys = ["n", "b", "p"]
+    near = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(run, f"query {type_}, id {type_}, similarity double")
+    first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
+    return near.withColumn("r", first).filter(F.col("r") <= k).drop("r")
+
+
 def blended(hits: DataFrame, least: float | None = None) -> DataFrame:
     """``hits`` (id, score, similarity, heuristic) with ``blend``: 0.6 of the BM25 score scaled to 0..1 over the hits, 0.2 of
     the similarity and 0.2 of the heuristic; 0.8 and 0.2 where there is no vector. The corpus has no part in it: the scale

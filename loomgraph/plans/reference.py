@@ -625,6 +625,12 @@ def search_dense(spark: SparkSession, folder: str) -> DataFrame:
     return search.dense_hits(v, q["embedding"], 10, "vec_id").withColumn("similarity", F.round("similarity", 5))
 
 
+@query("WITH s AS (SELECT q.vec_id AS query, v.vec_id AS id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS c FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) SELECT query, id, round(c, 5) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY c DESC, id) <= 10")
+def search_dense_all(spark: SparkSession, folder: str) -> DataFrame:
+    v = t(spark, folder, "embeddings")
+    return search.dense_hits_all(v, v.filter("vec_id % 20 = 0"), 10, "vec_id").withColumn("similarity", F.round("similarity", 5))
+
+
 @query("WITH e AS (SELECT event_id AS id, -value AS score, CASE WHEN event_type = 'view' THEN NULL ELSE value / 1000 END AS similarity, CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END AS heuristic FROM events WHERE value IS NOT NULL), b AS (SELECT min(-score) AS lo, max(-score) AS hi FROM e) SELECT id, round(CASE WHEN similarity IS NULL THEN 0.8 * (-score - lo) / (hi - lo) + 0.2 * heuristic ELSE 0.6 * (-score - lo) / (hi - lo) + 0.2 * similarity + 0.2 * heuristic END, 6) AS blend FROM e, b")
 def search_blend(spark: SparkSession, folder: str) -> DataFrame:
     e = t(spark, folder, "events").filter("value is not null")

@@ -51,3 +51,16 @@ def test_walks_from_all_endpoints(spark, calls):
     up = {x for s in called for x in reach(back, s, 3)} - called
     assert {r["id"] for r in QUERIES["graph_callers_endpoints"](spark, folder).collect()} == up
     assert rows(QUERIES["join_touching_endpoints"](spark, folder)) == [e for e in edges if ends & set(e)]
+
+
+def test_search_asks_with_all_queries(spark, tmp_path, monkeypatch):
+    from loomgraph.operators import search
+
+    monkeypatch.setattr(search, "BLOCK", 30)
+    monkeypatch.setattr(search, "ASKED", 2)
+    r = random.Random(3)
+    data = [(i, [r.uniform(-1, 1) for _ in range(4)]) for i in range(100)]
+    spark.createDataFrame(data, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {(q, i) for q, a in data if q % 20 == 0 for i in sorted(range(100), key=lambda i: -dot(a, data[i][1]) / dot(data[i][1], data[i][1]) ** 0.5)[:10]}
+    assert {(x["query"], x["id"]) for x in QUERIES["search_dense_all"](spark, str(tmp_path)).collect()} == want
