@@ -7,30 +7,58 @@ import xxhash
 from loomgraph.llm import generated_files as g
 
 
-def sequences(texts):
-    table, tokens, rows = {}, [], []
-    for i, s in enumerate(texts):
-        for w in s.split():
-            tokens.append(table.setdefault(w, len(table)))
-            rows.append(i)
+def numbered(files):
+    """Tokens, members, files and hashes of files that are lists of members."""
+    table, tokens, members, of = {}, [], [], []
+    for f, texts in enumerate(files):
+        for s in texts:
+            for w in s.split():
+                tokens.append(table.setdefault(w, len(table)))
+                members.append(len(of))
+            of.append(f)
     hashes = np.array([xxhash.xxh64_intdigest(w) | 1 for w in table] + [0], np.uint64)
-    return g.grammars(np.array(tokens, np.int32), np.array(rows, np.int64), hashes, len(texts))
+    return np.array(tokens, np.int32), np.array(members, np.int64), np.array(of, np.int64), hashes
 
 
 def test_grammar_shortens_what_repeats():
     rng = random.Random(1)
     noise = " ".join(str(rng.random()) for _ in range(200))
-    out = sequences(["a b c d " * 50, noise, "x " * 64, ""])
-    assert out["total"].tolist() == [200, 200, 64, 0]
+    out = g.grammars(*numbered([["a b c d " * 50], [noise], ["x " * 64]]))
     assert out["final"][0] <= 12 and out["final"][1] == 200 and out["final"][2] <= 4 and out["rules"][1] == 0
 
 
-def test_equal_sequences_share_rules_wherever_they_are():
-    body = " ".join(f"t{i} u{i % 7}" for i in range(60))
-    a = sequences([body, "p q " * 40, body])
-    b = sequences(["z", body])
-    whole = lambda out, row: {h for r, h, _ in zip(*(x.tolist() for x in out["long"]), strict=True) if r == row}
-    assert whole(a, 0) == whole(a, 2) and whole(a, 0) & whole(b, 1)
+def test_grammar_sees_what_repeats_between_members_of_a_file():
+    getter = "public int get {i} ( ) {{ return value {i} ; }}"
+    apart = g.grammars(*numbered([[getter.format(i=i)] for i in range(50)]))
+    together = g.grammars(*numbered([[getter.format(i=i) for i in range(50)]]))
+    assert apart["rules"].sum() == 0
+    assert together["final"][0] + 2 * together["rules"][0] < 0.5 * apart["final"].sum()
+
+
+def test_grammar_does_not_depend_on_the_other_files():
+    rng = random.Random(2)
+    texts = [[" ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 90))) for _ in range(3)] for _ in range(20)]
+    together = g.grammars(*numbered(texts))
+    for i, members in enumerate(texts):
+        alone = g.grammars(*numbered([members]))
+        if alone["final"].size:
+            assert (alone["final"][0], alone["rules"][0]) == (together["final"][i], together["rules"][i])
+
+
+def test_long_runs_are_compressed_whole():
+    rng = random.Random(3)
+    run = " ".join(f"t{rng.random()}" for _ in range(900))
+    out = g.grammars(*numbered([[run + " middle " + run]]))
+    assert out["final"][0] <= 60  # more rounds than 40 would be needed from one end
+
+
+def test_copies_that_differ_in_a_token_share_rules():
+    lines = [f"call{i} ( arg{i} , {i} ) ;" for i in range(60)]
+    a = " ".join(lines)
+    lines[30] = lines[30].replace("arg30", "other")
+    files, rules, sizes = g.phrases(*numbered([[a], ["z " + " ".join(lines)], ["p q r s " * 20]]))
+    of = [dict(zip(rules[files == f].tolist(), sizes[files == f].tolist(), strict=True)) for f in range(3)]
+    assert sum(n for h, n in of[0].items() if h in of[1]) > 0.75 * 420 and not set(of[0]) & set(of[2])
 
 
 MARKED = ["m/node_modules/x/a.js", "m/build/generated/sources/A.java", "m/target/generated-sources/t/A.java", "m/vendor/lib/a.go", "m\\third_party\\lib\\A.java", "./m/obj/Debug/A.g.cs", "m/src/a_pb2.py", "m/src/gen/a_pb.ts", "m/internal/x/a.pb.go", "m/src/a.min.js", "m/dist/main.0a1b2c3d.js", "m/src/assets/lib-1.2.3.js", "m/src/X/A.Designer.cs", "m/packages/Lib.1.2/A.cs", "m/internal/zz_generated_a.go", "m/venv/lib/python3/site-packages/x/a.py"]
@@ -57,12 +85,22 @@ def test_files(spark):
     data = "int[] t() { return { " + ", ".join(f"0x{i * 2654435761 % 65536:04x}" for i in range(150)) + " }; }"
     hand = "public int sum(int[] values) {\n  int total = 0;\n  for (int value : values) { total += value; }\n  return total;\n}\n"
     shared = "int shared() { " + " ".join(f"call{i}(arg{i});" for i in range(40)) + " }"
-    methods = [("m/src/mini.js", mini), ("m/src/Data.java", data), ("m/src/Hand.java", hand), ("m/src/Hand.java", None), ("m/src/Banner.java", "// Generated by tool, do not modify!\n" + hand), (None, hand)]
-    methods += [(f"{r}/src/Copy.java", shared) for r in "xyz"]
-    classes = [("m/src/Ann.java", ['@Generated("tool")']), ("m/src/Member.java", ["[CompilerGenerated]", None]), ("m/src/Hand.java", None)]
-    m = spark.createDataFrame(methods, "file_path string, source string").selectExpr("*", "true as generated", "1 as tokens")
+    rows = [("m/src/mini.js", mini, None), ("m/src/Data.java", data, False), ("m/src/Hand.java", hand, True), ("m/src/Hand.java", None, True), ("m/src/Banner.java", "// Generated by tool, do not modify!\n" + hand, None), (None, hand, None), ("m/src/Null.java", None, True), ("m/src/Empty.java", "", True)]
+    rows += [(f"{r}/src/Copy.java", shared.replace("arg9)", f"{r})"), None) for r in "xyz"]
+    rows += [("m/src/Many.java", f"  public String get{chr(65 + i // 26)}x{chr(97 + i % 26)}() {{\n    return this.n{chr(97 + i % 26)}{chr(65 + i // 26)};\n  }}\n", None) for i in range(60)]
+    rows += [("m/src/Flags.java", hand + f"// {i}", True) for i in range(2)] + [("m/src/Mixed.java", hand + f"// {i}", i > 0) for i in range(3)]
+    rows.append(("m/src/Long.java", "x = y;\n" * 700_000, None))
+    methods = [(p, f"{i}", s, flag) for i, (p, s, flag) in enumerate(rows)]
+    methods += [("m/src/Again.java", "same", hand + hand[::-1] * i, None) for i in range(30)]
+    classes = [("m/src/Ann.java", ['@Generated("tool")']), ("m/src/Ann.cs", ["[CompilerGenerated]", None]), ("m/src/Member.java", ["@GeneratedValue"]), ("m/src/Hand.java", None), (None, ['@Generated("tool")'])]
+    m = spark.createDataFrame(methods, "file_path string, id string, source string, generated boolean").selectExpr("*", "timestamp'2024-01-01' as indexed_at", "1 as tokens", "2 as rest")
     c = spark.createDataFrame(classes, "file_path string, annotations array<string>")
     got = {r["file_path"]: r for r in g.judged_files(m, c).collect()}
-    assert {p for p, r in got.items() if not r["by_hand"]} == {"m/src/mini.js", "m/src/Data.java", "m/src/Banner.java", "m/src/Ann.java", "x/src/Copy.java", "y/src/Copy.java", "z/src/Copy.java"}
-    assert got["m/src/mini.js"]["minified"] and got["m/src/Data.java"]["data"] and got["x/src/Copy.java"]["shared"]
+    found = {"mini.js": "minified", "Data.java": "data", "Banner.java": "tool", "Ann.java": "annotated", "Ann.cs": "annotated", "Many.java": "written", "Flags.java": "flagged"}
+    for name, mark in found.items():
+        assert got[f"m/src/{name}"][mark], name
+    assert {p for p, r in got.items() if not r["by_hand"]} == {*(f"m/src/{n}" for n in found), "x/src/Copy.java", "y/src/Copy.java", "z/src/Copy.java"}
+    assert {"m/src/Null.java", "m/src/Empty.java", "m/src/Long.java", "m/src/Again.java"} <= set(got) and None not in got
+    twice = {r["file_path"]: r for r in g.judged_files(m.unionByName(m), c.unionByName(c)).collect()}
+    assert twice == got
     assert g.judged_files(m.limit(0), c.limit(0)).count() == 0
