@@ -1,7 +1,7 @@
 """Functions paired with the documentation that describes them.
 
-Method: the declaration is found with one regular expression per language; its body is delimited with a stack (of
-indentation in Python, of brackets elsewhere); the comment is attached by line distance: it must end on the last line
+Method: the declaration is found with one regular expression per language, outside of comments and strings, which one
+scanner blanks first, over line ends too; its body is delimited with a stack (of brackets, beside indentation in Python); the comment is attached by line distance: it must end on the last line
 above the declaration that is neither an annotation nor, where the language's tools allow it, blank. In Python it is the
 first string of the body. The description is what remains of the comment without tags and their texts, the method's
 name reworded, inherit markers, to-do notes, rulers, notices and commented-out code.
@@ -112,64 +112,102 @@ def describe(comment: list[str], method_name: str, language: str) -> str:
 _FIND = {language: re.compile(r"^\s*(?:(?:@\w+(?:\([^)]*\))?|\[[^\]]*\])\s+)*" + form) for language, form in _DECLARATION.items()}
 
 
-def _masked(lines: list[str], language: str) -> list[bool]:
-    """Which lines lie in a block comment, so that no declaration is sought there."""
-    out, inside = [], False
-    for line in lines:
-        out.append(inside or line.lstrip().startswith(("/*", "//", "#", "*")))
-        if language != "python":
-            at = 0
-            while True:
-                at = line.find("*/" if inside else "/*", at)
-                if at < 0 or not inside and "//" in line[:at] or not inside and line[:at].count('"') % 2:
+# What isn't code: comments and strings, which may reach over lines. Of a construct without its end, the rest of the text.
+_LINE, _BLOCK = r"//[^\n]*", r"/\*.*?(?:\*/|\Z)"
+_PLAIN, _TRIPLE = r'"(?:\\.|[^"\\\n])*(?:"|$)', r'"""(?:\\.|.)*?(?:"""+|\Z)'
+_CHARACTER = r"'(?:\\[^\n]{1,9}?|[^'\\\n])'"
+_OPAQUE = {
+    language: re.compile("|".join(forms), re.S | re.M)
+    for language, forms in {
+        "java": (_LINE, _BLOCK, _TRIPLE, _PLAIN, _CHARACTER),
+        "scala": (_LINE, _BLOCK, r'"""(?:(?!""").)*(?:"""+|\Z)', _PLAIN, _CHARACTER),
+        "csharp": (_LINE, _BLOCK, r'"""(?:(?!""").)*(?:"""+|\Z)', r'(?:\$@|@\$|@)"(?:""|[^"])*(?:"|\Z)', _PLAIN, _CHARACTER),
+        "typescript": (_LINE, _BLOCK, _PLAIN, r"'(?:\\.|[^'\\\n])*(?:'|$)", r"`(?:\\.|[^`\\])*(?:`|\Z)", r"(?<=[(,=:\[!&|?{};])[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"),
+        "go": (_LINE, _BLOCK, _PLAIN, r"`[^`]*(?:`|\Z)", r"'(?:\\[^'\n]+|[^'\\\n])'"),
+        "python": (r"#[^\n]*", r'"""(?:\\.|.)*?(?:"""|\Z)', r"'''(?:\\.|.)*?(?:'''|\Z)", _PLAIN, r"'(?:\\.|[^'\\\n])*(?:'|$)"),
+    }.items()
+}
+_NESTED = re.compile(r"/\*|\*/")
+
+
+def bare(source: str, language: str) -> tuple[list[str], list[bool]]:
+    """The lines of a source in which comments and strings, but for the first character of these, are blank, and which lines
+    begin within a string."""
+    out, at, within = [], 0, set()
+    line = 0
+    find = _OPAQUE[language]
+    while m := find.search(source, at):
+        start, end = m.span()
+        comment = source[start] == "#" or source.startswith(("//", "/*"), start)
+        if language == "scala" and source.startswith("/*", start):  # comments nest
+            depth, end = 0, len(source)
+            for mark in _NESTED.finditer(source, start):
+                depth += 1 if mark[0] == "/*" else -1
+                if not depth:
+                    end = mark.end()
                     break
-                inside = not inside
-                at += 2
-    return out
+        if end == start:
+            end = start + 1
+        kept = source[at:start] + ("" if comment else source[start])
+        body = source[start + (not comment) : end]
+        out.append(kept)
+        out.append("\n".join(" " * len(x) for x in body.split("\n")))
+        line += kept.count("\n")
+        lines = body.count("\n")
+        if not comment:
+            within.update(range(line + 1, line + lines + 1))
+        line += lines
+        at = end
+    out.append(source[at:])
+    plain = "".join(out).split("\n")
+    return plain, [k in within for k in range(len(plain))]
 
 
 _PAIRS = {")": "(", "]": "[", "}": "{"}
-_QUOTED = re.compile(r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|`(?:\\.|[^`\\])*`|//.*')
+_BRACKETS = re.compile(r"[()\[\]{}]")
 
 
-def body_end(lines: list[str], start: int, language: str) -> int:
-    """The line after the last one of the body of the declaration at ``start``."""
-    if language == "python":
-        indent = len(lines[start]) - len(lines[start].lstrip())
-        end = start + 1
-        depth = 0
-        for k in range(start, len(lines)):
-            plain = _QUOTED.sub("", lines[k])
-            if k > start and plain.strip() and depth <= 0 and len(plain) - len(plain.lstrip()) <= indent and not plain.lstrip().startswith(")"):
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip())
+
+
+def body_end(lines: list[str], plain: list[str], within: list[bool], start: int, language: str) -> int:
+    """The line after the last one of the body of the declaration at ``start``. ``plain`` and ``within`` come from bare."""
+    indent, end, stack, opened = _indent(lines[start]), start + 1, [], False
+    for k in range(start, len(lines)):
+        code = plain[k].strip()
+        if language == "python":
+            if k > start and code and not within[k] and not stack and _indent(plain[k]) <= indent:
                 break
-            depth += sum(plain.count(c) for c in "([{") - sum(plain.count(c) for c in ")]}")
-            if lines[k].strip():
+            if within[k] or code or lines[k].strip() and _indent(lines[k]) > indent:
                 end = k + 1
-        return end
-    stack, opened = [], False
-    for k in range(start, len(lines)):
-        plain = _QUOTED.sub("", lines[k])
-        for c in plain:
+        for c in _BRACKETS.findall(plain[k]):
             if c in "([{":
+                opened |= c == "{" and not stack
                 stack.append(c)
-                opened |= c == "{"
-            elif c in _PAIRS and stack and stack[-1] == _PAIRS[c]:
+            elif stack and stack[-1] == _PAIRS[c]:
                 stack.pop()
-        if not stack and (opened or plain.rstrip().endswith(";")):
+        if language == "python" or stack or not code:
+            continue
+        if opened or code[-1] == ";":
             return k + 1
-    return len(lines)
+        if language in ("scala", "typescript") and code[-1] not in "=,>":  # an expression without brackets ends with its indentation
+            after = next((x for x in plain[k + 1 :] if x.strip()), "")
+            if not after or _indent(after) <= indent and after.strip()[0] not in ".{":
+                return k + 1
+    return end if language == "python" else len(lines)
 
 
 _STRING = re.compile(r'(?i)^\s*(?:r|u|ur)?("""|\'\'\'|"|\')')
 
 
-def _python_comment(lines: list[str], start: int) -> list[str] | None:
+def _python_comment(lines: list[str], plain: list[str], start: int) -> list[str] | None:
     depth, k = 0, start
     while k < len(lines):  # the end of the signature
-        plain = re.sub(r"#.*", "", _QUOTED.sub("", lines[k]))
-        depth += sum(plain.count(c) for c in "([{") - sum(plain.count(c) for c in ")]}")
-        if depth <= 0 and ":" in plain:
-            rest = plain.rsplit(":", 1)[1].strip() if plain.rstrip()[-1] != ":" else ""
+        code = plain[k]
+        depth += sum(code.count(c) for c in "([{") - sum(code.count(c) for c in ")]}")
+        if depth <= 0 and ":" in code:
+            rest = code.rsplit(":", 1)[1].strip() if code.rstrip()[-1] != ":" else ""
             if rest:
                 return None
             break
@@ -189,10 +227,10 @@ def _python_comment(lines: list[str], start: int) -> list[str] | None:
     return [body[0].strip(), *(x[min(indent, len(x) - len(x.lstrip())) :] for x in body[1:])]
 
 
-def comment_of(lines: list[str], start: int, language: str) -> list[str] | None:
+def comment_of(lines: list[str], plain: list[str], start: int, language: str) -> list[str] | None:
     """The lines of the documentation comment of the declaration at ``start``, without marks; None if there is none."""
     if language == "python":
-        return _python_comment(lines, start)
+        return _python_comment(lines, plain, start)
     k, blank = start - 1, 0
     while k >= 0 and (_ANNOTATION.match(s := lines[k].strip()) or not s):
         blank += not s
@@ -225,18 +263,19 @@ def pair(source: str | None, method_name: str | None, language: str | None, sign
     find = _FIND.get(language)
     if find is None or not name:
         return None
-    lines = source.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    masked = None
+    source = source.replace("\r\n", "\n").replace("\r", "\n")
+    lines, plain, within = source.split("\n"), None, []
     for k, line in enumerate(lines):
         if name in line and (m := find.match(line)) and m[1] == name and not _STATEMENT.match(line.strip()):
-            masked = masked or _masked(lines, language)
-            if masked[k]:
-                continue
-            comment = comment_of(lines, k, language)
+            if plain is None:
+                plain, within = bare(source, language)
+            if plain[k][m.start(1) : m.end(1)] != name:
+                continue  # within a comment or a string
+            comment = comment_of(lines, plain, k, language)
             text = describe(comment, name, language) if comment else ""
             if words(text) < MIN_WORDS:
                 return None
-            return "\n".join(lines[k : body_end(lines, k, language)]), text
+            return "\n".join(lines[k : body_end(lines, plain, within, k, language)]), text
     return None
 
 

@@ -49,6 +49,44 @@ def test_code_is_the_body():
     assert code.endswith("return b")
 
 
+DOC = f"/** {GOOD} */\n"
+BODIES = {
+    "python": [
+        "def f(a):\n    \'\'\'DOC\n\nA line at column 0: ( [ {\n    \'\'\'\n    x = \'\'\'\nelse\n\'\'\'\n    return x  # )",
+        "def f(a):\n    \'\'\'DOC\'\'\'\n# a note at column 0\n    return [\n1,\n]",
+        "def f(a):\n    \'\'\'DOC\'\'\'",
+        "def f(\n    a='(',\n):\n    \'\'\'DOC\'\'\'\n    s = '\\'{'\n    return s\n    # the end",
+    ],
+    "java": [
+        "int f() {\n  /* { */\n  // }}\n  return 1;\n}",
+        'int f() {\n  var s = """\n    }\n    "} \\""" {\n    """;\n  return s;\n}',
+        "int f() {\n  char c = '{', d = '\\'', e = '\\u007b';\n  String s = \"}\\\"}\";\n}",
+        "int f(int a,\n      int b)\n    throws X\n{\n  return a;\n}",
+        "abstract int f();",
+    ],
+    "csharp": ['int f() {\n  var s = @"\n}"" {";\n  var t = $"{s}}}";\n}', "int f() => 1;"],
+    "typescript": ["f({ a, b }: P): { c: number } {\n  const s = `}\n${a}`, r = /[{/]}/g;\n  return s;\n}", "const f = (a) =>\n  a + 1", "const f = (a) => a + 1"],
+    "scala": ["def f(a: Int): Int = a + 1", "def f(a: Int): Int =\n  a +\n    1", "def f() = {\n  /* { /* } */ } */\n  val s = \"\"\"}\n}\"\"\"\n  val c = '{'\n  s\n}", "def f(a: Int): Int = a match {\n  case 1 => 2\n}"],
+    "go": ["func (s *S) f() interface{} {\n\tx := `}\n}`\n\tr := '{'\n\treturn x // }\n}"],
+}
+OTHER = {"python": "\n\ndef g():\n    pass", "java": "\n\nint g() { }", "csharp": "\n\nint g() { }", "typescript": "\n\ng() { }", "scala": "\n\ndef g() = 2", "go": "\n\nfunc g() { }"}
+
+
+@pytest.mark.parametrize(("language", "body"), [(language, b) for language, bodies in BODIES.items() for b in bodies])
+def test_bodies(language, body):
+    doc = {"python": "", "go": f"// {GOOD}\n", "csharp": f"/// {GOOD}\n"}.get(language, DOC)
+    body = body.replace("DOC", GOOD)
+    for after in ("", OTHER[language]):
+        code, text = code_docs.pair(doc + body + after, "f", language)
+        assert code == body
+        assert text.startswith(GOOD[:-1])
+
+
+def test_declarations_in_strings_are_none():
+    source = f'String s = """\n/** {GOOD} */\nint f() {{ }}\n""";\nint f() {{ }}'
+    assert code_docs.pair(source, "f", "java") is None
+
+
 def test_table(spark):
     rows = [("1", "java", "run", "C#run()", f"/** {GOOD} */\nint run() {{ }}", "x"), ("2", "java", "run", None, None, "x"), ("1", "java", "run", "C#run()", f"/** {GOOD} */\nint run() {{ }}", "x"), ("3", "java", None, "C#run()", f"/** {GOOD} */\nint run() {{ }}", "x"), ("4", None, "run", None, "text " * 50_000, "x")]
     df = spark.createDataFrame(rows, "id string, language string, method_name string, signature string, source string, description string")
