@@ -6,17 +6,19 @@ before leave over. Codes are chosen by beam search over all codebooks. The norm
 makes one table of its products with all codewords, so that a stored vector is scored with a few look-ups and its norm;
 the best ``RERANKED`` are then scored exactly.
 
-Each vector is listed in the cells nearest to it and asks in its own cell only. In how many cells, is the least of
-``PROBES`` with which the sample's own nearest pairs share a cell to the degree ``COVERED``, found for each model. Cells near each other form
-regions of about ``REGION`` vectors, found by halving the codebook along its longest axis; a vector is sent once to each
+Each vector is listed in the cells nearest to it and asks in its own cell only. In how many cells, is the least number with
+which the sample's own nearest pairs share a cell to the degree ``COVERED``, found for each model and not bounded: where
+vectors have hardly any structure it goes up to all cells, which is exact. A model of n vectors has n / ``PER_CELL`` cells or,
+beyond ``FLAT_CELLS``, twice the square root of n, so that both finding cells and searching them cost a root of n for each
+vector. Cells near each other form regions of about ``REGION`` vectors, found by halving the codebook along its longest axis; a vector is sent once to each
 region in which it is listed, as 16-bit fixed-point numbers (cosines differ by about 1e-5), so a region is searched by one
 task without joins. Regions that, going by the sample, hold more than the bounds are split by query and by stored
 vector, and the parts' best are merged.
 
 Groups of more than ``COPIES`` equal vectors are indexed by their first members; the others' nearest are these, exactly.
 
-Codebooks are fitted on a sample of at most ``SAMPLE`` vectors of each model (those with the least hash of their id);
-every usable vector is indexed and asks. Defined results: null, empty, short, long, zero and non-finite vectors, null
+Codebooks are fitted, each model by one task, on a sample of ``SAMPLE`` vectors of each model, or of ``PER_CENTRE`` for each
+cell where that is more (those with the least hash of their id); every usable vector is indexed and asks. Defined results: null, empty, short, long, zero and non-finite vectors, null
 elements and null ids or models take no part; of several usable rows of one id and model the latest counts (ties: the
 greatest hash of the vector); null ``created_at`` is least; equal similarities are ordered by id; a model with one vector
 has no neighbours; an empty table gives none. Only the named columns are read.
@@ -35,11 +37,13 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 K = 5
-PROBES, COVERED = (8, 16, 32, 64, 128), 0.92
-RERANKED, BEAM = 96, 3
+LEAST_PROBES, COVERED = 8, 0.95
+RERANKED, BEAM = 160, 3
 BOOKS, WORDS = 12, 256
-PER_CELL, MOST_CELLS = 256, 2048
-SAMPLE = 65_536
+PER_CELL, FLAT_CELLS = 256, 2048
+SAMPLE, PER_CENTRE = 65_536, 8
+#: Scores that a block of queries and stored vectors has at once.
+BLOCK = 1 << 22
 REGION = 32_768
 MOST_QUERIES, MOST_STORED = 65_536, 262_144
 FIXED = 32_767
@@ -103,10 +107,20 @@ def _regions(cells: np.ndarray, weight: np.ndarray, most: float) -> np.ndarray:
     return out
 
 
+def cells_of(total: int) -> int:
+    """The number of cells for so many vectors."""
+    return int(max(1, min(total / PER_CELL, max(FLAT_CELLS, 2 * total**0.5))))
+
+
+def sample_of(total: int) -> int:
+    """The greatest number of vectors from which codebooks are fitted: a root of the total, beyond SAMPLE."""
+    return min(total, max(PER_CENTRE * cells_of(total), min(SAMPLE, max(64 * WORDS, 32 * total // PER_CELL))))
+
+
 def fit(sample: np.ndarray, total: int, seed: int = 0) -> Codebooks:
     """Codebooks for about ``total`` unit vectors of which ``sample`` is a sample."""
     rng = np.random.default_rng(seed)
-    k = int(min(MOST_CELLS, max(1, total / PER_CELL), max(1, len(sample) / 8)))
+    k = int(min(cells_of(total), max(1, len(sample) / PER_CENTRE)))
     cells = _kmeans(sample, k, 8, rng)
     near = _nearest(sample, cells)
     rest, books = sample - cells[near], []
@@ -118,16 +132,17 @@ def fit(sample: np.ndarray, total: int, seed: int = 0) -> Codebooks:
     scale = total / max(1, len(sample))
     region = _regions(cells, np.bincount(near, minlength=len(cells)) * scale + 1e-9, REGION)
     some = sample[:16_384]
-    lists = _listed(some, cells, max(PROBES))
-    probes = _probes(some, lists, rng)
-    part = np.unique(region[lists[:, :probes]] + np.arange(len(some))[:, None] * (region.max() + 1)) % (region.max() + 1)
+    probes = _probes(some, cells, rng)
+    lists = _listed(some, cells, probes)
+    part = np.unique(region[lists] + np.arange(len(some))[:, None] * (region.max() + 1)) % (region.max() + 1)
     scale, most = total / max(1, len(some)), int(region.max()) + 1
     return Codebooks(cells, books, region, probes, np.bincount(region[lists[:, 0]], minlength=most) * scale, np.bincount(part, minlength=most) * scale)
 
 
-def _listed(x: np.ndarray, cells: np.ndarray, probes: int, block: int = 4096) -> np.ndarray:
+def _listed(x: np.ndarray, cells: np.ndarray, probes: int) -> np.ndarray:
     """The nearest cells of each vector, nearest first."""
     probes = min(probes, len(cells))
+    block = max(1, BLOCK // len(cells))
     half, out = (cells * cells).sum(1) / 2, np.empty((len(x), probes), np.int64)
     for i in range(0, len(x), block):
         loss = half - x[i : i + block] @ cells.T
@@ -136,15 +151,20 @@ def _listed(x: np.ndarray, cells: np.ndarray, probes: int, block: int = 4096) ->
     return out
 
 
-def _probes(sample: np.ndarray, lists: np.ndarray, rng: np.random.Generator) -> int:
-    """The least of PROBES with which a vector's nearest in the sample are listed in its cell often enough."""
+def _probes(sample: np.ndarray, cells: np.ndarray, rng: np.random.Generator) -> int:
+    """In how many cells vectors must be listed so that enough of a vector's nearest in the sample are in its own cell."""
     asked = rng.choice(len(sample), min(512, len(sample)), replace=False)
     score = sample[asked] @ sample.T
     score[np.arange(len(asked)), asked] = -np.inf
     top = _best(score, min(K, max(1, len(sample) - 1)))
-    there = lists[top] == lists[asked, 0][:, None, None]
-    steps = [p for p in PROBES if p < lists.shape[1]] + [lists.shape[1]]
-    return next((p for p in steps if there[:, :, :p].any(2).mean() >= COVERED), steps[-1])
+    half = (cells * cells).sum(1) / 2
+    home = np.argmin(half - sample[asked] @ cells.T, axis=1)
+    ranks = []
+    for near, at in zip(top, home, strict=True):
+        loss = half - sample[near] @ cells.T
+        ranks.append((loss < loss[:, at, None]).sum(1))
+    need = int(np.quantile(np.concatenate(ranks), COVERED, method="higher")) + 1
+    return min(len(cells), max(LEAST_PROBES, need))
 
 
 def encode(x: np.ndarray, c: Codebooks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,15 +209,30 @@ def search(c: Codebooks, queries: np.ndarray, own: np.ndarray, home: np.ndarray,
         members = listed.get(int(home[asking[0]]))
         if members is None:
             continue
-        for i in range(0, len(asking), 1024):
-            ask = asking[i : i + 1024]
+        step = max(1, min(256, BLOCK // len(members)))
+        for i in range(0, len(asking), step):
+            ask = asking[i : i + step]
             q = queries[ask]
-            table = q @ words.T  # the products with all codewords
-            score = np.take(table, flat[members, 0], axis=1)
-            for level in range(1, flat.shape[1]):
-                score += np.take(table, flat[members, level], axis=1)
-            score /= norms[members]
-            top = members[_best(score, RERANKED)]
+            table = words @ q.T  # the products of all codewords; a codeword's row is contiguous
+            top = top_score = None
+            width = max(RERANKED, BLOCK // len(ask))
+            for j in range(0, len(members), width):
+                block = members[j : j + width]
+                score, more = np.take(table, flat[block, 0], axis=0), np.empty((len(block), len(ask)), np.float32)
+                for level in range(1, flat.shape[1]):
+                    score += np.take(table, flat[block, level], axis=0, out=more, mode="clip")
+                score /= norms[block, None]
+                score = np.ascontiguousarray(score.T)
+                if len(block) > RERANKED or top is not None:
+                    best = _best(score, RERANKED)
+                    found, score = block[best], np.take_along_axis(score, best, 1)
+                else:
+                    found = np.broadcast_to(block, score.shape)
+                if top is not None:
+                    found, score = np.hstack([top, found]), np.hstack([top_score, score])
+                    best = _best(score, RERANKED)
+                    found, score = np.take_along_axis(found, best, 1), np.take_along_axis(score, best, 1)
+                top, top_score = found, score
             exact = np.einsum("nd,nrd->nr", q, stored[top])
             exact[top == own[ask, None]] = -np.inf
             rank = np.lexsort((top, -exact), axis=1)[:, :k]
@@ -226,8 +261,51 @@ def _matrix(column: Any) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
 
 
+def _binary(x: np.ndarray, offsets: np.ndarray | None = None) -> Any:
+    """An Arrow column of binary values: the rows of ``x``, or its bytes between offsets."""
+    import pyarrow as pa
+
+    if offsets is None:
+        offsets = np.arange(len(x) + 1) * x[:1].nbytes
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _bytes(column: Any) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and the lengths of its values."""
+    import pyarrow as pa
+
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(whole.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
 def _joined(column: Any, kind: Any, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+    return _bytes(column)[0].copy().view(kind).reshape(-1, width)
+
+
+def fitted(base: DataFrame, sizes: dict[str, int]) -> dict[str, Codebooks]:
+    """The codebooks of each model, fitted by one task a model from the rows of least id hash."""
+    spark = base.sparkSession
+    wanted = spark.createDataFrame([(m, n, sample_of(n)) for m, n in sizes.items()], "model string, _total long, _most int")
+    h = F.shiftrightunsigned(F.xxhash64("method_id"), 1)
+    # the hash's upper part is even: so many rows fall below the bound, give or take a root of them
+    few = base.join(F.broadcast(wanted), "model").withColumn("_h", h).filter((F.col("_total") <= F.col("_most")) | (F.col("_h") < F.col("_most") / F.col("_total") * F.lit(float(2**63))))
+
+    def run(table):  # noqa: ANN001, ANN202
+        import pickle
+
+        import pyarrow as pa
+
+        order = np.lexsort((np.array(table.column("method_id").to_pylist(), object).astype(str), table.column("_h").to_numpy()))
+        total, most = table.column("_total")[0].as_py(), table.column("_most")[0].as_py()
+        taken = table.take(pa.array(order[:most]))
+        made = fit(_matrix(taken.column("embedding").combine_chunks()), total)
+        return pa.table({"model": pa.array([table.column("model")[0].as_py()]), "books": pa.array([pickle.dumps(made)], pa.binary())})
+
+    import pickle
+
+    rows = few.groupBy("model").applyInArrow(run, "model string, books binary").collect()  # one row per model
+    return {r["model"]: pickle.loads(r["books"]) for r in rows}
 
 
 def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
@@ -253,12 +331,8 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
         others = many.join(few.select("model", "method_id"), ["model", "method_id"], "left_anti")
         copies = others.join(first, group).select("model", "method_id", F.explode("_nearest").alias("neighbour"), F.lit(1.0).cast("float").alias("cosine"))
 
-    books: dict[str, Codebooks] = {}
-    for model, total in sorted(sizes.items()):
-        bound = int(min(SAMPLE, max(64 * WORDS, 32 * total / PER_CELL)))
-        taken = base.filter(F.col("model") == model).orderBy(F.xxhash64("method_id"), "method_id").limit(bound).select("embedding").toArrow()
-        books[model] = fit(_matrix(taken.column("embedding").combine_chunks()), total)
-    # bounded by MOST_CELLS and BOOKS * WORDS codewords for each model
+    books = fitted(base.select("model", "method_id", "embedding"), sizes)
+    # a 256th of the vectors at most, a root of them in great models, and BOOKS * WORDS codewords for each model
     shared = spark.sparkContext.broadcast(books)
     names = sorted(sizes)
     first_unit = dict(zip(names, np.cumsum([0, *(int(books[m].region.max()) + 1 for m in names)])[:-1].tolist(), strict=True))
@@ -275,18 +349,15 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
                     c, x = shared.value[model], _matrix(part.column(2))
                     codes, norms, near = encode(x, c)
                     unit = c.region[near] + first_unit[model]
-                    at, units, homes, cells = [], [], [], []
-                    for r, (of, to) in enumerate(zip(unit, near, strict=True)):
-                        for u in dict.fromkeys(of.tolist()):
-                            at.append(r)
-                            units.append(u)
-                            homes.append(u == of[0])
-                            cells.append(to[of == u].astype(np.int16).tobytes())
-                    coded = pa.array([row.tobytes() for row in codes.astype(np.int16)], pa.binary())
-                    raw = pa.array([row.tobytes() for row in np.rint(x * FIXED).astype(np.int16)], pa.binary())
-                    take = pa.array(at, pa.int32())
+                    row = np.repeat(np.arange(len(x)), near.shape[1])
+                    order = np.lexsort((unit.ravel(), row))  # stable: a vector's cells within a region stay nearest first
+                    row, of = row[order], unit.ravel()[order]
+                    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (of[1:] != of[:-1])))
+                    take = pa.array(row[first].astype(np.int32))
+                    coded = np.hstack([codes[:, :1].astype(np.int32).view(np.uint8), codes[:, 1:].astype(np.uint8)])
+                    raw = np.rint(x * FIXED).astype(np.int16)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(units, pa.int32()), pa.array(homes, pa.bool_()), part.column(0).take(take), part.column(1).take(take), coded.take(take), pa.array(norms).take(take), raw.take(take), pa.array(cells, pa.binary())],
+                        [pa.array(of[first], pa.int32()), pa.array(of[first] == unit[row[first], 0]), part.column(0).take(take), part.column(1).take(take), _binary(coded).take(take), pa.array(norms).take(take), _binary(raw).take(take), _binary(near.ravel()[order].astype(np.int32), np.append(first, len(order)) * 4)],
                         names=["unit", "home", "model", "method_id", "codes", "norm", "vector", "cells"],
                     )
 
@@ -316,19 +387,20 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
         order = np.argsort(ids, kind="stable")  # places rise with the ids, so ties go to the lesser id
         table, ids = table.take(pa.array(order)), ids[order]
         vectors = _joined(table.column("vector"), np.int16, c.cells.shape[1]).astype(np.float32) / FIXED
-        codes = _joined(table.column("codes"), np.int16, 1 + len(c.books)).astype(np.int64)
+        raw = _joined(table.column("codes"), np.uint8, 4 + len(c.books))
+        codes = np.hstack([np.ascontiguousarray(raw[:, :4]).view(np.int32), raw[:, 4:]]).astype(np.int64)
         norms = table.column("norm").to_numpy().astype(np.float32)
         asks, holds = (table.column(x).to_numpy(zero_copy_only=False) for x in ("asks", "holds"))
-        cells = table.column("cells").to_pylist()
-        lists = [np.frombuffer(x, np.int16) for x in cells]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists)) * holds
-        owner = np.repeat(np.arange(len(lists)), counts)
-        of = np.concatenate([x for x, h in zip(lists, holds, strict=True) if h] or [np.zeros(0, np.int16)])
+        data, lengths = _bytes(table.column("cells"))
+        cells, counts = data.copy().view(np.int32), lengths // 4
+        starts = np.cumsum(counts) - counts
+        held = np.repeat(holds, counts)
+        owner, of = np.repeat(np.arange(len(counts)), counts)[held], cells[held]
         by = np.argsort(of, kind="stable")
         bounds = np.flatnonzero(np.diff(of[by], prepend=-1, append=-1)) if len(of) else []
         listed = {int(of[by[a]]): owner[by[a:b]] for a, b in pairwise(bounds)}
         asking = np.flatnonzero(asks)
-        home = np.array([lists[i][0] for i in asking], np.int64)
+        home = cells[starts[asking]].astype(np.int64)
         places, cosines = search(c, vectors[asking], asking, home, vectors, codes, norms, listed, k)
         row, col = np.nonzero(places >= 0)
         return pa.table({"model": pa.array([model] * len(row), pa.string()), "method_id": pa.array(ids[asking[row]], pa.string()), "neighbour": pa.array(ids[places[row, col]], pa.string()), "cosine": pa.array(cosines[row, col], pa.float32())})
