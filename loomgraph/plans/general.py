@@ -27,13 +27,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Full path, depth, root and the number of descendants of each class that has a parent, and of each root."""
-    tree = cut(h.hierarchy(h.class_links(table(spark, folder, "classes")), paths=True))
-    below = h.descendants(tree).groupBy("ancestor").agg(F.count("*").alias("n"))
-    every = tree.select("node", "root", "depth", F.array_join("path", " > ").alias("path"))
-    roots = tree.filter("depth > 0").select("root").distinct().select(F.col("root").alias("node"), "root", F.lit(0).alias("depth"), F.col("root").alias("path"))
+    """Full path, depth, root and the number of descendants of each class that has a parent, and of each root. Classes
+    without an end to their ancestry have an empty root, depth -1, and neither path nor number."""
+    tree = cut(h.hierarchy(h.class_links(table(spark, folder, "classes")), paths=True, sizes=True))
+    every = tree.select("node", "root", "depth", F.array_join("path", " > ").alias("path"), F.col("below").alias("n"))
+    roots = tree.filter("depth > 0").groupBy("root").agg(F.count("*").alias("n")).select(F.col("root").alias("node"), "root", F.lit(0).alias("depth"), F.col("root").alias("path"), "n")
     every = every.unionByName(roots)
-    return every.join(below, F.col("node") == F.col("ancestor"), "left").select(F.col("node").alias("full_name"), F.col("root").alias("root_name"), "depth", "path", F.coalesce("n", F.lit(0)).alias("descendants"))
+    return every.select(F.col("node").alias("full_name"), F.col("root").alias("root_name"), "depth", "path", F.col("n").alias("descendants"))
 
 
 def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,5 +75,13 @@ ORACLE = {
     "p3_found": f"WITH {_REFS} SELECT * FROM found",
     "p3_counts": f"WITH {_REFS} SELECT ref_table, ref_field, period, count(*) AS orphans, count(DISTINCT missing_id) AS missing_ids FROM found GROUP BY ALL",
     "p5_found": f"WITH RECURSIVE {_LINKS} SELECT l.node AS full_name, coalesce(t.root, '') AS root_name, CAST(coalesce(t.depth, -1) AS INTEGER) AS depth FROM links l LEFT JOIN tops t ON t.node = l.node",
+    "p5_paths": f"""WITH RECURSIVE {_LINKS},
+      ways AS (
+        SELECT l.node, l.parent || ' > ' || l.node AS path FROM links l WHERE NOT EXISTS (SELECT 1 FROM links u WHERE u.node = l.parent)
+        UNION ALL SELECT l.node, w.path || ' > ' || l.node FROM ways w JOIN links l ON l.parent = w.node),
+      below AS (SELECT c.up, count(*) AS n FROM climb c JOIN tops t ON t.node = c.node GROUP BY 1)
+      SELECT l.node AS full_name, coalesce(t.root, '') AS root_name, CAST(coalesce(t.depth, -1) AS INTEGER) AS depth, w.path, CASE WHEN t.node IS NOT NULL THEN coalesce(b.n, 0) END AS descendants
+      FROM links l LEFT JOIN tops t ON t.node = l.node LEFT JOIN ways w ON w.node = l.node LEFT JOIN below b ON b.up = l.node
+      UNION ALL SELECT b.up, b.up, 0, b.up, b.n FROM below b WHERE b.up NOT IN (SELECT node FROM links)""",
     "p5_descendants": f"WITH RECURSIVE {_LINKS} SELECT c.up AS ancestor, c.node AS descendant, c.depth AS distance FROM climb c JOIN tops t ON t.node = c.node",
 }

@@ -30,20 +30,26 @@ def random_links(seed):
     return list(links.items())
 
 
-@pytest.mark.parametrize("links", [[("a", "b")], [("a", "a")], [("a", "b"), ("b", "a"), ("c", "a"), ("d", "c")], [(f"x{i:03d}", f"x{i + 1:03d}") for i in range(40)], [(f"s{i}", "hub") for i in range(50)], random_links(1), []])
-def test_against_walk(spark, links):
+@pytest.mark.parametrize("core", [0, 7, 4096])
+@pytest.mark.parametrize("links", [[("a", "b")], [("a", "a")], [("a", "b"), ("b", "a"), ("c", "a"), ("d", "c")], [(f"x{i:03d}", f"x{i + 1:03d}") for i in range(40)], [(f"s{i}", "hub") for i in range(50)], random_links(1), random_links(2), []])
+def test_against_walk(spark, monkeypatch, links, core):
+    monkeypatch.setattr(h, "CORE", core)
     df = spark.createDataFrame(links + [(None, "q"), ("q", None)], "node string, parent string").selectExpr("*", "1 as depth", "2 as path")
-    tree = h.hierarchy(df, paths=True).persist()
+    tree = h.hierarchy(df, paths=True, sizes=True).persist()
     got = {r["node"]: (r["root"], r["depth"], r["path"]) for r in tree.collect()}
     want = brute(links)
     assert got == want
     pairs = {(r["ancestor"], r["descendant"], r["distance"]) for r in h.descendants(tree).collect()}
     assert pairs == {(a, node, len(p) - 1 - i) for node, (_, _, p) in want.items() if p for i, a in enumerate(p[:-1])}
+    below = {node: sum(a == node for a, _, _ in pairs) if p else None for node, (_, _, p) in want.items()}
+    assert {r["node"]: r["below"] for r in tree.collect()} == below
+    assert h.hierarchy(df).columns == ["node", "root", "depth"]
 
 
 def test_hot_parents(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 5)
     monkeypatch.setattr(skew, "HOT_SHARE", 10)
+    monkeypatch.setattr(h, "CORE", 3)
     links = [(f"s{i}", "hub") for i in range(60)] + [("hub", "top"), ("x", "s1"), ("y", "x")]
     df = spark.createDataFrame(links, "node string, parent string")
     assert skew.hot_keys(df, "parent") == ["hub"]
