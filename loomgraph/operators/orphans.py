@@ -10,7 +10,7 @@ and null array elements hold no reference; rows without a period (null ``indexed
 record deleted before it arrived never exists; repeated rows count once as a reference and never twice against existence
 (a key exists while any row of it does); empty tables hold no references, or leave all of them orphans. Only the named
 columns are read. A key may be referred to by a third of all rows: counts are partly aggregated before any shuffle, and
-rows of keys with many references are joined salted.
+rows of keys with many references, whether these exist or not, are judged by a broadcast of those few keys.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Keys with more references than this, or than a thousandth of all, are joined salted.
-HOT_ROWS, HOT_SHARE, SALTS = 100_000, 1000, 64
+#: Rows of keys with more references in a period than this, and than a thousandth of all, aren't shuffled.
+HOT_ROWS, HOT_SHARE = 100_000, 1000
 
 
 def key(c: Column | str) -> Column:
@@ -91,25 +91,20 @@ def orphan_keys(state: DataFrame) -> DataFrame:
 def orphans(refs: DataFrame, deltas: list[DataFrame]) -> DataFrame:
     """(ref_table, ref_field, row_id, period, missing_id): each distinct orphan reference."""
     cols = ["ref_table", "ref_field", "target", "row_id", "period", "key"]
+    on = ["target", "key", "period"]
     distinct = cut(refs.select(*cols).distinct())
-    missing = orphan_keys(merged_state(reference_deltas(distinct), *deltas))
-    missing = cut(missing)
-    total = missing.agg(F.sum("refs")).first()[0] or 0
+    state = cut(merged_state(reference_deltas(distinct), *deltas))
+    missing = orphan_keys(state)
+    total = state.agg(F.sum("refs")).first()[0] or 0
     hot_from = max(HOT_ROWS, total // HOT_SHARE)
-    on = ["target", "key", "period"]
-    plain = distinct
-    hot = missing.filter(F.col("refs") > hot_from)
-    parts = []
-    if total > hot_from and not hot.isEmpty():
-        # at most HOT_SHARE keys, as each has more than that part of all references
-        few = F.broadcast(hot.select(*on))
-        salted = distinct.join(few, on, "left_semi").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)))
-        grid = hot.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-        parts.append(salted.join(grid, [*on, "salt"], "left_semi").select(*cols))
-        plain = distinct.join(few, on, "left_anti")
-        missing = missing.filter(F.col("refs") <= hot_from)
-    parts.append(plain.join(missing.select(*on), on, "left_semi").select(*cols))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if total <= hot_from:
+        out = distinct.join(missing.select(*on), on, "left_semi")
+    else:
+        # at most HOT_SHARE keys, existing or not, as each has more than that part of all references: judged where the rows are
+        hot = cut(state.filter(F.col("refs") > hot_from).select(*on))
+        lost = F.broadcast(missing.join(F.broadcast(hot), on, "left_semi").select(*on))
+        rest = missing.filter(F.col("refs") <= hot_from).select(*on)
+        out = distinct.join(lost, on, "left_semi").unionByName(distinct.join(F.broadcast(hot), on, "left_anti").join(rest, on, "left_semi"))
     return out.select("ref_table", "ref_field", "row_id", period_text(F.col("period")).alias("period"), F.col("key").alias("missing_id"))
 
 
