@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 LIMIT, OVERLAP = 3000, 200
 #: So many chunk positions of a source are numbered by one sort.
 NUMBERED_TOGETHER = 1024
@@ -114,6 +116,7 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
     long = split(rows.filter("_long"), "content", limit, overlap)
     pieces = rows.filter(~F.coalesce("_long", F.lit(False))).withColumn("piece", F.lit(0)).unionByName(long)
     position = F.coalesce("chunk_index", F.lit(2**31 - 1))
+    pieces = cut(pieces)  # read twice
     pieces = pieces.withColumn("_block", F.floor(position / NUMBERED_TOGETHER)).withColumn("_position", position)
     totals = pieces.groupBy("source_path", "_block").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("source_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
