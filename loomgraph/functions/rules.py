@@ -15,10 +15,11 @@ NOISY_PREFIXES = {
 }
 FLUENT_NAMES = "and map flatMap filter doOnNext doOnError doOnCancel doOnTerminate subscribeOn elapsed".split()
 LOW_PRIORITY_PARTS = [".metrics.", ".datadog.", ".config.datadog.", ".prometheus.", ".utils.", ".model."]
+LAMBDA_CALLS = "containerResponse entityId entityType getT1 getT2 getClass getMessage getSimpleName isCacheHit value".split()
 LAMBDA_RECEIVERS = "p t ex e err error throwable result response item entry".split()
 MAPPINGS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "PatchMapping": "PATCH", "DeleteMapping": "DELETE"}
 #: Fewer methods than the key: tier, most characters, most source lines, results, depth.
-TIERS = [(200, "XS"), (1_000, "S"), (5_000, "M"), (20_000, "L"), (None, "XL")]
+TIERS = [(200, "XS", 6_000, 60, 6, 5), (1_000, "S", 10_000, 50, 5, 4), (5_000, "M", 14_000, 40, 4, 4), (20_000, "L", 18_000, 30, 4, 3), (None, "XL", 22_000, 20, 3, 3)]
 
 
 def annotation_name(a: Column) -> Column:
@@ -93,11 +94,65 @@ def demoted_path(path: Column) -> Column:
     return path.rlike(r"\.pb\.|_generated|/generated/|mock_|/mocks/|/build/generated|generated-src|/build/classes|/out/production")
 
 
-def budget_tier(methods: Column) -> Column:
+def budget(methods: Column) -> Column:
+    """Struct of tier, max_chars, max_source_lines, top_n and depth for a graph of so many methods."""
+    row = lambda v: F.struct(*(F.lit(x).alias(n) for n, x in zip(("tier", "max_chars", "max_source_lines", "top_n", "depth"), v, strict=True)))
     out = None
-    for below, tier in TIERS[:-1]:
-        out = F.when(methods < below, tier) if out is None else out.when(methods < below, tier)
-    return out.otherwise(TIERS[-1][1])
+    for below, *limits in TIERS[:-1]:
+        out = F.when(methods < below, row(limits)) if out is None else out.when(methods < below, row(limits))
+    return out.otherwise(row(TIERS[-1][1:]))
+
+
+def budget_tier(methods: Column) -> Column:
+    return budget(methods).getField("tier")
+
+
+def script_roles(name: Column, decorators: Column, has_markup: Column) -> Column:
+    """The role of a function of a script: http_handler, component, hook or null."""
+    verb = F.arrays_overlap(decorators, F.array(*map(F.lit, ("Get", "Post", "Put", "Delete", "Patch", "Options", "Head", "All"))))
+    return F.when(F.coalesce(verb, F.lit(False)), "http_handler").when(F.coalesce(F.array_contains(decorators, "Component"), F.lit(False)), "component").when(name.rlike("^use[A-Z]"), "hook").when(F.coalesce(has_markup, F.lit(False)), "component")
+
+
+def script_path_stereotypes(path: Column) -> Column:
+    """Stereotypes of a script by its path."""
+    kinds = [(r"\.service\.tsx?$|/services?/", "service"), (r"\.controller\.tsx?$|/controllers?/", "controller"), (r"\.component\.tsx?$|/components?/", "component"), ("/hooks/use[A-Z]", "hook"), ("/composables/use[A-Z]", "vue_composable")]
+    return F.array_compact(F.array(*(F.when(path.rlike(p), F.lit(k)) for p, k in kinds)))
+
+
+def scala_stereotypes(name: Column, kind: Column) -> Column:
+    """Stereotypes by kind (trait, object, interface), else by suffix."""
+    one = F.when(kind.isin("trait", "object", "interface"), kind).when(name.endswith("Controller"), "controller").when(name.endswith("Service"), "service").when(name.rlike("(Repository|Repo)$"), "repository").otherwise("unknown")
+    return F.array(one)
+
+
+#: Types of literals as arguments, by kind of literal.
+LITERALS = {"string": "java.lang.String", "character": "char", "integer": "int", "floating": "double", "boolean": "boolean", "null": "null"}
+
+
+def argument_type(text: Column, variables: Column) -> Column:
+    """The type of an argument as written: of a literal by its form, of a name by ``variables`` (a map), else null."""
+    a = F.trim(text)
+    kind = (
+        F.when(a.rlike(r'^".*"$'), "string").when(a.rlike(r"^'.{1,2}'$|^'\\u[0-9a-fA-F]{4}'$"), "character").when(a.rlike(r"^(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|[0-9][0-9_]*)[lL]?$"), "integer")
+        .when(a.rlike(r"^[0-9][0-9_]*\.?[0-9_]*(?:[eE][+-]?[0-9]+)?[fFdD]?$|^\.[0-9]+"), "floating").when(a.isin("true", "false"), "boolean").when(a == "null", "null")
+    )
+    literal = None
+    for k, v in LITERALS.items():
+        literal = F.when(kind == k, v) if literal is None else literal.when(kind == k, v)
+    return F.coalesce(literal, F.when(a.rlike(r"^[A-Za-z_$][\w$]*$"), F.try_element_at(variables, a)))
+
+
+#: Colours and shapes of nodes in drawings.
+COLOURS = {"controller": "#e76f51", "service": "#2a9d8f", "repository": "#264653", "entity": "#e9c46a", "component": "#f4a261"}
+
+
+def decorations(stereotypes: Column, is_endpoint: Column, title: Column) -> Column:
+    """Struct of colour, shape and title of a node."""
+    colour = None
+    for kind, value in COLOURS.items():
+        hit = F.array_contains(stereotypes, kind)
+        colour = F.when(hit, value) if colour is None else colour.when(hit, value)
+    return F.struct(colour.otherwise("#999999").alias("colour"), F.when(F.coalesce(is_endpoint, F.lit(False)), "diamond").otherwise("dot").alias("shape"), title.alias("title"))
 
 
 def noisy_call(callee: Column, receiver: Column, receiver_type: Column, status: Column, language: Column) -> Column:
@@ -113,8 +168,11 @@ def noisy_call(callee: Column, receiver: Column, receiver_type: Column, status:
     return out
 
 
-def lambda_noise(reason: Column, receiver: Column) -> Column:
-    return F.coalesce((reason == "unresolved_receiver") & receiver.isin(LAMBDA_RECEIVERS), F.lit(False))
+def lambda_noise(call: Column, reason: Column, receiver: Column) -> Column:
+    """Whether an unresolved call is one on a lambda's own variable, or one of a few names that say nothing."""
+    r = F.lower(F.trim(F.coalesce(receiver, F.lit(""))))
+    starts = F.exists(F.array(*map(F.lit, LAMBDA_RECEIVERS)), lambda n: r.startswith(F.concat(n, F.lit("."))))
+    return F.coalesce((reason == "unresolved_receiver") & (call.isin(LAMBDA_CALLS) | r.isin(LAMBDA_RECEIVERS) | starts), F.lit(False))
 
 
 def path_matches(stored: Column, asked: Column) -> Column:

@@ -7,20 +7,35 @@ per key, so a join never multiplies rows; lists are capped nowhere.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ids
+from ..functions import ids, rules
 from ..session import cut
+from .lookups import implementer_methods
+from .synthesis import inner_classes
 from .traversal import closure, deep_closure
 
 # Types that need no import.
-LANG_TYPES = "String Object Integer Long Double Float Boolean Byte Short Character Void Number Math System Thread Runnable Exception RuntimeException Error Throwable Iterable Class Enum StringBuilder Override".split()
-#: Names that class-hierarchy analysis doesn't fan out over.
-NO_FAN_OUT = "toString equals hashCode get set run call apply accept test close size isEmpty add put remove iterator next".split()
+LANG_TYPES = "String Integer Boolean Long Double Float Object".split()
+#: Names that class-hierarchy analysis doesn't fan out over, and the most subtypes of a class over which it does.
+NO_FAN_OUT = "name toString equals hashCode getClass compareTo ordinal getValue getId getType getCode getKey clone notify notifyAll wait finalize".split()
+MOST_SUBTYPES = 150
+#: Statuses of calls whose targets class-hierarchy analysis widens.
+WIDENED = "resolved resolved_inherited resolved_via_import resolved_same_package resolved_same_class resolved_via_sole_implementation candidate_global_name_arity ambiguous_overload resolved_impl_suffix".split()
+#: Names that browsers and runtimes bring along; hooks are named use and a capital.
+GLOBALS = (
+    "console Math JSON Promise Array Object String Number Boolean Symbol RegExp Map Set Date Error parseInt parseFloat isNaN isFinite encodeURIComponent decodeURIComponent "
+    "fetch process Buffer setTimeout setInterval clearTimeout clearInterval useState useEffect useCallback useMemo useRef useContext useReducer useLayoutEffect "
+    "useImperativeHandle useDebugValue useId useDeferredValue useTransition t i18n"
+).split()
+SCRIPTS = r"\.(?:ts|tsx|js|jsx|mjs)$"
+#: Rounds in which receivers that are calls get the types of what these return.
+CHAIN_ROUNDS = 6
 
 
 def bare_type(c: Column) -> Column:
@@ -109,12 +124,15 @@ def _fitting(candidates: Column, count: Column, types: Column) -> Column:
     return F.transform(narrowed, lambda c: c["id"])
 
 
-def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritance: DataFrame) -> DataFrame:
-    """(callsite_id, status, candidates) of each call site.
+def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritance: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """(callsite_id, status, candidates, type, n) of each call site, ``type`` being the receiver's by full name.
 
     Without receiver: the caller's class, its ancestors (the nearest that declares the name), then all methods of that name
-    and arity, or of that name if the number of arguments isn't known. With receiver: the sole implementation of an interface, the class itself, its ancestors, a class of that
-    short name (kept as ambiguous), else unresolved where the class is known and external where it isn't."""
+    and arity, or of that name if the number of arguments isn't known. With receiver: the sole implementation of an interface,
+    the class itself, its ancestors, an inner class of its last two names, a class of that short name (kept as ambiguous),
+    else unresolved where the class is known and external where it isn't. A dotted receiver without a type gets that of the
+    last field of the chain (see :func:`dotted_types`); where no type is found, the only method of that name and arity among
+    all classes that implement something is taken."""
     look = Lookups.build(methods, classes)
     written, inheritance = inheritance, cut(resolved_parents(look.classes, inheritance))
     caller = methods.select(F.col("id").alias("caller_method_id"), F.col("class_full_name").alias("caller_class")).dropDuplicates(["caller_method_id"])
@@ -123,6 +141,9 @@ def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritanc
     own = F.coalesce(F.col("receiver").isin("this", "self", "super"), F.lit(False)) | (F.col("receiver").isNull() & F.col("written").isNull())
     types = normalised_types(c.filter(~own).select("caller_class", "written"), look.classes)
     c = c.join(types, ["caller_class", "written"], "left").withColumns({"own": own, "type": F.when(own, F.col("caller_class")).otherwise(F.col("type"))})
+    if "local_variable_types" in methods.columns or fields is not None:
+        chained = dotted_types(c.filter("type is null and receiver like '%.%'"), methods, look.classes, inheritance, fields)
+        c = c.join(chained, "callsite_id", "left").withColumns({"type": F.coalesce("type", "chained"), "how": F.when(F.col("chained").isNotNull(), "dotted_field_chain").otherwise(F.col("how"))}).drop("chained")
     c = cut(c)
 
     pairs = c.select(F.col("type").alias("cls"), F.col("callee_name").alias("method_name")).filter("cls is not null").distinct()
@@ -134,7 +155,10 @@ def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritanc
     below = inheritance.unionByName(written).filter("relation = 'implements'").groupBy(F.col("target").alias("cls")).agg(F.count_distinct("source").alias("k"), F.min("source").alias("sole")).filter("k = 1")
     sole = pairs.join(below, "cls").join(look.by_class.select(F.col("cls").alias("sole"), "method_name", F.col("c").alias("impl")), ["sole", "method_name"]).select("cls", "method_name", "impl")
     short = pairs.withColumn("short", ids.short_name("cls")).join(look.by_short.withColumnRenamed("c", "by_short"), ["short", "method_name"]).select("cls", "method_name", "by_short")
-    facts = reduce(lambda a, b: a.join(b, ["cls", "method_name"], "left"), (exact, inherited, sole, short), pairs)
+    parts = F.split("cls", r"\.")
+    nested = pairs.filter("cls like '%.%'").withColumns({"outer": F.try_element_at(parts, F.lit(-2)), "inner": F.try_element_at(parts, F.lit(-1))}).join(inner_classes(look.classes), ["outer", "inner"])
+    nested = nested.join(look.by_class.select(F.col("cls").alias("full_name"), "method_name", F.col("c").alias("nested")), ["full_name", "method_name"]).select("cls", "method_name", "nested")
+    facts = reduce(lambda a, b: a.join(b, ["cls", "method_name"], "left"), (exact, inherited, sole, nested, short), pairs)
     known = look.classes.select(F.col("full_name").alias("cls"), F.lit(True).alias("known"))
     facts = facts.join(known, "cls", "left")
     r = c.join(facts, (F.col("type") == F.col("cls")) & (F.col("callee_name") == F.col("method_name")), "left").drop("method_name")
@@ -142,7 +166,13 @@ def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritanc
     sought = F.when(F.col("own"), F.col("callee_name"))
     r = r.join(look.by_name.select(F.col("method_name").alias("gname"), "arity", "all"), (sought == F.col("gname")) & (F.greatest("n", F.lit(-1)) == F.col("arity")), "left")
 
-    fit = {k: F.coalesce(_fitting(F.col(k), F.col("n"), F.col("given")), F.array().cast("array<string>")) for k in ("exact", "inherited", "impl", "by_short")}
+    dispatch = implementer_methods(methods, written)
+    every = dispatch.groupBy("method_name").agg(F.sum("n").alias("n"), F.max("sole").alias("sole")).select("method_name", F.lit(-1).alias("arity"), F.when(F.col("n") == 1, F.col("sole")).alias("sole"))
+    dispatch = dispatch.select("method_name", "arity", "sole").unionByName(every).filter("sole is not null")
+    lost = F.when(~F.col("own") & F.col("type").isNull(), F.col("callee_name"))
+    r = r.join(dispatch.select(F.col("method_name").alias("dname"), F.col("arity").alias("darity"), "sole"), (lost == F.col("dname")) & (F.greatest("n", F.lit(-1)) == F.col("darity")), "left")
+
+    fit = {k: F.coalesce(_fitting(F.col(k), F.col("n"), F.col("given")), F.array().cast("array<string>")) for k in ("exact", "inherited", "impl", "nested", "by_short")}
     r = r.withColumns({f"{k}_fit": v for k, v in fit.items()})
     size = lambda k: F.size(f"{k}_fit")
     how = F.col("how")
@@ -158,8 +188,12 @@ def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritanc
         (size("exact") == 1, F.when(how.isin("import_exact", "import_wildcard"), "resolved_via_import").when(how == "same_package", "resolved_same_package").otherwise("resolved_exact"), F.col("exact_fit")),
         (size("exact") > 1, "ambiguous_overload", F.col("exact_fit")),
         (size("inherited") > 0, "resolved_inherited", F.col("inherited_fit")),
-        ((how == "unqualified") & (size("by_short") > 0), "ambiguous_type", F.col("by_short_fit")),
+        (size("nested") == 1, "resolved_exact", F.col("nested_fit")),
+        (size("nested") > 1, "ambiguous_overload", F.col("nested_fit")),
+        (size("by_short") > 0, "ambiguous_type", F.col("by_short_fit")),
+        (F.col("type").isNotNull() & (F.size("by_short") > 0), "ambiguous_type", F.transform("by_short", lambda x: x["id"])),
         (F.coalesce(F.col("known"), F.lit(False)), "unresolved_method", F.array().cast("array<string>")),
+        (F.col("sole").isNotNull(), "resolved_interface_dispatch_fallback", F.array("sole")),
         (F.col("type").isNull(), "unresolved_receiver", F.array().cast("array<string>")),
     ]
     status, found = None, None
@@ -168,7 +202,51 @@ def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritanc
         cond = F.coalesce(cond, F.lit(False))
         status = F.when(cond, s) if status is None else status.when(cond, s)
         found = F.when(cond, list_) if found is None else found.when(cond, list_)
-    return r.select("callsite_id", status.otherwise("external_library").alias("status"), found.otherwise(F.array().cast("array<string>")).alias("candidates"))
+    return r.select("callsite_id", status.otherwise("external_library").alias("status"), found.otherwise(F.array().cast("array<string>")).alias("candidates"), "type", "n")
+
+
+def inherited_fields(fields: DataFrame, classes: DataFrame, inheritance: DataFrame) -> DataFrame:
+    """(cls, name, type_name, owner): the fields that a class has, its own or those of its nearest superclass."""
+    f = fields.groupBy(F.col("class_full_name").alias("owner"), "name").agg(F.min("type_name").alias("type_name"))
+    up = ancestors(classes, resolved_parents(classes, inheritance.filter("relation = 'extends'"))).select("cls", F.col("ancestor").alias("owner"), "distance")
+    have = f.withColumns({"cls": F.col("owner"), "distance": F.lit(0)}).unionByName(up.join(f, "owner"))
+    return have.groupBy("cls", "name").agg(F.min_by(F.struct("type_name", "owner"), F.struct("distance", "owner")).alias("b")).select("cls", "name", "b.*")
+
+
+def dotted_types(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritance: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """(callsite_id, chained): the full name of the type of receivers ``a.b.c``: ``a`` is ``this``, a local variable, a parameter
+    or a field of the caller's class (calls: callsite_id, caller_method_id, caller_class, receiver), and each further name a
+    field of the type before it, inherited ones too. A type outside of the graph ends the chain there; an unknown name, with
+    null. One join for each name of the longest chain."""
+    none, empty = F.lit(None).cast("map<string,string>"), F.array().cast("array<string>")
+    has = lambda c: F.col(c) if c in methods.columns else (none if c == "local_variable_types" else empty)
+    tables = methods.select(F.col("id").alias("caller_method_id"), has("local_variable_types").alias("local"), F.when(F.size(F.coalesce(has("parameter_names"), empty)) == F.size(F.coalesce(has("parameter_types"), empty)), F.map_from_arrays(F.coalesce(has("parameter_names"), empty), F.coalesce(has("parameter_types"), empty))).alias("params")).dropDuplicates(["caller_method_id"])
+    known = classes.select(F.col("full_name").alias("type"), F.lit(True).alias("inside")).distinct()
+    own = inherited_fields(fields, classes, inheritance) if fields is not None else None
+    typed = None
+    if own is not None:
+        full = normalised_types(own.select(F.col("owner").alias("caller_class"), F.col("type_name").alias("written")), classes)
+        own = own.join(full.select(F.col("caller_class").alias("owner"), F.col("written").alias("type_name"), F.col("type").alias("field_type")), ["owner", "type_name"], "left")
+        typed = cut(own.select("cls", "name", F.coalesce("field_type", "type_name").alias("field_type")))
+    c = calls.select("callsite_id", "caller_method_id", "caller_class", F.split("receiver", r"\.").alias("parts")).join(tables, "caller_method_id", "left")
+    first = F.get("parts", 0)
+    c = c.withColumn("written", F.coalesce(F.try_element_at("local", first), F.try_element_at("params", first)))
+    full = normalised_types(c.filter("written is not null").select("caller_class", "written"), classes)
+    c = c.join(full, ["caller_class", "written"], "left").withColumn("type", F.when(first == "this", F.col("caller_class")).otherwise(F.col("type")))
+    if typed is not None:
+        c = c.withColumn("name", first).join(typed.withColumnRenamed("cls", "caller_class"), ["caller_class", "name"], "left").withColumn("type", F.coalesce("type", "field_type")).drop("name", "field_type")
+    c = cut(c.select("callsite_id", "parts", "type").filter("type is not null"))
+    done, at = None, 1
+    while True:
+        c = c.join(known, "type", "left")
+        over = (F.size("parts") <= at) | F.col("inside").isNull()
+        ended = c.filter(over).select("callsite_id", F.col("type").alias("chained"))
+        done = ended if done is None else done.unionByName(ended)
+        rest = c.filter(~over)
+        if typed is None or rest.isEmpty():
+            return done
+        rest = rest.withColumn("name", F.get("parts", at)).join(typed.withColumnRenamed("cls", "type"), ["type", "name"])
+        c, at = cut(rest.select("callsite_id", "parts", F.col("field_type").alias("type"))), at + 1
 
 
 def edges_of(resolved: DataFrame) -> DataFrame:
@@ -193,21 +271,175 @@ def dynamic_cascade(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return c.select("callsite_id", status.alias("status"), found.alias("candidates"))
 
 
-def hierarchy_fan_out(resolved: DataFrame, methods: DataFrame, inheritance: DataFrame, depth: int | None = None) -> DataFrame:
-    """Candidates joined by the overriding methods of subtypes, except for names that every type has. Targets of
-    ``inheritance`` are full names (see :func:`resolved_parents`)."""
-    m = methods.select("id", F.col("class_full_name").alias("cls"), "method_name")
+def hierarchy_fan_out(resolved: DataFrame, methods: DataFrame, inheritance: DataFrame, calls: DataFrame | None = None, most: int = MOST_SUBTYPES, depth: int | None = None, statuses: Sequence[str] | None = None) -> DataFrame:
+    """``resolved`` (callsite_id, status, candidates[, type, n]) widened by the methods of that name of all subtypes.
+
+    Starting points are the class of the first candidate of calls (of some ``statuses`` if given) and the receiver's class of
+    calls whose class has no such method. Names that every class has, and classes of more than ``most`` subtypes, are left
+    alone. Of each subtype the methods of the right arity count, or all of the name where none has it. Targets of
+    ``inheritance`` are full names (see :func:`resolved_parents`); ``calls`` (callsite_id, callee_name) is needed for calls
+    without candidates."""
+    m = methods.select("id", F.col("class_full_name").alias("cls"), "method_name", F.size(F.coalesce("parameter_types", F.array().cast("array<string>"))).alias("arity") if "parameter_types" in methods.columns else F.lit(-1).alias("arity")).dropDuplicates(["id"])
     e = inheritance.select(F.col("target").alias("src"), F.col("source").alias("dst"))
-    down = deep_closure(e) if depth is None else closure(e, depth=depth)
-    targets = resolved.select("callsite_id", F.explode("candidates").alias("id")).join(m, "id").filter(~F.col("method_name").isin(NO_FAN_OUT))
-    over = targets.join(down.select(F.col("src").alias("cls"), F.col("dst").alias("sub")), "cls").join(m.select(F.col("id").alias("sub_id"), F.col("cls").alias("sub"), "method_name"), ["sub", "method_name"])
-    more = over.groupBy("callsite_id").agg(F.collect_set("sub_id").alias("more"))
-    out = resolved.join(more, "callsite_id", "left")
+    down = (deep_closure(e) if depth is None else closure(e, depth=depth)).filter("src <> dst").select(F.col("src").alias("cls"), F.col("dst").alias("sub"))
+    few = down.groupBy("cls").agg(F.count("*").alias("k")).filter(F.col("k") <= most).select("cls")
+    down = down.join(few, "cls", "left_semi")
+    r = resolved if "n" in resolved.columns else resolved.withColumns({"n": F.lit(-1), "type": F.lit(None).cast("string")})
+    first = r.filter((F.size("candidates") > 0) & (F.lit(True) if statuses is None else F.col("status").isin(*statuses)))
+    start = first.select("callsite_id", "n", F.get("candidates", 0).alias("id")).join(m.select("id", "cls", "method_name"), "id").select("callsite_id", "n", "cls", "method_name")
+    if calls is not None:
+        lost = r.filter("status = 'unresolved_method' and type is not null").join(calls.select("callsite_id", F.col("callee_name").alias("method_name")), "callsite_id")
+        start = start.unionByName(lost.select("callsite_id", "n", F.col("type").alias("cls"), "method_name"))
+    start = start.filter(~F.col("method_name").isin(NO_FAN_OUT))
+    # by class, name and number of arguments: many calls ask the same
+    asked = start.select("cls", "method_name", "n").distinct()
+    over = asked.join(down, "cls").join(m.select(F.col("id").alias("sub_id"), F.col("cls").alias("sub"), "method_name", "arity"), ["sub", "method_name"])
+    fits = (F.col("n") < 0) | (F.col("arity") == F.col("n"))
+    per = over.groupBy("cls", "method_name", "n", "sub").agg(F.collect_set(F.when(fits, F.col("sub_id"))).alias("fit"), F.collect_set("sub_id").alias("all"))
+    more = per.groupBy("cls", "method_name", "n").agg(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("fit") > 0, F.col("fit")).otherwise(F.col("all"))))).alias("more"))
+    out = r.join(start.join(more, ["cls", "method_name", "n"]).select("callsite_id", "more"), "callsite_id", "left")
     wider = F.array_sort(F.array_union("candidates", F.coalesce("more", F.array().cast("array<string>"))))
-    grown = F.size(wider) > F.size("candidates")
+    grown = F.col("more").isNotNull()
     return out.select("callsite_id", F.when(grown, "resolved_cha").otherwise(F.col("status")).alias("status"), F.when(grown, wider).otherwise(F.col("candidates")).alias("candidates"))
 
 
+def relaxed(lost: DataFrame, methods: DataFrame, classes: DataFrame, inheritance: DataFrame) -> DataFrame:
+    """(callsite_id, status, candidates) of calls (callsite_id, type, callee_name, n) whose class has no fitting method: those of
+    the nearest ancestor that declares the name with any arity, or of classes of the short name of a parent that isn't in
+    the graph."""
+    look = Lookups.build(methods, classes)
+    known = look.classes.select(F.col("full_name").alias("cls")).distinct()
+    parents = resolved_parents(look.classes, inheritance)
+    up = ancestors(look.classes, parents).select("cls", "ancestor", F.col("distance"), "rank").unionByName(known.select("cls", F.col("cls").alias("ancestor"), F.lit(0).alias("distance"), F.lit(0).alias("rank")))
+    asked = lost.select(F.col("type").alias("cls"), F.col("callee_name").alias("method_name")).distinct().join(known, "cls", "left_semi")
+    at = asked.join(up, "cls")
+    named = at.join(look.by_class.select(F.col("cls").alias("ancestor"), "method_name", "c"), ["ancestor", "method_name"])
+    outside = parents.join(known.select(F.col("cls").alias("target")), "target", "left_anti").select(F.col("source").alias("ancestor"), ids.short_name("target").alias("short"), F.when(F.col("relation") == "extends", 0).otherwise(1).alias("order"))
+    short = at.join(outside, "ancestor").join(look.by_short, ["short", "method_name"])
+    found = named.select("cls", "method_name", "distance", F.lit(0).alias("way"), "rank", "ancestor", "c").unionByName(short.select("cls", "method_name", "distance", F.lit(1).alias("way"), F.col("order").alias("rank"), F.col("short").alias("ancestor"), "c"))
+    best = found.groupBy("cls", "method_name").agg(F.min_by("c", F.struct("distance", "way", "rank", "ancestor")).alias("c"))
+    r = lost.select("callsite_id", F.col("type").alias("cls"), F.col("callee_name").alias("method_name"), "n").join(best, ["cls", "method_name"])
+    fit = F.filter("c", lambda x: (F.col("n") < 0) | (x["arity"] == F.col("n")))
+    ids_ = F.array_sort(F.array_distinct(F.transform(F.when(F.size(fit) > 0, fit).otherwise(F.col("c")), lambda x: x["id"])))
+    return r.select("callsite_id", F.when(F.size(ids_) == 1, "resolved_inherited").otherwise("ambiguous_overload").alias("status"), ids_.alias("candidates"))
+
+
+def known_globals(calls: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``resolved`` with calls of script files on names that browsers, runtimes and hooks bring along made external."""
+    c = calls.select("callsite_id", "callee_name", F.trim(F.coalesce("receiver", F.lit(""))).alias("r"), "file_path")
+    j = resolved.join(c, "callsite_id", "left")
+    bare = F.col("r") == ""
+    open_ = F.col("status").isin("unresolved_receiver", "unresolved") | ((F.col("status") == "unresolved_method") & bare)
+    hit = open_ & F.col("file_path").rlike(SCRIPTS) & (F.col("r").isin(GLOBALS) | (bare & (F.col("callee_name").isin(GLOBALS) | F.col("callee_name").rlike("^use[A-Z]"))))
+    return j.withColumn("status", F.when(F.coalesce(hit, F.lit(False)), "external_library").otherwise(F.col("status"))).select(*resolved.columns)
+
+
+def _replaced(base: DataFrame, better: DataFrame) -> DataFrame:
+    """``base`` with the rows of ``better`` (callsite_id, status, candidates, ...) in place of its own."""
+    b = better.select(F.col("callsite_id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in better.columns if c != "callsite_id"))
+    j = base.join(b, F.col("callsite_id") == F.col("_id"), "left")
+    new = F.col("_id").isNotNull()
+    return j.select(*(F.when(new, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c != "callsite_id" and c in better.columns else F.col(c) for c in base.columns))
+
+
+def resolve_all(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritance: DataFrame, fields: DataFrame | None = None, rounds: int = CHAIN_ROUNDS) -> DataFrame:
+    """(callsite_id, status, candidates): the whole cascade. After :func:`resolve`: receivers that are themselves calls, in
+    rounds until nothing changes; names that are there everywhere; ancestors once more, less strictly; implementations
+    by suffix; class-hierarchy analysis. ``calls`` also needs text, line, column_no and file_path."""
+    state = cut(resolve(calls, methods, classes, inheritance, fields))
+    for _ in range(rounds):
+        types = chain_receivers(calls, state.join(calls.select("callsite_id"), "callsite_id"), methods)
+        stuck = state.filter("status = 'unresolved_receiver'").select("callsite_id")
+        again = cut(types.join(stuck, "callsite_id", "left_semi"))
+        if again.isEmpty():
+            break
+        retyped = calls.drop("receiver_type").join(again, "callsite_id")
+        state = cut(_replaced(state, resolve(retyped, methods, classes, inheritance, fields)))
+    state = known_globals(calls, state)
+    lost = state.filter("status = 'unresolved_method' and type is not null").join(calls.select("callsite_id", "callee_name"), "callsite_id")
+    state = cut(_replaced(state, relaxed(lost, methods, classes, inheritance)))
+    if fields is not None:
+        state = cut(_replaced(state, by_impl_suffix(calls, state, methods, classes, fields)))
+    full = cut(resolved_parents(classes.select("full_name", "package_name", "imports").dropDuplicates(["full_name"]), inheritance))
+    return hierarchy_fan_out(state, methods, full, calls, statuses=WIDENED)
+
+
+def by_impl_suffix(calls: DataFrame, state: DataFrame, methods: DataFrame, classes: DataFrame, fields: DataFrame) -> DataFrame:
+    """(callsite_id, status, candidates) of calls without receiver type on a field of type X, from the only class XImpl."""
+    caller = methods.select(F.col("id").alias("caller_method_id"), "class_full_name").dropDuplicates(["caller_method_id"])
+    stuck = state.filter("status = 'unresolved_receiver'").select("callsite_id", "n")
+    c = calls.filter("receiver not like '%.%' and rtrim(receiver) not like '%)'").select("callsite_id", "caller_method_id", "callee_name", "receiver").join(stuck, "callsite_id").join(caller, "caller_method_id")
+    f = fields.groupBy("class_full_name", F.col("name").alias("receiver")).agg(F.min("type_name").alias("receiver_type"))
+    hits = implementation_suffix(c.join(f, ["class_full_name", "receiver"]), classes, methods)
+    arity = methods.select(F.col("id").alias("dst"), F.size(F.coalesce("parameter_types", F.array().cast("array<string>"))).alias("arity")).dropDuplicates(["dst"])
+    j = hits.join(arity, "dst").join(stuck, "callsite_id")
+    fits = (F.col("n") < 0) | (F.col("arity") == F.col("n"))
+    g = j.groupBy("callsite_id").agg(F.array_sort(F.collect_set(F.when(fits, F.col("dst")))).alias("fit"), F.array_sort(F.collect_set("dst")).alias("all"))
+    found = F.when(F.size("fit") > 0, F.col("fit")).otherwise(F.col("all"))
+    return g.select("callsite_id", F.when(F.size(found) == 1, "resolved_impl_suffix").otherwise("ambiguous_overload").alias("status"), found.alias("candidates"))
+
+
+def embedded_cascade(calls: DataFrame, methods: DataFrame, classes: DataFrame, embeds: DataFrame) -> DataFrame:
+    """The cascade for languages with embedding: a bare call goes to the functions of its package's module classes, a call on
+    a type of short name to the classes of that name, or else to what they embed (embeds: source full name, target short
+    name), nearest first. Calls need callsite_id, package_name, callee_name, receiver, receiver_type (short)."""
+    m = methods.select("id", F.col("class_full_name").alias("cls"), F.col("method_name").alias("callee_name"))
+    names = classes.select(F.col("full_name").alias("cls"), F.col("name").alias("short"), "package_name", F.coalesce(F.array_contains("stereotypes", "module"), F.lit(False)).alias("module")).distinct()
+    bare = calls.filter("receiver is null").join(names.filter("module").select("package_name", "cls"), "package_name").join(m, ["cls", "callee_name"]).select("callsite_id", "id")
+    inner = embeds.select(F.col("source").alias("src"), ids.short_name("target").alias("short")).join(names.select("short", F.col("cls").alias("dst")), "short").select("src", "dst").distinct()
+    reach = deep_closure(inner).select(F.col("src").alias("owner"), F.col("dst").alias("cls"), F.col("depth"))
+    reach = names.select(F.col("cls").alias("owner"), "cls", F.lit(0).alias("depth")).unionByName(reach.filter("owner <> cls")).distinct()
+    typed = calls.filter("receiver is not null and receiver_type is not null").withColumn("short", ids.short_name("receiver_type"))
+    on = typed.select("short", "callee_name").distinct().join(names.select("short", F.col("cls").alias("owner")).distinct(), "short").join(reach, "owner").join(m, ["cls", "callee_name"])
+    near = on.groupBy("short", "callee_name", "owner", "depth").agg(F.collect_set("id").alias("ids"))
+    near = near.groupBy("short", "callee_name", "owner").agg(F.min_by("ids", "depth").alias("ids")).groupBy("short", "callee_name").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    found = typed.join(near, ["short", "callee_name"]).select("callsite_id", F.explode("ids").alias("id"))
+    return _counted(calls, bare.unionByName(found))
+
+
+def owner_cascade(calls: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
+    """The cascade for languages with types at hand: a call on a type goes to the classes of its short name, a bare call to
+    its own class. Calls need callsite_id, caller_class, callee_name, receiver, receiver_type."""
+    m = methods.select("id", F.col("class_full_name").alias("cls"), F.col("method_name").alias("callee_name"))
+    names = classes.select(F.col("full_name").alias("cls"), ids.short_name("full_name").alias("short")).distinct()
+    own = calls.filter("receiver is null").select("callsite_id", F.col("caller_class").alias("cls"), "callee_name").join(m, ["cls", "callee_name"]).select("callsite_id", "id")
+    type_ = F.when(F.col("receiver") == "this", F.col("caller_class")).otherwise(bare_type(F.col("receiver_type")))
+    typed = calls.filter("receiver is not null").select("callsite_id", "callee_name", ids.short_name(type_).alias("short")).filter("short is not null")
+    many = names.join(m, "cls").groupBy("short", "callee_name").agg(F.collect_set("id").alias("ids"))
+    found = typed.join(many, ["short", "callee_name"]).select("callsite_id", F.explode("ids").alias("id"))
+    return _counted(calls, own.unionByName(found))
+
+
+def _counted(calls: DataFrame, hits: DataFrame) -> DataFrame:
+    g = hits.groupBy("callsite_id").agg(F.array_sort(F.collect_set("id")).alias("candidates"))
+    j = calls.select("callsite_id").join(g, "callsite_id", "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<string>")))
+    return j.select("callsite_id", F.when(F.size("candidates") == 1, "resolved_exact").when(F.size("candidates") > 1, "resolved_ambiguous").otherwise("unresolved").alias("status"), "candidates")
+
+
+# Annotations of classes that a container manages.
+MANAGED = ("Service", "Repository", "Controller", "RestController", "Component", "Configuration", "Entity")
+
+
+def static_beans(classes: DataFrame, methods: DataFrame) -> DataFrame:
+    """(full_name): managed classes by annotation, and what the ``@Bean`` methods of configuration classes return."""
+    named = lambda c, *n: F.coalesce(F.arrays_overlap(rules.annotation_names(F.col(c)), F.array(*map(F.lit, n))), F.lit(False))
+    managed = classes.filter(named("annotations", *MANAGED)).select("full_name")
+    config = classes.filter(named("annotations", "Configuration")).select(F.col("full_name").alias("class_full_name")).distinct()
+    made = methods.filter(named("annotations", "Bean") & (F.coalesce("return_type", F.lit("void")) != "void") & (F.col("return_type") != "")).join(config, "class_full_name", "left_semi").select(F.col("return_type").alias("full_name"))
+    return managed.union(made).filter("full_name is not null").distinct()
+
+
+def without_phantoms(calls: DataFrame, phantoms: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """(callsite_id, status) of calls (callsite_id, status, type, candidates) of which not every candidate is a phantom
+    (phantoms: dst); calls without receiver whose type is confirmed (full_name) become ``actuator_resolved``."""
+    lost = phantoms.select("dst").distinct()
+    c = calls.select("callsite_id", F.explode("candidates").alias("dst")).join(lost.withColumn("gone", F.lit(1)), "dst", "left")
+    only = c.groupBy("callsite_id").agg(F.count("*").alias("n"), F.count("gone").alias("k")).filter("n = k").select("callsite_id")
+    kept = calls.join(only, "callsite_id", "left_anti").join(confirmed.select(F.col("full_name").alias("type"), F.lit(True).alias("sure")).distinct(), "type", "left")
+    up = (F.col("status") == "unresolved_receiver") & F.col("sure").isNotNull()
+    return kept.select("callsite_id", F.when(up, "actuator_resolved").otherwise(F.col("status")).alias("status"))
+
+
 def implementation_suffix(calls: DataFrame, classes: DataFrame, methods: DataFrame) -> DataFrame:
     """(callsite_id, dst): calls on a type X for which there is exactly one class XImpl that declares the name."""
     short = classes.select("full_name", ids.short_name("full_name").alias("short")).distinct()
@@ -240,7 +472,7 @@ def chain_receivers(calls: DataFrame, resolved: DataFrame, methods: DataFrame) -
     receiver is, in the same caller; of several with that text, the last."""
     inner = calls.select("caller_method_id", F.col("text").alias("receiver"), F.col("callsite_id").alias("inner_id"), "line", "column_no")
     inner = inner.groupBy("caller_method_id", "receiver").agg(F.max_by("inner_id", F.struct("line", "column_no", "inner_id")).alias("inner_id"))
-    linked = calls.filter("receiver is not null").select("callsite_id", "caller_method_id", "receiver").join(inner, ["caller_method_id", "receiver"]).filter("callsite_id <> inner_id")
-    returns = resolved.filter(F.size("candidates") == 1).select(F.col("callsite_id").alias("inner_id"), F.get("candidates", 0).alias("id")).join(methods.select("id", "return_type").dropDuplicates(["id"]), "id").select("inner_id", "return_type")
+    linked = calls.filter("rtrim(receiver) like '%)'").select("callsite_id", "caller_method_id", "receiver").join(inner, ["caller_method_id", "receiver"]).filter("callsite_id <> inner_id")
+    returns = resolved.filter(F.size("candidates") > 0).select(F.col("callsite_id").alias("inner_id"), F.get("candidates", 0).alias("id")).join(methods.select("id", "return_type").dropDuplicates(["id"]), "id").select("inner_id", "return_type")
     return linked.join(returns, "inner_id").select("callsite_id", bare_type(F.col("return_type")).alias("receiver_type")).filter("receiver_type is not null")
 

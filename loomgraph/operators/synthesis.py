@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import ids, rules
 
 # Supertypes that give a repository its methods, and those methods.
-REPOSITORY_TYPES = "Repository CrudRepository ListCrudRepository PagingAndSortingRepository JpaRepository MongoRepository ReactiveCrudRepository ReactiveMongoRepository".split()
-CRUD_METHODS = "save saveAll findById existsById findAll findAllById count deleteById delete deleteAll".split()
+REPOSITORY_TYPES = "Repository CrudRepository PagingAndSortingRepository JpaRepository MongoRepository ReactiveCrudRepository ReactiveMongoRepository ReactiveSortingRepository JpaSpecificationExecutor QuerydslPredicateExecutor".split()
+CRUD_METHODS = "findById findAll save saveAll delete deleteById deleteAll existsById count flush".split()
 
 
 def repository_methods(classes: DataFrame, inheritance: DataFrame) -> DataFrame:

@@ -770,7 +770,7 @@ def synth_inner_classes(spark: SparkSession, folder: str) -> DataFrame:
     return synthesis.inner_classes(t(spark, folder, "classes")).withColumnsRenamed({"outer": "outer_name", "inner": "inner_name"})
 
 
-@query("WITH " + INHERITANCE + " SELECT c.id AS class_id, c.full_name AS class_full_name, unnest(['save','saveAll','findById','existsById','findAll','findAllById','count','deleteById','delete','deleteAll']) AS method_name, true AS generated FROM classes c WHERE c.id IN (SELECT source_id FROM inh WHERE split_part(target, '.', -1) IN ('Repository','CrudRepository','ListCrudRepository','PagingAndSortingRepository','JpaRepository','MongoRepository','ReactiveCrudRepository','ReactiveMongoRepository'))")
+@query("WITH " + INHERITANCE + " SELECT c.id AS class_id, c.full_name AS class_full_name, unnest(['findById','findAll','save','saveAll','delete','deleteById','deleteAll','existsById','count','flush']) AS method_name, true AS generated FROM classes c WHERE c.id IN (SELECT source_id FROM inh WHERE split_part(target, '.', -1) IN ('Repository','CrudRepository','PagingAndSortingRepository','JpaRepository','MongoRepository','ReactiveCrudRepository','ReactiveMongoRepository','ReactiveSortingRepository','JpaSpecificationExecutor','QuerydslPredicateExecutor'))")
 def synth_repository_methods(spark: SparkSession, folder: str) -> DataFrame:
     c = t(spark, folder, "classes")
     return synthesis.repository_methods(c, cg.inheritance_edges(c))

@@ -64,3 +64,86 @@ def test_fan_out_and_imports_of_any_depth(spark):
 def test_doubling_gives_the_closure(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (0, 3), (4, 2), (7, 7)], "src int, dst int")
     assert sorted(map(tuple, traversal.deep_closure(e).collect())) == sorted(map(tuple, traversal.closure(e).collect()))
+
+
+FULL_CALLS = CALLS + ", text string, line int, column_no int, file_path string"
+FULL_METHODS = METHODS + ", return_type string, parameter_names array<string>, local_variable_types map<string,string>"
+FIELDS = "class_full_name string, name string, type_name string"
+
+
+def test_the_whole_cascade(spark):
+    classes = [
+        ("1", "p.Main", "p", None, None, []),
+        ("2", "p.Repo", "p", None, None, []),
+        ("3", "p.RepoImpl", "p", None, '["Repo"]', []),
+        ("4", "p.Outer$Inner", "p", None, None, []),
+        ("5", "p.Base", "p", "Lib", None, []),
+        ("6", "p.Child", "p", "Base", None, []),
+        ("7", "q.Lib", "q", None, None, []),
+        ("8", "p.GateImpl", "p", None, None, []),
+        ("9", "p.Solo", "p", None, '["Runnable"]', []),
+    ]
+    m = lambda id_, cls, name, types=(), ret=None, names=(), local=None: (id_, cls, name, list(types), ret, list(names), local)
+    methods = [
+        m("main", "p.Main", "main", ["Repo"], None, ["repo"], {"child": "Child"}),
+        m("find", "p.RepoImpl", "find", ["int"], "Child"),
+        m("in", "p.Outer$Inner", "go"),
+        m("baseSave", "p.Base", "store", ["int"]),
+        m("childSave", "p.Child", "store", ["int"]),
+        m("lib", "q.Lib", "load", ["int", "int"]),
+        m("open", "p.GateImpl", "open"),
+        m("only", "p.Solo", "perform", ["int"]),
+    ]
+    fields = [("p.Main", "base", "Base"), ("p.Base", "inner", "Outer.Inner"), ("p.Main", "gate", "Gate")]
+    calls = [
+        ("chain", "main", "store", "repo.find(1)", None, 1, [], "repo.find(1).store(2)", 2, 1, "a.java"),
+        ("inner_of_chain", "main", "find", "repo", "Repo", 1, [], "repo.find(1)", 2, 1, "a.java"),
+        ("nested", "main", "go", "x", "Outer.Inner", 0, [], "x.go()", 3, 1, "a.java"),
+        ("dotted", "main", "go", "this.base.inner", None, 0, [], "t", 4, 1, "a.java"),
+        ("dotted_child", "main", "store", "child.y", None, 1, [], "t", 4, 2, "a.java"),
+        ("wide", "main", "store", "b", "Base", 1, [], "b.store(1)", 5, 1, "a.java"),
+        ("relaxed", "main", "load", "c", "Child", 1, [], "c.load(1)", 6, 1, "a.java"),
+        ("global", "main", "parse", "JSON", None, 1, [], "JSON.parse(x)", 7, 1, "a.ts"),
+        ("hook", "main", "useThing", None, None, 0, [], "useThing()", 7, 2, "a.tsx"),
+        ("not_a_script", "main", "parse", "JSON", None, 1, [], "JSON.parse(x)", 7, 3, "a.java"),
+        ("suffix", "main", "open", "gate", None, 0, [], "gate.open()", 8, 1, "a.java"),
+        ("dispatch", "main", "perform", "z", None, 1, [], "z.perform(1)", 9, 1, "a.java"),
+    ]
+    c = spark.createDataFrame(classes, CLASSES)
+    out = resolve.resolve_all(spark.createDataFrame(calls, FULL_CALLS), spark.createDataFrame(methods, FULL_METHODS), c, cg.inheritance_edges(c), spark.createDataFrame(fields, FIELDS))
+    got = {r["callsite_id"]: (r["status"], r["candidates"]) for r in out.collect()}
+    assert got["inner_of_chain"] == ("resolved_via_sole_implementation", ["find"])
+    assert got["chain"] == ("resolved_same_package", ["childSave"])
+    assert got["nested"] == ("resolved_exact", ["in"])
+    assert got["dotted"] == ("resolved_exact", ["in"])
+    assert got["dotted_child"][0] == "unresolved_receiver"
+    assert got["wide"] == ("resolved_cha", ["baseSave", "childSave"])
+    assert got["relaxed"] == ("resolved_inherited", ["lib"])
+    assert got["global"][0] == got["hook"][0] == "external_library"
+    assert got["not_a_script"][0] == "unresolved_receiver"
+    assert got["suffix"] == ("resolved_impl_suffix", ["open"])
+    assert got["dispatch"] == ("resolved_interface_dispatch_fallback", ["only"])
+    assert set(got) == {r[0] for r in calls}
+
+
+def test_cascades_of_other_languages(spark):
+    names = "full_name string, name string, package_name string, stereotypes array<string>"
+    classes = spark.createDataFrame([("k.Store", "Store", "k", []), ("k.Base", "Base", "k", []), ("k.Deep", "Deep", "k", []), ("k._functions", "_functions", "k", ["module"])], names)
+    methods = spark.createDataFrame([("s", "k.Store", "Put", []), ("b", "k.Base", "Get", []), ("d", "k.Deep", "Get", []), ("d2", "k.Deep", "Close", []), ("f", "k._functions", "New", [])], METHODS)
+    embeds = spark.createDataFrame([("k.Store", "Base"), ("k.Base", "Deep"), ("k.Deep", "Store")], "source string, target string")
+    calls = [("1", "k", "k.Store", "Put", "s", "Store"), ("2", "k", "k.Store", "Get", "s", "x.Store"), ("3", "k", "k.Store", "Close", "s", "Store"), ("4", "k", "k.Store", "New", None, None), ("5", "k", "k.Store", "Gone", "s", "Store"), ("6", "k", "k.Store", "Put", None, None)]
+    c = spark.createDataFrame(calls, "callsite_id string, package_name string, caller_class string, callee_name string, receiver string, receiver_type string")
+    got = {r["callsite_id"]: (r["status"], r["candidates"]) for r in resolve.embedded_cascade(c, methods, classes, embeds).collect()}
+    assert got == {"1": ("resolved_exact", ["s"]), "2": ("resolved_exact", ["b"]), "3": ("resolved_exact", ["d2"]), "4": ("resolved_exact", ["f"]), "5": ("unresolved", []), "6": ("unresolved", [])}
+    got = {r["callsite_id"]: (r["status"], r["candidates"]) for r in resolve.owner_cascade(c, methods, classes).collect()}
+    assert got["1"] == ("resolved_exact", ["s"]) and got["2"] == ("unresolved", []) and got["6"] == ("resolved_exact", ["s"])
+
+
+def test_beans_and_phantoms(spark):
+    classes = spark.createDataFrame([("a.S", ["@Service"]), ("a.C", ["@Configuration"]), ("a.P", []), (None, ["@Service"])], "full_name string, annotations array<string>")
+    methods = spark.createDataFrame([("a.C", ["@Bean"], "b.Made"), ("a.C", ["@Bean"], "void"), ("a.P", ["@Bean"], "b.Other"), ("a.C", None, "b.No")], "class_full_name string, annotations array<string>, return_type string")
+    beans = resolve.static_beans(classes, methods)
+    assert {r[0] for r in beans.collect()} == {"a.S", "a.C", "b.Made"}
+    calls = spark.createDataFrame([("1", "x", None, ["p"]), ("2", "x", None, ["p", "q"]), ("3", "unresolved_receiver", "a.S", []), ("4", "unresolved_receiver", "z", [])], "callsite_id string, status string, type string, candidates array<string>")
+    kept = resolve.without_phantoms(calls, spark.createDataFrame([("p",), ("p",)], "dst string"), beans)
+    assert {tuple(r) for r in kept.collect()} == {("2", "x"), ("3", "actuator_resolved"), ("4", "unresolved_receiver")}
