@@ -95,17 +95,18 @@ def deep_closure(edges: DataFrame) -> DataFrame:
     return seen
 
 
-def bridges(edges: DataFrame, removed: DataFrame, most: int = 20) -> DataFrame:
-    """(src, dst): edges among the nodes that stay, and those that lead from one to another over removed nodes (id) only."""
+def bridges(edges: DataFrame, removed: DataFrame, most: int | None = None) -> DataFrame:
+    """(src, dst): edges among the nodes that stay, and those that lead from one to another over removed nodes (id) only, over
+    ``most`` of them if given."""
     gone = cut(removed.select("id").distinct())
     e = cut(edges.select("src", "dst").distinct())
     starts = e.join(gone, F.col("src") == F.col("id"), "left_anti")
     done = starts.join(gone, F.col("dst") == F.col("id"), "left_anti")
     frontier = seen = cut(starts.join(gone, F.col("dst") == F.col("id"), "left_semi"))
     inner = e.join(gone, F.col("src") == F.col("id"), "left_semi").select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    for _ in range(most):
-        if frontier.isEmpty():
-            break
+    hop = 0
+    while not frontier.isEmpty() and (most is None or hop < most):
+        hop += 1
         step = frontier.join(inner, "dst").select("src", F.col("next").alias("dst")).distinct()
         done = done.unionByName(step.join(gone, F.col("dst") == F.col("id"), "left_anti"))
         frontier = cut(step.join(gone, F.col("dst") == F.col("id"), "left_semi").join(seen, ["src", "dst"], "left_anti"))

@@ -62,9 +62,14 @@ def edges_of(spark: SparkSession, folder: str) -> DataFrame:
     return cg.call_edges(t(spark, folder, "callsites"))
 
 
-def seeds_of(edges: DataFrame, first: str) -> DataFrame:
-    """The callers whose id begins with ``first``: a query's starting points."""
-    return edges.filter(F.col("src").startswith(first)).select(F.col("src").alias("id")).distinct()
+#: The starting points of walks: all endpoint methods.
+ENDPOINTS = "(SELECT lower(trim(id)) FROM methods WHERE is_endpoint)"
+
+
+def endpoints_of(spark: SparkSession, folder: str, edges: DataFrame, side: str = "src") -> DataFrame:
+    """The endpoint methods that have calls of their own, or with ``dst`` those that are called."""
+    ends = t(spark, folder, "methods").filter("is_endpoint").select(cg.key("id").alias("id")).distinct()
+    return edges.select(F.col(side).alias("id")).distinct().join(ends, "id", "left_semi")
 
 
 # ---------------------------------------------------------------- ids, projections, rules
@@ -200,10 +205,10 @@ def join_edges_named(spark: SparkSession, folder: str) -> DataFrame:
     return cg.callers_and_callees(edges_of(spark, folder), m).select("callsite_id", "src_signature", "dst_signature")
 
 
-@query("WITH " + PAIRS + " SELECT src, dst FROM pairs WHERE src LIKE 'a%' OR dst LIKE 'a%'")
+@query("WITH " + PAIRS + " SELECT src, dst FROM pairs WHERE src IN " + ENDPOINTS + " OR dst IN " + ENDPOINTS)
 def join_touching(spark: SparkSession, folder: str) -> DataFrame:
     e = edges_of(spark, folder).select("src", "dst").distinct()
-    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).filter("id like 'a%'")
+    nodes = t(spark, folder, "methods").filter("is_endpoint").select(cg.key("id").alias("id"))
     return cg.touching(e, nodes)
 
 
@@ -399,45 +404,45 @@ def set_except(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
 
 
-# ---------------------------------------------------------------- traversal; the starting points are a query's arguments
+# ---------------------------------------------------------------- traversal from all endpoints
 
-REACH = "WITH RECURSIVE " + PAIRS + ", seeds AS (SELECT DISTINCT src AS id FROM pairs WHERE src LIKE '0a%')"
+REACH = "WITH RECURSIVE " + PAIRS + ", seeds AS (SELECT DISTINCT src AS id FROM pairs WHERE src IN " + ENDPOINTS + ")"
 
 
 @query(REACH + ", walk AS (SELECT id, 0 AS depth FROM seeds UNION SELECT p.dst, w.depth + 1 FROM walk w JOIN pairs p ON p.src = w.id WHERE w.depth < 3) SELECT id, min(depth) AS depth FROM walk GROUP BY id")
 def graph_levels(spark: SparkSession, folder: str) -> DataFrame:
     e = edges_of(spark, folder)
-    return traversal.levels(e, seeds_of(e, "0a"), 3)
+    return traversal.levels(e, endpoints_of(spark, folder, e), 3)
 
 
-@query("WITH RECURSIVE " + PAIRS + ", seeds AS (SELECT DISTINCT dst AS id FROM pairs WHERE dst LIKE '0%'), walk AS (SELECT id, 0 AS depth FROM seeds UNION SELECT p.src, w.depth + 1 FROM walk w JOIN pairs p ON p.dst = w.id WHERE w.depth < 3) SELECT id, min(depth) AS depth FROM walk GROUP BY id HAVING min(depth) > 0")
+@query("WITH RECURSIVE " + PAIRS + ", seeds AS (SELECT DISTINCT dst AS id FROM pairs WHERE dst IN " + ENDPOINTS + "), walk AS (SELECT id, 0 AS depth FROM seeds UNION SELECT p.src, w.depth + 1 FROM walk w JOIN pairs p ON p.dst = w.id WHERE w.depth < 3) SELECT id, min(depth) AS depth FROM walk GROUP BY id HAVING min(depth) > 0")
 def graph_callers(spark: SparkSession, folder: str) -> DataFrame:
     e = edges_of(spark, folder)
-    return traversal.callers(e, e.filter("dst like '0%'").select(F.col("dst").alias("id")), 3)
+    return traversal.callers(e, endpoints_of(spark, folder, e, "dst"), 3)
 
 
 @query(REACH + ", b AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs), walk AS (SELECT id, 0 AS depth FROM seeds UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN b ON b.src = w.id WHERE w.depth < 2) SELECT id, min(depth) AS depth FROM walk GROUP BY id HAVING min(depth) > 0")
 def graph_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
     e = edges_of(spark, folder)
-    return traversal.neighbourhood(e, seeds_of(e, "0a"), 2)
+    return traversal.neighbourhood(e, endpoints_of(spark, folder, e), 2)
 
 
 @query(REACH + ", b AS (SELECT src, dst FROM pairs UNION SELECT dst, src FROM pairs), walk AS (SELECT id, 0 AS depth FROM seeds UNION SELECT b.dst, w.depth + 1 FROM walk w JOIN b ON b.src = w.id WHERE w.depth < 2) SELECT src, dst FROM pairs WHERE src IN (SELECT id FROM walk) AND dst IN (SELECT id FROM walk)")
 def graph_subgraph(spark: SparkSession, folder: str) -> DataFrame:
     e = edges_of(spark, folder)
-    return traversal.subgraph(e, seeds_of(e, "0a"), 2)[1]
+    return traversal.subgraph(e, endpoints_of(spark, folder, e), 2)[1]
 
 
 @query(REACH + ", walk AS (SELECT id, [id] AS path FROM seeds UNION ALL SELECT p.dst, list_append(w.path, p.dst) FROM walk w JOIN pairs p ON p.src = w.id WHERE len(w.path) <= 3 AND NOT list_contains(w.path, p.dst)) SELECT id, array_to_string(path, '>') AS path FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(path), path) = 1")
 def graph_shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
     e = edges_of(spark, folder)
-    return traversal.shortest_paths(e, seeds_of(e, "0a"), 3).select("id", F.array_join("path", ">").alias("path"))
+    return traversal.shortest_paths(e, endpoints_of(spark, folder, e), 3).select("id", F.array_join("path", ">").alias("path"))
 
 
-@query(REACH + ", walk AS (SELECT src, dst, 1 AS depth FROM pairs WHERE src LIKE '0a%' UNION SELECT w.src, p.dst, w.depth + 1 FROM walk w JOIN pairs p ON p.src = w.dst WHERE w.depth < 4) SELECT src, dst, min(depth) AS depth FROM walk GROUP BY ALL")
+@query(REACH + ", walk AS (SELECT src, dst, 1 AS depth FROM pairs WHERE src IN " + ENDPOINTS + " UNION SELECT w.src, p.dst, w.depth + 1 FROM walk w JOIN pairs p ON p.src = w.dst WHERE w.depth < 4) SELECT src, dst, min(depth) AS depth FROM walk GROUP BY ALL")
 def graph_closure(spark: SparkSession, folder: str) -> DataFrame:
     e = edges_of(spark, folder)
-    return traversal.closure(e, seeds_of(e, "0a"), 4)
+    return traversal.closure(e, endpoints_of(spark, folder, e), 4)
 
 
 @query("WITH " + EDGES + " SELECT id, sum(o) AS out, sum(i) AS \"in\" FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id")
@@ -445,17 +450,17 @@ def graph_degrees(spark: SparkSession, folder: str) -> DataFrame:
     return traversal.degrees(edges_of(spark, folder))
 
 
-@query("WITH RECURSIVE " + PAIRS + ", walk AS (SELECT src, dst, 1 AS n FROM pairs WHERE src NOT LIKE '%3' UNION SELECT w.src, p.dst, w.n + 1 FROM walk w JOIN pairs p ON p.src = w.dst WHERE w.dst LIKE '%3' AND w.n < 20) SELECT DISTINCT src, dst FROM walk WHERE dst NOT LIKE '%3'")
+@query("WITH RECURSIVE " + PAIRS + ", gone AS (SELECT lower(trim(id)) AS id FROM methods WHERE generated), walk AS (SELECT src, dst FROM pairs WHERE src NOT IN (SELECT id FROM gone) UNION SELECT w.src, p.dst FROM walk w JOIN pairs p ON p.src = w.dst WHERE w.dst IN (SELECT id FROM gone)) SELECT DISTINCT src, dst FROM walk WHERE dst NOT IN (SELECT id FROM gone)")
 def graph_bridges(spark: SparkSession, folder: str) -> DataFrame:
     e = edges_of(spark, folder)
-    gone = e.select(F.col("src").alias("id")).union(e.select("dst")).filter("id like '%3'")
-    return traversal.bridges(e, gone, 20)
+    gone = t(spark, folder, "methods").filter("generated").select(cg.key("id").alias("id"))
+    return traversal.bridges(e, gone)
 
 
-@query(REACH + ", walk AS (SELECT src, dst, 1 AS depth FROM pairs WHERE src LIKE '0a%' UNION SELECT w.src, p.dst, w.depth + 1 FROM walk w JOIN pairs p ON p.src = w.dst WHERE w.depth < 4), e AS (SELECT src, count(DISTINCT dst) AS n FROM walk WHERE dst NOT IN (SELECT src FROM pairs) GROUP BY 1) SELECT s.id, coalesce(n, 0) AS sinks, round(log2(coalesce(n, 0) + 1), 6) AS entropy FROM seeds s LEFT JOIN e ON e.src = s.id")
+@query(REACH + ", walk AS (SELECT src, dst, 1 AS depth FROM pairs WHERE src IN " + ENDPOINTS + " UNION SELECT w.src, p.dst, w.depth + 1 FROM walk w JOIN pairs p ON p.src = w.dst WHERE w.depth < 4), e AS (SELECT src, count(DISTINCT dst) AS n FROM walk WHERE dst NOT IN (SELECT src FROM pairs) GROUP BY 1) SELECT s.id, coalesce(n, 0) AS sinks, round(log2(coalesce(n, 0) + 1), 6) AS entropy FROM seeds s LEFT JOIN e ON e.src = s.id")
 def graph_sinks(spark: SparkSession, folder: str) -> DataFrame:
     e = edges_of(spark, folder)
-    return traversal.sinks(e, seeds_of(e, "0a"), 4).withColumn("entropy", F.round("entropy", 6))
+    return traversal.sinks(e, endpoints_of(spark, folder, e), 4).withColumn("entropy", F.round("entropy", 6))
 
 
 FLOW = REACH + ", walk AS (SELECT id, 0 AS depth FROM seeds UNION SELECT p.dst, w.depth + 1 FROM walk w JOIN pairs p ON p.src = w.id WHERE w.depth < 3), n AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"
@@ -464,14 +469,14 @@ FLOW = REACH + ", walk AS (SELECT id, 0 AS depth FROM seeds UNION SELECT p.dst,
 @query(FLOW + ", f AS (SELECT p.src, p.dst FROM pairs p JOIN n a ON a.id = p.src AND a.depth < 3 JOIN n b ON b.id = p.dst), d AS (SELECT n.id, n.depth, (SELECT count(*) FROM f WHERE f.src = n.id) AS out, (SELECT count(*) FROM f WHERE f.dst = n.id) AS inn FROM n) SELECT id, depth, out, inn AS \"in\", CAST((CASE depth WHEN 0 THEN 100 WHEN 1 THEN 30 WHEN 2 THEN 20 WHEN 3 THEN 10 ELSE 0 END) + (CASE WHEN out > 0 THEN 15 ELSE -10 END) + (CASE WHEN out >= 2 THEN 10 ELSE 0 END) + (CASE WHEN inn >= 2 THEN 10 ELSE 0 END) - (CASE WHEN out >= 5 THEN 10 ELSE 0 END) AS DOUBLE) AS rank, CASE WHEN depth <= 2 AND out > 0 AND inn <= 2 THEN 'primary' WHEN out >= 5 OR inn >= 3 OR out = 0 THEN 'utility' ELSE 'supporting' END AS tier, CASE WHEN depth <= 2 AND out > 0 AND inn <= 2 THEN 'high' WHEN out >= 5 OR inn >= 3 OR out = 0 OR depth <= 3 THEN 'medium' ELSE 'low' END AS confidence FROM d")
 def graph_flow_ranks(spark: SparkSession, folder: str) -> DataFrame:
     e = edges_of(spark, folder)
-    nodes, walked, _ = traversal.stitched_flow(e, seeds_of(e, "0a"), 3)
+    nodes, walked, _ = traversal.stitched_flow(e, endpoints_of(spark, folder, e), 3)
     return traversal.flow_ranks(nodes, walked)
 
 
 @query(FLOW + ", f AS (SELECT p.src, p.dst, a.depth AS da, b.depth AS db FROM pairs p JOIN n a ON a.id = p.src AND a.depth < 3 JOIN n b ON b.id = p.dst) SELECT id, 'max_depth' AS reason FROM n WHERE depth >= 3 UNION SELECT id, 'no_callees' FROM n WHERE depth < 3 AND id NOT IN (SELECT src FROM pairs) UNION SELECT src, 'cycle' FROM f WHERE db < da OR src = dst")
 def graph_flow_stops(spark: SparkSession, folder: str) -> DataFrame:
     e = edges_of(spark, folder)
-    return traversal.stitched_flow(e, seeds_of(e, "0a"), 3)[2]
+    return traversal.stitched_flow(e, endpoints_of(spark, folder, e), 3)[2]
 
 
 @query("WITH " + PAIRS + " SELECT i.id, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM pairs WHERE src = i.id), '') AS calls, coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM pairs WHERE dst = i.id), '') AS called_by FROM (SELECT DISTINCT id FROM methods QUALIFY max(indexed_at) OVER (PARTITION BY id) IS NOT NULL) i WHERE i.id IN (SELECT id FROM (SELECT id, deleted_at FROM methods QUALIFY rank() OVER (PARTITION BY id ORDER BY indexed_at DESC) = 1) GROUP BY id HAVING count(*) = count(*) FILTER (deleted_at IS NULL))")
@@ -484,24 +489,11 @@ def graph_enriched(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("id", F.array_join("calls", ",").alias("calls"), F.array_join("called_by", ",").alias("called_by"))
 
 
-# ---------------------------------------------------------------- traversal from all callers and from all endpoints
-
-#: Starting points by a property of the data, where the queries above take an id prefix.
-ENDPOINTS = "(SELECT lower(trim(id)) FROM methods WHERE is_endpoint)"
+# ---------------------------------------------------------------- traversal from all callers
 
 
 def from_all(name: str) -> str:
-    return ORACLE[name].replace(" WHERE src LIKE '0a%'", "")
-
-
-def from_endpoints(name: str) -> str:
-    return ORACLE[name].replace("src LIKE '0a%'", f"src IN {ENDPOINTS}").replace("dst LIKE '0%'", f"dst IN {ENDPOINTS}").replace("src LIKE 'a%' OR dst LIKE 'a%'", f"src IN {ENDPOINTS} OR dst IN {ENDPOINTS}")
-
-
-def endpoints_of(spark: SparkSession, folder: str, edges: DataFrame, side: str = "src") -> DataFrame:
-    """The endpoint methods that have calls of their own, or with ``dst`` those that are called."""
-    ends = t(spark, folder, "methods").filter("is_endpoint").select(cg.key("id").alias("id")).distinct()
-    return edges.select(F.col(side).alias("id")).distinct().join(ends, "id", "left_semi")
+    return ORACLE[name].replace(f" WHERE src IN {ENDPOINTS}", "")
 
 
 @query(from_all("graph_closure"))
@@ -515,56 +507,6 @@ def graph_sinks_all(spark: SparkSession, folder: str) -> DataFrame:
     return traversal.sinks(e, e.select(F.col("src").alias("id")), 4).withColumn("entropy", F.round("entropy", 6))
 
 
-@query(from_endpoints("graph_levels"))
-def graph_levels_endpoints(spark: SparkSession, folder: str) -> DataFrame:
-    e = edges_of(spark, folder)
-    return traversal.levels(e, endpoints_of(spark, folder, e), 3)
-
-
-@query(from_endpoints("graph_callers"))
-def graph_callers_endpoints(spark: SparkSession, folder: str) -> DataFrame:
-    e = edges_of(spark, folder)
-    return traversal.callers(e, endpoints_of(spark, folder, e, "dst"), 3)
-
-
-@query(from_endpoints("graph_neighbourhood"))
-def graph_neighbourhood_endpoints(spark: SparkSession, folder: str) -> DataFrame:
-    e = edges_of(spark, folder)
-    return traversal.neighbourhood(e, endpoints_of(spark, folder, e), 2)
-
-
-@query(from_endpoints("graph_subgraph"))
-def graph_subgraph_endpoints(spark: SparkSession, folder: str) -> DataFrame:
-    e = edges_of(spark, folder)
-    return traversal.subgraph(e, endpoints_of(spark, folder, e), 2)[1]
-
-
-@query(from_endpoints("graph_shortest_paths"))
-def graph_shortest_paths_endpoints(spark: SparkSession, folder: str) -> DataFrame:
-    e = edges_of(spark, folder)
-    return traversal.shortest_paths(e, endpoints_of(spark, folder, e), 3).select("id", F.array_join("path", ">").alias("path"))
-
-
-@query(from_endpoints("graph_flow_ranks"))
-def graph_flow_ranks_endpoints(spark: SparkSession, folder: str) -> DataFrame:
-    e = edges_of(spark, folder)
-    nodes, walked, _ = traversal.stitched_flow(e, endpoints_of(spark, folder, e), 3)
-    return traversal.flow_ranks(nodes, walked)
-
-
-@query(from_endpoints("graph_flow_stops"))
-def graph_flow_stops_endpoints(spark: SparkSession, folder: str) -> DataFrame:
-    e = edges_of(spark, folder)
-    return traversal.stitched_flow(e, endpoints_of(spark, folder, e), 3)[2]
-
-
-@query(from_endpoints("join_touching"))
-def join_touching_endpoints(spark: SparkSession, folder: str) -> DataFrame:
-    e = edges_of(spark, folder).select("src", "dst").distinct()
-    nodes = endpoints_of(spark, folder, e).union(endpoints_of(spark, folder, e, "dst")).distinct()
-    return cg.touching(e, nodes)
-
-
 # ---------------------------------------------------------------- text and vectors
 
 
@@ -815,13 +757,6 @@ def flow_categories(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(FLOW + ", c AS (SELECT id, min(line) AS line FROM callsites GROUP BY id) SELECT e.src, e.dst, n.depth, string_agg(DISTINCT CAST(c.line AS VARCHAR), ',' ORDER BY CAST(c.line AS VARCHAR)) AS lines FROM edges e JOIN n ON n.id = e.src AND n.depth < 3 JOIN c ON c.id = e.callsite_id GROUP BY ALL")
 def flow_traced(spark: SparkSession, folder: str) -> DataFrame:
-    e = edges_of(spark, folder)
-    line = t(spark, folder, "callsites").groupBy(F.col("id").alias("callsite_id")).agg(F.min("line").cast("string").alias("line"))
-    return flows.traced(e.join(line, "callsite_id"), seeds_of(e, "0a"), 3).withColumn("lines", F.array_join("lines", ","))
-
-
-@query(from_endpoints("flow_traced"))
-def flow_traced_endpoints(spark: SparkSession, folder: str) -> DataFrame:
     e = edges_of(spark, folder)
     line = t(spark, folder, "callsites").groupBy(F.col("id").alias("callsite_id")).agg(F.min("line").cast("string").alias("line"))
     return flows.traced(e.join(line, "callsite_id"), endpoints_of(spark, folder, e), 3).withColumn("lines", F.array_join("lines", ","))

@@ -28,14 +28,23 @@ def build(app: str = "loomgraph", master: str | None = None, **conf: str) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; only where none is set (tests), a local one."""
+    """Use the folder that the cluster names in spark.checkpoint.dir; only where none is set and the driver runs all tasks itself
+    (tests), a local one. On a cluster a folder of one machine would not survive it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomgraph-"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder beside the checkpoints, on storage that all executors reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip('/')}/{name}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint of ``df``: computed once, kept in the shared folder, safe when executors are lost.
 

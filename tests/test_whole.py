@@ -44,13 +44,13 @@ def test_walks_from_all_endpoints(spark, calls):
     seeds = ends & {a for a, _ in edges}
     near = [reach(edges, a, 3) for a in seeds]
     want = {b: min(n.get(b, 9) for n in near) for b in {b for n in near for b in n}} | dict.fromkeys(seeds, 0)
-    assert rows(QUERIES["graph_levels_endpoints"](spark, folder)) == sorted(want.items())
-    assert {(r["id"], r["path"].count(">")) for r in QUERIES["graph_shortest_paths_endpoints"](spark, folder).collect()} == set(want.items())
+    assert rows(QUERIES["graph_levels"](spark, folder)) == sorted(want.items())
+    assert {(r["id"], r["path"].count(">")) for r in QUERIES["graph_shortest_paths"](spark, folder).collect()} == set(want.items())
     called = ends & {b for _, b in edges}
     back = [(b, a) for a, b in edges]
     up = {x for s in called for x in reach(back, s, 3)} - called
-    assert {r["id"] for r in QUERIES["graph_callers_endpoints"](spark, folder).collect()} == up
-    assert rows(QUERIES["join_touching_endpoints"](spark, folder)) == [e for e in edges if ends & set(e)]
+    assert {r["id"] for r in QUERIES["graph_callers"](spark, folder).collect()} == up
+    assert rows(QUERIES["join_touching"](spark, folder)) == [e for e in edges if ends & set(e)]
 
 
 def test_search_asks_with_all_queries(spark, tmp_path, monkeypatch):
