@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +81,27 @@ def replaced_files(base: DataFrame, parsed: DataFrame, changed: DataFrame, faile
     return without_files(base, done).unionByName(parsed.join(done.select("file_path").distinct(), "file_path", "left_semi").select(*base.columns))
 
 
+def reindexed(base: Mapping[str, DataFrame], parsed: Mapping[str, DataFrame], changed: DataFrame, deleted: DataFrame, failed: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a graph brought up to date: rows of deleted files (file_path) leave, those of changed files give way to what
+    was parsed, files that could not be parsed keep theirs. ``edges`` (src, dst), if among the tables, lose those with an end
+    among methods that have gone."""
+    out = {n: replaced_files(without_files(df, deleted), parsed[n], changed, failed) for n, df in base.items() if n != "edges"}
+    if "edges" in base:
+        gone = base["methods"].select("id").distinct().join(out["methods"].select("id").distinct(), "id", "left_anti")
+        out["edges"] = without_edges_of(base["edges"], gone)
+    return out
+
+
+def trigger(changed: DataFrame, extensions: Sequence[str] = ("java", "py", "ts", "tsx", "js", "jsx", "go", "cs", "scala", "smithy")) -> DataFrame:
+    """The files of a hook's change list (path) that are sources, each once."""
+    return changed.filter(F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)).isin(*extensions)).select("path").distinct()
+
+
+def outdated(stored: DataFrame, used: DataFrame) -> DataFrame:
+    """(name): snapshots in use (name, version) that aren't the stored ones any more; a cache drops these."""
+    return stored.select("name", F.col("version").alias("now")).join(used, "name").filter(~F.col("now").eqNullSafe(F.col("version"))).select("name").distinct()
+
+
 def patched_lines(base: DataFrame, patch: DataFrame) -> DataFrame:
     """``base`` with start_line, end_line and source of ``patch`` (id, ...) where it has them."""
     p = patch.select(F.col("id").alias("_id"), *(F.col(c).alias(f"_{c}") for c in ("start_line", "end_line", "source")))

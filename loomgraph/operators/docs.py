@@ -50,6 +50,23 @@ def symbol_links(chunks: DataFrame, names: DataFrame, id_: str = "id", text: str
     return words.join(names.select("name").distinct(), "name", "left_semi").distinct().select("id", "name")
 
 
+QUALIFIED = r"\b([a-z][a-z0-9_]*(?:\.[a-z][a-z0-9_]*)+\.[A-Z][A-Za-z0-9_]*)\b"
+
+
+def resource_links(chunks: DataFrame, class_names: DataFrame, method_names: DataFrame, id_: str = "id") -> DataFrame:
+    """(id, name): classes that a chunk's title or content names in full (by short name), and capitalised words that are names of
+    classes or methods."""
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
+    rows = chunks.select(F.col(id_).alias("id"), text.alias("t")).distinct()
+    classes = class_names.select(F.col(class_names.columns[0]).alias("known")).filter("known is not null").distinct()
+    full = rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(QUALIFIED), F.lit(1)))).alias("q"))
+    asked = full.select("id", F.explode(F.array("q", ids.short_name("q"))).alias("known"))
+    by_name = asked.join(classes, "known", "left_semi").select("id", ids.short_name("known").alias("name"))
+    either = classes.union(method_names.select("name")).select(F.col("known").alias("name")).distinct()
+    words = rows.select("id", F.explode(camel_words(F.col("t"))).alias("name")).join(either, "name", "left_semi")
+    return by_name.unionByName(words.select("id", "name")).distinct()
+
+
 def graph_names(classes: DataFrame, methods: DataFrame) -> DataFrame:
     """Short and full names of classes, and names of methods of more than two characters."""
     return classes.select(F.col("name")).union(classes.select("full_name")).union(methods.filter(F.length("method_name") > 2).select("method_name")).filter("name is not null").distinct()

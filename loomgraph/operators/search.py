@@ -45,7 +45,9 @@ def document_lengths(docs: DataFrame, id_: str, columns: Sequence[str]) -> DataF
 def postings(docs: DataFrame, id_: str, columns: Sequence[str]) -> DataFrame:
     """(id, term, frequencies by column, length): an inverted index, partitioned by term when written."""
     size = reduce(lambda a, b: a + b, (F.size(text.index_tokens(F.col(c))) for c in columns))
-    rows = docs.select(F.col(id_).alias("id"), size.alias("length"), F.explode(F.concat(*map(_tagged, columns))).alias("p")).select("id", "length", "p.*")
+    # the length first: beside the explosion it would be counted again for every token
+    sized = docs.select(F.col(id_).alias("id"), *columns, size.alias("length"))
+    rows = sized.select("id", "length", F.explode(F.concat(*map(_tagged, columns))).alias("p")).select("id", "length", "p.*")
     return rows.groupBy("id", "term", "length").agg(*(F.count_if(F.col("column") == c).alias(c) for c in columns))
 
 
