@@ -134,11 +134,17 @@ def components(classes: DataFrame, methods: DataFrame) -> DataFrame:
     return c.unionByName(methods.filter(F.col("framework_role").isin("component", "hook")).select("id", F.col("method_name").alias("name"), F.col("framework_role").alias("kind")))
 
 
+#: Lines of a file that are joined at once.
+BIN = 256
+
+
 def method_at_line(methods: DataFrame, points: DataFrame, on: str = "file_path", line: str = "line") -> DataFrame:
-    """For each point (a row with a path and a line) the innermost method that holds it; a range join with an equi key."""
-    p = points.withColumn("_point", F.struct(*points.columns))
-    m = methods.select(F.col("file_path").alias("_path"), "start_line", "end_line", F.col("id").alias("method_id"))
-    inside = p.join(m, (F.col(on) == F.col("_path")) & (F.col(line) >= F.col("start_line")) & (F.col(line) <= F.col("end_line")))
+    """For each point (a row with a path and a line) the innermost method that holds it; a range join on path and bins of lines,
+    so that a long file is no product of its points and methods."""
+    p = points.select(F.struct(*points.columns).alias("_point"), F.col(on).alias("_at"), F.col(line).alias("_line"), F.floor(F.col(line) / BIN).alias("_bin"))
+    m = methods.filter("start_line <= end_line").select(F.col("file_path").alias("_path"), "start_line", "end_line", F.col("id").alias("method_id"))
+    m = m.withColumn("_of", F.explode(F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.col("end_line") / BIN))))
+    inside = p.join(m, (F.col("_at") == F.col("_path")) & (F.col("_bin") == F.col("_of")) & (F.col("_line") >= F.col("start_line")) & (F.col("_line") <= F.col("end_line")))
     best = F.min_by("method_id", F.struct(F.col("end_line") - F.col("start_line"), F.col("start_line"), F.col("method_id"))).alias("method_id")
     return inside.groupBy("_point").agg(best).select("_point.*", "method_id")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, rules
 from ..session import cut
 from .lookups import implementer_methods
+from .skew import hot_keys, left_join_unique
 from .synthesis import inner_classes
 from .traversal import closure, deep_closure
 
@@ -161,10 +162,15 @@ def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritanc
     facts = reduce(lambda a, b: a.join(b, ["cls", "method_name"], "left"), (exact, inherited, sole, nested, short), pairs)
     known = look.classes.select(F.col("full_name").alias("cls"), F.lit(True).alias("known"))
     facts = facts.join(known, "cls", "left")
-    r = c.join(facts, (F.col("type") == F.col("cls")) & (F.col("callee_name") == F.col("method_name")), "left").drop("method_name")
+    # a name like get may stand in a tenth of all calls: such keys are spread
+    c = c.withColumn("_fact", F.concat_ws("\u0001", "type", "callee_name"))
+    facts = facts.withColumn("_key", F.concat_ws("\u0001", "cls", "method_name"))
+    r = left_join_unique(c, facts, "_fact", "_key", hot_keys(c, "_fact"), F.col("callsite_id")).drop("method_name", "_fact", "_key")
     # only calls on the own class look at all methods of a name: the others don't meet the long lists
-    sought = F.when(F.col("own"), F.col("callee_name"))
-    r = r.join(look.by_name.select(F.col("method_name").alias("gname"), "arity", "all"), (sought == F.col("gname")) & (F.greatest("n", F.lit(-1)) == F.col("arity")), "left")
+    wanted = F.when(F.col("own"), F.concat_ws("\u0001", "callee_name", F.greatest("n", F.lit(-1)).cast("string")))
+    named = look.by_name.filter("method_name is not null").select(F.concat_ws("\u0001", "method_name", F.col("arity").cast("string")).alias("gname"), "all")
+    hot = hot_keys(c.select(wanted.alias("_wanted")), "_wanted")
+    r = left_join_unique(r.withColumn("_wanted", wanted), named, "_wanted", "gname", hot, F.col("callsite_id")).drop("_wanted")
 
     dispatch = implementer_methods(methods, written)
     every = dispatch.groupBy("method_name").agg(F.sum("n").alias("n"), F.max("sole").alias("sole")).select("method_name", F.lit(-1).alias("arity"), F.when(F.col("n") == 1, F.col("sole")).alias("sole"))

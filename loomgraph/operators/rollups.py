@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..functions import ids
 
 
@@ -166,13 +167,30 @@ def nearest_rank(values: Column, share: float) -> Column:
     return F.element_at(ordered, F.least(F.size(ordered), F.floor(F.size(ordered) * share).cast("int") + 1))
 
 
+def ranked(df: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
+    """``df`` with ``rank``, from 1, of each row within its group. A group may hold most of all rows: rows are parted by range
+    of group and order, each part is sorted by itself, and only the parts' sizes are summed within a group."""
+    parted = cut(df.repartitionByRange(F.col(by), *order)).withColumn("_p", F.spark_partition_id())
+    sizes = parted.groupBy(F.col(by).alias("_by"), F.col("_p").alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_by", "_part", before.alias("_before"))
+    inside = parted.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_p").orderBy(*order)))
+    j = inside.join(sizes, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_p") == F.col("_part")))
+    return j.select(*df.columns, (F.col("_r") + F.col("_before")).alias("rank"))
+
+
 def latency_summary(df: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, n, mean, p50, p95): exact nearest ranks without collecting a group: values are ranked by sorting, and only the
-    two wanted are kept."""
-    w = Window.partitionBy(by)
-    r = df.filter(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda s: F.max(F.when(F.col("_i") == F.floor(F.col("_n") * s), F.col(value)))
-    return r.groupBy(by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    """(by, n, mean, p50, p95): exact nearest ranks. Equal values are counted first; what is left is summed in parts by range, as
+    in :func:`ranked`, so no group is sorted by one task."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    parted = cut(counts.repartitionByRange("_by", "_v")).withColumn("_p", F.spark_partition_id())
+    sizes = parted.groupBy(F.col("_by").alias("_of"), F.col("_p").alias("_part")).agg(F.sum("_c").alias("_n"))
+    w = Window.partitionBy("_of")
+    sizes = sizes.select("_of", "_part", F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(w).alias("_all"))
+    inside = parted.withColumn("_sum", F.sum("_c").over(Window.partitionBy("_by", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    j = inside.join(sizes, F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_p") == F.col("_part")))
+    at = lambda s: F.min(F.when(F.col("_sum") + F.col("_before") > F.least(F.floor(F.col("_all") * s), F.col("_all") - 1), F.col("_v")))
+    return j.groupBy(F.col("_by").alias(by)).agg(F.sum("_c").alias("n"), (F.sum(F.col("_c") * F.col("_v")) / F.sum("_c")).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
 def set_scores(found: Column, true: Column) -> Column:

@@ -21,19 +21,40 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.union(reversed_edges(e)).distinct()
 
 
+class _Seen:
+    """What a walk has reached so far: each frontier is stored once, and all are read together; every few hops they are brought
+    together, so that a long walk doesn't read ever more parts."""
+
+    MERGED = 8
+
+    def __init__(self, first: DataFrame) -> None:
+        self.parts = [first]
+
+    def add(self, frontier: DataFrame) -> None:
+        self.parts.append(frontier)
+        if len(self.parts) > self.MERGED:
+            self.parts = [cut(self.all().coalesce(max(1, int(frontier.sparkSession.conf.get("spark.sql.shuffle.partitions")))))]
+
+    def all(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+
 def levels(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, depth): nodes within ``depth`` hops of the seeds (id) with their least number of hops; seeds have 0."""
     e = cut(edges.select("src", "dst").distinct())
-    seen = cut(seeds.select("id", F.lit(0).alias("depth")).distinct())
-    frontier, hop = seen, 0
+    frontier, hop = cut(seeds.select("id", F.lit(0).alias("depth")).distinct()), 0
+    seen = _Seen(frontier)
     while depth is None or hop < depth:
         hop += 1
         reached = e.join(frontier.select("id"), F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = cut(reached.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("depth")))
+        frontier = cut(reached.join(seen.all(), "id", "left_anti").select("id", F.lit(hop).alias("depth")))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+    return seen.all()
 
 
 def callers(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
@@ -56,32 +77,33 @@ def subgraph(edges: DataFrame, seeds: DataFrame, depth: int) -> tuple[DataFrame,
 def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int = 6) -> DataFrame:
     """(id, path): a shortest path from a seed to each node within ``depth`` hops; of several the least one."""
     e = cut(edges.select("src", "dst").distinct())
-    frontier = seen = cut(seeds.select("id", F.array("id").alias("path")).distinct())
+    frontier = cut(seeds.select("id", F.array("id").alias("path")).distinct())
+    seen = _Seen(frontier)
     for _ in range(depth):
         step = e.join(frontier, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         best = step.groupBy("id").agg(F.min("path").alias("path"))
-        frontier = cut(best.join(seen.select("id"), "id", "left_anti"))
+        frontier = cut(best.join(seen.all().select("id"), "id", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+    return seen.all()
 
 
 def closure(edges: DataFrame, seeds: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """(src, dst, depth): what each seed (or each source) reaches, with the least number of hops. Cycles end by themselves."""
     e = cut(edges.select("src", "dst").distinct())
     start = e if seeds is None else e.join(seeds.select(F.col("id").alias("src")), "src", "left_semi")
-    frontier = seen = cut(start.select("src", "dst", F.lit(1).alias("depth")))
-    hop = 1
+    frontier, hop = cut(start.select("src", "dst", F.lit(1).alias("depth"))), 1
+    seen = _Seen(frontier)
     while depth is None or hop < depth:
         hop += 1
         onward = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
         reached = frontier.select("src", "dst").join(onward, "dst").select("src", F.col("next").alias("dst")).distinct()
-        frontier = cut(reached.join(seen, ["src", "dst"], "left_anti").select("src", "dst", F.lit(hop).alias("depth")))
+        frontier = cut(reached.join(seen.all(), ["src", "dst"], "left_anti").select("src", "dst", F.lit(hop).alias("depth")))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        seen.add(frontier)
+    return seen.all()
 
 
 def deep_closure(edges: DataFrame) -> DataFrame:
@@ -102,15 +124,16 @@ def bridges(edges: DataFrame, removed: DataFrame, most: int | None = None) -> Da
     e = cut(edges.select("src", "dst").distinct())
     starts = e.join(gone, F.col("src") == F.col("id"), "left_anti")
     done = starts.join(gone, F.col("dst") == F.col("id"), "left_anti")
-    frontier = seen = cut(starts.join(gone, F.col("dst") == F.col("id"), "left_semi"))
+    frontier = cut(starts.join(gone, F.col("dst") == F.col("id"), "left_semi"))
+    seen = _Seen(frontier)
     inner = e.join(gone, F.col("src") == F.col("id"), "left_semi").select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     hop = 0
     while not frontier.isEmpty() and (most is None or hop < most):
         hop += 1
         step = frontier.join(inner, "dst").select("src", F.col("next").alias("dst")).distinct()
         done = done.unionByName(step.join(gone, F.col("dst") == F.col("id"), "left_anti"))
-        frontier = cut(step.join(gone, F.col("dst") == F.col("id"), "left_semi").join(seen, ["src", "dst"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
+        frontier = cut(step.join(gone, F.col("dst") == F.col("id"), "left_semi").join(seen.all(), ["src", "dst"], "left_anti"))
+        seen.add(frontier)
     return done.distinct()
 
 

@@ -368,7 +368,7 @@ def agg_set_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query("WITH r AS (SELECT lang AS query, doc_id AS item, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents WHERE lang IS NOT NULL), w AS (SELECT lang AS query, doc_id AS item FROM documents WHERE lang IS NOT NULL AND source = 'wiki-export'), x AS (SELECT w.query, count(*) AS wanted, count(*) AS hits, min(r.rank) AS rank FROM w JOIN r USING (query, item) GROUP BY 1) SELECT query, rank, 1.0 / rank AS reciprocal, hits / wanted AS recall FROM x")
 def agg_reciprocal_rank(spark: SparkSession, folder: str) -> DataFrame:
     d = t(spark, folder, "documents").filter("lang is not null").select(F.col("lang").alias("query"), F.col("doc_id").alias("item"), "n_chars", "source")
-    ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("n_chars"), "item")))
+    ranked = rollups.ranked(d, "query", [F.desc("n_chars"), F.col("item")])
     return rollups.reciprocal_rank(ranked, d.filter("source = 'wiki-export'"))
 
 
