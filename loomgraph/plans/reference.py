@@ -113,7 +113,13 @@ def rule_class_stereotypes(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("id", F.array_join(rules.class_stereotypes(F.col("name"), F.col("annotations")), ",").alias("stereotypes"))
 
 
-@query()
+@query(r"""
+WITH o AS (SELECT id AS class_id, max(annotations) AS ca FROM classes GROUP BY id), j AS (SELECT m.id, m.annotations, o.ca FROM methods m LEFT JOIN o ON o.class_id = m.class_id),
+x AS (SELECT *, list_transform(list_filter(annotations, lambda a: list_contains(['GetMapping','PostMapping','PutMapping','PatchMapping','DeleteMapping','RequestMapping'], split_part(split_part(ltrim(a, '@[ '), '(', 1), '.', -1))), lambda a: a) AS mapped,
+  nullif(regexp_extract(list_filter(ca, lambda a: split_part(split_part(ltrim(a, '@[ '), '(', 1), '.', -1) = 'RequestMapping')[1], '\([^"'']*["'']([^"'']*)["'']', 1), '') AS base FROM j),
+y AS (SELECT *, list_filter(list_transform(mapped, lambda a: nullif(regexp_extract(a, '\([^"'']*["'']([^"'']*)["'']', 1), '')), lambda v: v IS NOT NULL)[-1] AS route, list_filter(list_transform(mapped, lambda a: CASE split_part(split_part(ltrim(a, '@[ '), '(', 1), '.', -1) WHEN 'GetMapping' THEN 'GET' WHEN 'PostMapping' THEN 'POST' WHEN 'PutMapping' THEN 'PUT' WHEN 'PatchMapping' THEN 'PATCH' WHEN 'DeleteMapping' THEN 'DELETE' ELSE upper(nullif(regexp_extract(a, 'RequestMethod\.(\w+)', 1), '')) END), lambda v: v IS NOT NULL)[-1] AS verb FROM x)
+SELECT id, coalesce(len(mapped) > 0, false) AS is_endpoint, CASE WHEN len(mapped) > 0 THEN verb END AS http_method, CASE WHEN len(mapped) > 0 THEN route END AS route, base AS controller_route, CASE WHEN base IS NOT NULL OR route IS NOT NULL THEN replace(rtrim(coalesce(base, ''), '/') || '/' || ltrim(coalesce(route, ''), '/'), '//', '/') END AS full_route FROM y
+""")
 def rule_endpoints(spark: SparkSession, folder: str) -> DataFrame:
     m, c = t(spark, folder, "methods", "classes")
     owner = c.groupBy(F.col("id").alias("class_id")).agg(F.max("annotations").alias("class_annotations"))
@@ -137,7 +143,24 @@ def filter_noisy_names(spark: SparkSession, folder: str) -> DataFrame:
     return t(spark, folder, "callsites").filter(F.col("callee_name").isin(rules.NOISY_NAMES)).groupBy("callee_name").agg(F.count("*").alias("n"))
 
 
-@query()
+def _quoted(names: list[str]) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+def _prefixed(c: str, prefixes: list[str]) -> str:
+    return "(" + " OR ".join(f"starts_with({c}, '{p}') OR {c} = rtrim('{p}', '.')" for p in prefixes) + ")"
+
+
+def _by_language(c: str) -> str:
+    return f"CASE language WHEN 'python' THEN {_prefixed(c, rules.NOISY_PREFIXES['python'])} WHEN 'typescript' THEN {_prefixed(c, rules.NOISY_PREFIXES['typescript'])} ELSE {_prefixed(c, rules.NOISY_PREFIXES['java'])} END"
+
+
+@query(f"""
+WITH l AS (SELECT id, min(language) AS language FROM methods GROUP BY id), j AS (SELECT s.*, coalesce(l.language, 'java') AS language, coalesce(receiver_type_normalized, receiver_type, receiver_type_raw) AS ty FROM callsites s LEFT JOIN l ON l.id = s.caller_method_id),
+n AS (SELECT caller_method_id, coalesce(callee_name IN {_quoted(rules.NOISY_NAMES)}, false) OR coalesce(split_part(regexp_replace(ty, '<.*$', ''), '.', -1) IN {_quoted(rules.NOISY_TYPES)}, false) OR coalesce({_by_language('ty')}, false) OR coalesce({_by_language('receiver')}, false)
+  OR coalesce(resolution_status = 'external_library' AND NOT (language = 'typescript' AND coalesce(receiver, '') = ''), false) AS noise FROM j)
+SELECT caller_method_id, count(*) FILTER (NOT noise) AS kept, count(*) FILTER (noise) AS noise FROM n GROUP BY 1
+""")
 def filter_context_calls(spark: SparkSession, folder: str) -> DataFrame:
     s, m = t(spark, folder, "callsites", "methods")
     lang = m.groupBy(F.col("id").alias("caller_method_id")).agg(F.min("language").alias("language"))
@@ -542,7 +565,21 @@ def search_bm25(spark: SparkSession, folder: str) -> DataFrame:
     return search.bm25(d, ["invoice", "retry"], ["text"], "doc_id").withColumn("score", F.round("score", 6))
 
 
-@query()
+def _two_phase(a: str, b: str) -> str:
+    tok = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    starts = lambda l, t: f"CAST(len(list_filter({l}, lambda x: starts_with(x, '{t}'))) AS DOUBLE)"  # noqa: E731, E741
+    idf = lambda k: f"CASE WHEN ln((nn - {k} + 0.5) / ({k} + 0.5)) > 0 THEN ln((nn - {k} + 0.5) / ({k} + 0.5)) ELSE 1e-6 END"
+    part = lambda i, f: f"{i} * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * l / av))"
+    return f"""WITH m AS (SELECT id, min(method_name) AS method_name, min(class_full_name) AS class_full_name, min(signature) AS signature, max(coalesce(source, '')) AS source FROM methods GROUP BY id),
+d AS (SELECT id, {tok('method_name')} AS n, list_concat(list_concat({tok('method_name')}, {tok('signature')}), list_concat({tok('class_full_name')}, {tok('source')})) AS w FROM m),
+f AS (SELECT id, len(w) AS l, 10 * {starts('n', a)} AS na, 10 * {starts('n', b)} AS nb, {starts('w', a)} AS wa, {starts('w', b)} AS wb FROM d),
+z AS (SELECT count(*) AS nn, avg(l) AS av, count(*) FILTER (na > 0) AS hna, count(*) FILTER (nb > 0) AS hnb, count(*) FILTER (wa > 0) AS hwa, count(*) FILTER (wb > 0) AS hwb FROM f),
+i AS (SELECT *, {idf('hna')} AS ina, {idf('hnb')} AS inb, {idf('hwa')} AS iwa, {idf('hwb')} AS iwb FROM z),
+r AS (SELECT id, CASE WHEN na > 0 OR nb > 0 THEN -({part('ina', 'na')} + {part('inb', 'nb')}) - 1000.0 ELSE -({part('iwa', 'wa')} + {part('iwb', 'wb')}) END AS score, CASE WHEN na > 0 OR nb > 0 THEN 'name' ELSE 'text' END AS bucket FROM f, i WHERE wa > 0 OR wb > 0)
+SELECT id, round(score, 6) AS score, bucket FROM r"""
+
+
+@query(_two_phase("invoice", "archive"))
 def search_two_phase(spark: SparkSession, folder: str) -> DataFrame:
     m = one_per_method(t(spark, folder, "methods"))
     return search.two_phase(m, ["invoice", "archive"]).select("id", F.round("score", 6).alias("score"), "bucket")
@@ -610,7 +647,15 @@ def resolve_dynamic(spark: SparkSession, folder: str) -> DataFrame:
     return resolve.dynamic_cascade(calls_of(s), methods).select("callsite_id", "status", F.array_join("candidates", ",").alias("candidates"))
 
 
-@query()
+@query(f"""
+WITH caller AS (SELECT id, min(class_full_name) AS caller_class FROM methods GROUP BY id), own AS (SELECT full_name, min(package_name) AS package, min(coalesce(imports, [])) AS imports FROM classes WHERE full_name IS NOT NULL GROUP BY 1), known AS (SELECT DISTINCT full_name FROM classes),
+p AS (SELECT DISTINCT c.caller_class, s.receiver_type_raw AS written, nullif(trim(regexp_replace(s.receiver_type_raw, '<.*$|\\[.*$|\\?$', '', 'g')), '') AS bare FROM callsites s JOIN caller c ON c.id = s.caller_method_id),
+q AS (SELECT p.*, o.package, coalesce(o.imports, []) AS imports, contains(bare, '.') AS dotted FROM p LEFT JOIN own o ON o.full_name = p.caller_class WHERE bare IS NOT NULL),
+w AS (SELECT caller_class, written, count(DISTINCT replace(i, '*', '') || bare) AS wilds, min(replace(i, '*', '') || bare) AS wild FROM (SELECT *, unnest(imports) AS i FROM q) WHERE i LIKE '%.*' AND replace(i, '*', '') || bare IN (SELECT full_name FROM known) GROUP BY ALL),
+r AS (SELECT q.*, w.wilds, w.wild, CASE WHEN NOT dotted THEN list_filter(imports, lambda x: ends_with(x, '.' || bare))[1] END AS exact, CASE WHEN NOT dotted THEN concat_ws('.', package, bare) END AS same FROM q LEFT JOIN w ON w.caller_class IS NOT DISTINCT FROM q.caller_class AND w.written = q.written),
+h AS (SELECT *, CASE WHEN dotted THEN 'full' WHEN exact IS NOT NULL THEN 'import_exact' WHEN same IN (SELECT full_name FROM known) THEN 'same_package' WHEN wilds > 1 THEN 'ambiguous' WHEN wilds = 1 THEN 'import_wildcard' WHEN bare IN {_quoted(resolve.LANG_TYPES)} THEN 'language' ELSE 'unqualified' END AS how FROM r)
+SELECT caller_class, written, CASE how WHEN 'full' THEN bare WHEN 'import_exact' THEN exact WHEN 'same_package' THEN same WHEN 'import_wildcard' THEN wild WHEN 'language' THEN 'java.lang.' || bare ELSE bare END AS type, how FROM h
+""")
 def resolve_types(spark: SparkSession, folder: str) -> DataFrame:
     c, s, m = t(spark, folder, "classes", "callsites", "methods")
     caller = m.groupBy(F.col("id").alias("caller_method_id")).agg(F.min("class_full_name").alias("caller_class"))
@@ -737,7 +782,13 @@ def flow_stack_frames(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("id", "position", "class", "method", "line")
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT doc_id AS id, n - 1 AS position, l FROM (SELECT doc_id, unnest(string_split_regex(text, '\r\n|\n|\r')) AS l, generate_subscripts(string_split_regex(text, '\r\n|\n|\r'), 1) AS n FROM documents)),
+j AS (SELECT id, position, regexp_extract(l, '^\s*at\s+([\w.$]+)\.([\w$<>]+)\(([\w.$-]+\.\w+):(\d+)\)', ['c', 'm', 'f', 'n']) AS x, regexp_matches(l, '^\s*at\s+([\w.$]+)\.([\w$<>]+)\(([\w.$-]+\.\w+):(\d+)\)') AS java, regexp_extract(l, '^\s*File "([^"]+)", line (\d+), in (\S+)', ['f', 'n', 'm']) AS y, regexp_matches(l, '^\s*File "([^"]+)", line (\d+), in (\S+)') AS py FROM l),
+f AS (SELECT id, position, CASE WHEN java THEN x.c END AS class, CASE WHEN java THEN x.m ELSE y.m END AS method, CASE WHEN java THEN x.f ELSE split_part(y.f, '/', -1) END AS file, CAST(CASE WHEN java THEN x.n ELSE y.n END AS INT) AS line FROM j WHERE java OR py),
+k AS (SELECT f.id, f.position, count(DISTINCT m.id) AS n, count(DISTINCT CASE WHEN f.line BETWEEN m.start_line AND m.end_line THEN m.id END) AS k FROM f JOIN methods m ON m.method_name = f.method AND split_part(replace(m.file_path, '\', '/'), '/', -1) = f.file AND (f.class IS NULL OR m.class_full_name = f.class) GROUP BY ALL)
+SELECT CASE WHEN n = 1 OR k = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status, count(*) AS n FROM f LEFT JOIN k USING (id, position) GROUP BY 1
+""")
 def flow_matched_frames(spark: SparkSession, folder: str) -> DataFrame:
     d, m = t(spark, folder, "documents", "methods")
     return flows.matched_frames(flows.stack_frames(d, "doc_id"), m).groupBy("status").agg(F.count("*").alias("n"))
