@@ -49,6 +49,24 @@ class CodeGraph:
     def inheritance(self) -> DataFrame:
         return inheritance_edges(self.classes)
 
+    def nodes(self) -> DataFrame:
+        """(id, node_type, name, signature, file_path, calls, called_by): methods and classes as one table; classes call nothing."""
+        m = self.enriched_methods().select("id", F.lit("method").alias("node_type"), F.col("method_name").alias("name"), "signature", "file_path", "calls", "called_by")
+        c = self.classes.select("id", F.lit("class").alias("node_type"), "name", F.col("full_name").alias("signature"), "file_path")
+        empty = F.array().cast("array<string>")
+        return m.unionByName(c, allowMissingColumns=True).withColumns({"calls": F.coalesce("calls", empty), "called_by": F.coalesce("called_by", empty)})
+
+    def of_files(self, paths: DataFrame) -> CodeGraph:
+        """The classes, methods and call sites of some files (file_path); edges follow from the call sites."""
+        p = paths.select("file_path").distinct()
+        part = lambda df: df.join(p, "file_path", "left_semi")
+        return CodeGraph(part(self.classes), part(self.methods), part(self.callsites))
+
+    def edges_of_files(self, paths: DataFrame) -> DataFrame:
+        """Call edges whose caller lies in some files."""
+        own = self.methods.join(paths.select("file_path").distinct(), "file_path", "left_semi").select(key("id").alias("src")).distinct()
+        return self.edges().join(own, "src", "left_semi")
+
     def enriched_methods(self) -> DataFrame:
         """Methods with the sorted ids that they call and are called by."""
         e = self.edges().select("src", "dst").distinct()
@@ -168,9 +186,26 @@ def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return one.union(edges.join(n, F.col("dst") == F.col("id"), "left_semi")).distinct()
 
 
-def text_window(source: Column, most_lines: int) -> Column:
-    """A source cut to a number of lines: the head, a mark, and the last three."""
+def text_window(source: Column, most_lines: int, most_chars: int | None = None) -> Column:
+    """A source cut to a number of lines: the head, a mark, and the last three; then to a number of characters, with a mark."""
     lines = F.split(source, "\n")
     head = max(1, most_lines - 3)
     cut = F.concat(F.slice(lines, 1, head), F.array(F.lit("...")), F.slice(lines, -3, 3))
-    return F.when(F.size(lines) <= most_lines, source).otherwise(F.array_join(cut, "\n"))
+    out = F.when(F.size(lines) <= most_lines, source).otherwise(F.array_join(cut, "\n"))
+    if most_chars is None:
+        return out
+    return F.when(F.length(out) <= most_chars, out).otherwise(F.concat(F.substring(out, 1, max(0, most_chars - 4)), F.lit("\n...")))
+
+
+def capped_by_kind(found: DataFrame, most: int, order: str = "signature") -> DataFrame:
+    """``found`` with at most so many rows of each kind, in order, and ``omitted``, how many of the kind are left out (a report's
+    limit); the rows kept are chosen by aggregation, not by sorting a kind in one task."""
+    total = found.groupBy("kind").agg(F.count("*").alias("_n"))
+    kinds = [r["kind"] for r in total.select("kind").collect()]  # method and class
+    parts = [found.filter(F.col("kind").eqNullSafe(F.lit(k))).orderBy(order, "id").limit(most) for k in kinds]
+    if not parts:
+        return found.withColumn("omitted", F.lit(0).cast("long"))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.join(F.broadcast(total), "kind").select(*found.columns, F.greatest(F.lit(0), F.col("_n") - most).alias("omitted"))

@@ -83,6 +83,21 @@ def file_dependencies(edges: DataFrame, methods: DataFrame) -> DataFrame:
     return turned.filter("file <> caller_file").select(F.col("caller_file").alias("file"), F.col("file").alias("callee_file"), "calls", "methods")
 
 
+def inheritance_dependencies(inheritance: DataFrame, classes: DataFrame) -> DataFrame:
+    """(file, target, relation, target_file): what the classes of each file extend or implement, each once, with the file of the
+    target where it is in the graph."""
+    c = classes.select("id", "full_name", "file_path").filter("file_path is not null")
+    own = inheritance.join(c.select(F.col("id").alias("source_id"), F.col("file_path").alias("file")).distinct(), "source_id").select("file", "target", "relation").distinct()
+    known = c.groupBy(F.col("full_name").alias("target")).agg(F.min("file_path").alias("target_file"))
+    return own.join(known, "target", "left").select("file", "target", "relation", "target_file")
+
+
+def dependency_totals(calls: DataFrame, inherited: DataFrame) -> DataFrame:
+    """(file, files): how many other files each file depends on, by calls or inheritance."""
+    other = calls.select("file", F.col("callee_file").alias("to")).unionByName(inherited.select("file", F.col("target_file").alias("to")))
+    return other.filter("to is not null and to <> file").groupBy("file").agg(F.count_distinct("to").alias("files"))
+
+
 def resolved_callees(edges: DataFrame, callsites: DataFrame, methods: DataFrame) -> DataFrame:
     """(src, dst, signature, lines, calls, priority): the calls of each method grouped by target; names that only move
     data come last."""
@@ -140,6 +155,32 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(parts).alias("p")).select("p.*")
 
 
+def length_mismatches(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(left, right, rows, mismatches): rows of which two array columns, of names and types say, aren't equally long."""
+    length = lambda c: F.coalesce(F.size(c), F.lit(0))
+    wide = df.agg(F.count("*").alias("rows"), *(F.count_if(F.greatest(length(a), F.lit(0)) != F.greatest(length(b), F.lit(0))).alias(f"m{i}") for i, (a, b) in enumerate(pairs)))
+    parts = F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col("rows"), F.col(f"m{i}").alias("mismatches")) for i, (a, b) in enumerate(pairs)))
+    return wide.select(F.explode(parts).alias("p")).select("p.*")
+
+
+def histogram(df: DataFrame, column: str) -> DataFrame:
+    """(value, n, pct) of a column."""
+    n = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("total"))  # one row
+    return n.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").select("value", "n", percent(F.col("n"), F.col("total")).alias("pct"))
+
+
+def file_hits(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query, wanted, hit): whether a result of a query (query, path) is the wanted file (query, path), ends with it at a slash,
+    or has its base name."""
+    base = lambda c: F.substring_index(c, "/", -1)
+    w = wanted.select("query", F.col("path").alias("wanted"), base(F.col("path")).alias("_base")).distinct()
+    r = ranked.select("query", F.col("path"), base(F.col("path")).alias("_base")).distinct()
+    j = w.join(r, ["query", "_base"], "left")
+    full = (F.col("path") == F.col("wanted")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("wanted"))) | F.col("wanted").endswith(F.concat(F.lit("/"), F.col("path")))
+    return j.groupBy("query", "wanted").agg(F.max(F.when(F.coalesce(full, F.lit(False)), 2).when(F.col("path").isNotNull(), 1).otherwise(0)).alias("_h")).select("query", "wanted", F.element_at(F.array(F.lit("none"), F.lit("basename"), F.lit("path")), F.col("_h") + 1).alias("hit"))
+
+
 def token_stats(methods: DataFrame) -> DataFrame:
     """By file: methods, characters and estimated tokens of sources."""
     chars = F.length(F.coalesce("source", F.lit("")))

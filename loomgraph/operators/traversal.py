@@ -89,6 +89,15 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int = 6) -> DataFr
     return seen.all()
 
 
+def path_edges(paths: DataFrame, calls: DataFrame) -> DataFrame:
+    """(id, step, src, dst, callsite_id, line): the edges of paths (id, path) with a call for each (calls: src, dst, callsite_id,
+    line), the first by line."""
+    pairs = F.zip_with(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))
+    steps = paths.select("id", F.posexplode(pairs).alias("step", "e")).select("id", "step", "e.src", "e.dst")
+    first = calls.groupBy("src", "dst").agg(F.min_by(F.struct("callsite_id", "line"), F.struct("line", "callsite_id")).alias("c"))
+    return steps.join(first, ["src", "dst"], "left").select("id", "step", "src", "dst", "c.callsite_id", "c.line")
+
+
 def closure(edges: DataFrame, seeds: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """(src, dst, depth): what each seed (or each source) reaches, with the least number of hops. Cycles end by themselves."""
     e = cut(edges.select("src", "dst").distinct())

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, rules
-from ..operators import changes, docs, index, lookups, reports, resolve, search, synthesis
+from ..operators import changes, docs, index, lookups, reports, resolve, rollups, search, synthesis, traversal
 from ..operators import code_graph as cg
 from ..session import cut
+from ..sources import store
+from ..streaming import debounce
 from .reference import EDGES, ENDPOINTS, INHERITANCE, METHODS, PAIRS, Query, calls_of, edges_of, endpoints_of, one_per_method, t
 
 QUERIES: dict[str, Query] = {}
@@ -567,3 +569,69 @@ def change_reindexed(spark: SparkSession, folder: str) -> DataFrame:
 def synth_uncovered(spark: SparkSession, folder: str) -> DataFrame:
     m, c = t(spark, folder, "methods", "classes")
     return synthesis.uncovered(c.filter("file_path is not null").select("file_path").distinct(), m)
+
+
+# ---------------------------------------------------------------- parts of other reports
+
+
+@query("WITH " + INHERITANCE + ", o AS (SELECT DISTINCT c.file_path AS file, i.target, i.relation FROM inh i JOIN classes c ON c.id = i.source_id WHERE c.file_path IS NOT NULL), k AS (SELECT full_name, min(file_path) AS target_file FROM classes WHERE file_path IS NOT NULL GROUP BY 1) SELECT o.*, k.target_file FROM o LEFT JOIN k ON k.full_name = o.target")
+def agg_inheritance_dependencies(spark: SparkSession, folder: str) -> DataFrame:
+    c = t(spark, folder, "classes")
+    return rollups.inheritance_dependencies(cg.inheritance_edges(c), c)
+
+
+@query("WITH " + EDGES + ", " + METHODS + ", " + INHERITANCE.strip() + ", k AS (SELECT full_name, min(file_path) AS tf FROM classes WHERE file_path IS NOT NULL GROUP BY 1), x AS (SELECT a.file_path AS file, b.file_path AS f FROM edges e JOIN m a ON a.id = e.src JOIN m b ON b.id = e.dst UNION SELECT c.file_path, k.tf FROM inh i JOIN classes c ON c.id = i.source_id JOIN k ON k.full_name = i.target WHERE c.file_path IS NOT NULL) SELECT file, count(DISTINCT f) AS files FROM x WHERE f IS NOT NULL AND f <> file GROUP BY file")
+def agg_dependency_totals(spark: SparkSession, folder: str) -> DataFrame:
+    c = t(spark, folder, "classes")
+    calls = rollups.file_dependencies(edges_of(spark, folder), one_per_method(t(spark, folder, "methods")))
+    return rollups.dependency_totals(calls, rollups.inheritance_dependencies(cg.inheritance_edges(c), c))
+
+
+@query("SELECT 'parameter_types' AS \"left\", 'parameter_names' AS \"right\", count(*) AS rows, count(*) FILTER (coalesce(len(parameter_types), 0) <> coalesce(len(parameter_names), 0)) AS mismatches FROM methods UNION ALL SELECT 'field_reads', 'field_writes', count(*), count(*) FILTER (coalesce(len(field_reads), 0) <> coalesce(len(field_writes), 0)) FROM methods")
+def agg_length_mismatches(spark: SparkSession, folder: str) -> DataFrame:
+    return rollups.length_mismatches(t(spark, folder, "methods"), [("parameter_types", "parameter_names"), ("field_reads", "field_writes")])
+
+
+@query("SELECT resolution_status AS value, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM callsites), 1) AS pct FROM callsites GROUP BY 1")
+def agg_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return rollups.histogram(t(spark, folder, "callsites"), "resolution_status")
+
+
+@query("WITH r AS (SELECT DISTINCT module_id AS query, file_path AS path, split_part(file_path, '/', -1) AS b FROM methods WHERE file_path IS NOT NULL AND module_id IS NOT NULL), w AS (SELECT DISTINCT module_id AS query, file_path AS wanted, split_part(file_path, '/', -1) AS b FROM classes WHERE file_path IS NOT NULL AND module_id IS NOT NULL) SELECT w.query, w.wanted, CASE max(CASE WHEN r.path = w.wanted OR ends_with(r.path, '/' || w.wanted) OR ends_with(w.wanted, '/' || r.path) THEN 2 WHEN r.path IS NOT NULL THEN 1 ELSE 0 END) WHEN 2 THEN 'path' WHEN 1 THEN 'basename' ELSE 'none' END AS hit FROM w LEFT JOIN r ON r.query = w.query AND r.b = w.b GROUP BY w.query, w.wanted")
+def agg_file_hits(spark: SparkSession, folder: str) -> DataFrame:
+    m, c = t(spark, folder, "methods", "classes")
+    of = lambda df: df.filter("file_path is not null and module_id is not null").select(F.col("module_id").alias("query"), F.col("file_path").alias("path"))
+    return rollups.file_hits(of(m), of(c))
+
+
+@query("WITH " + EDGES + ", f AS (SELECT DISTINCT file_path FROM methods WHERE is_endpoint AND file_path IS NOT NULL), o AS (SELECT DISTINCT lower(trim(id)) AS id FROM methods WHERE file_path IN (SELECT file_path FROM f)) SELECT src, callsite_id, dst FROM edges WHERE src IN (SELECT id FROM o)")
+def select_edges_of_files(spark: SparkSession, folder: str) -> DataFrame:
+    c, m, s = t(spark, folder, "classes", "methods", "callsites")
+    return cg.CodeGraph(c, m, s).edges_of_files(m.filter("is_endpoint and file_path is not null"))
+
+
+@query("WITH h AS (SELECT DISTINCT id, kind, signature, file_path FROM (SELECT id, 'method' AS kind, signature, file_path, annotations FROM methods UNION ALL SELECT id, 'class', full_name, file_path, annotations FROM classes) WHERE len(list_filter(annotations, lambda a: lower(split_part(split_part(ltrim(rtrim(a, ']'), '@[ '), '(', 1), '.', -1)) = 'deprecated')) > 0), n AS (SELECT kind, count(*) AS n FROM h GROUP BY kind) SELECT h.id, h.kind, h.signature, h.file_path, greatest(0, n.n - 10) AS omitted FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY kind ORDER BY signature NULLS FIRST, id) <= 10) h JOIN n USING (kind)")
+def select_annotated_capped(spark: SparkSession, folder: str) -> DataFrame:
+    m, c = t(spark, folder, "methods", "classes")
+    return cg.capped_by_kind(cut(cg.annotated(m, c, "@Deprecated").distinct()), 10)
+
+
+@query("WITH RECURSIVE " + EDGES + f", pairs AS (SELECT DISTINCT src, dst FROM edges), c AS (SELECT id, min(line) AS line FROM callsites GROUP BY id), seeds AS (SELECT DISTINCT src AS id FROM pairs WHERE src IN {ENDPOINTS}), walk AS (SELECT id, [id] AS path FROM seeds UNION ALL SELECT p.dst, list_append(w.path, p.dst) FROM walk w JOIN pairs p ON p.src = w.id WHERE len(w.path) <= 3 AND NOT list_contains(w.path, p.dst)), best AS (SELECT id, path FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(path), path) = 1), st AS (SELECT id, unnest(range(0, len(path) - 1)) AS step, path FROM best WHERE len(path) > 1), s2 AS (SELECT id, step, path[step + 1] AS src, path[step + 2] AS dst FROM st), f AS (SELECT e.src, e.dst, e.callsite_id, c.line FROM edges e JOIN c ON c.id = e.callsite_id QUALIFY row_number() OVER (PARTITION BY e.src, e.dst ORDER BY c.line, e.callsite_id) = 1) SELECT s2.id, s2.step, s2.src, s2.dst, f.callsite_id, f.line FROM s2 LEFT JOIN f ON f.src = s2.src AND f.dst = s2.dst")
+def graph_path_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The calls along a shortest path to each method."""
+    e = cut(edges_of(spark, folder))
+    line = t(spark, folder, "callsites").groupBy(F.col("id").alias("callsite_id")).agg(F.min("line").alias("line"))
+    return traversal.path_edges(traversal.shortest_paths(e, endpoints_of(spark, folder, e), 3), e.join(line, "callsite_id"))
+
+
+@query("SELECT id, strftime(make_timestamp(ts * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS ts_iso FROM doc_chunks WHERE ts IS NOT NULL")
+def source_iso_times(spark: SparkSession, folder: str) -> DataFrame:
+    return store.iso_times(t(spark, folder, "doc_chunks").filter("ts is not null")).select("id", "ts_iso")
+
+
+@query("WITH p AS (SELECT module_id AS repository, list_sort(list(DISTINCT file_path)) AS paths FROM methods WHERE module_id IS NOT NULL AND file_path IS NOT NULL GROUP BY 1), x AS (SELECT repository, unnest(paths) AS path, generate_subscripts(paths, 1) AS i FROM p) SELECT repository, CAST((i - 1) // 50 AS INT) AS portion, count(*) AS n, min(path) AS first FROM x GROUP BY ALL")
+def stream_portions(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of each module as one burst of changes, in portions of fifty."""
+    m = t(spark, folder, "methods").filter("module_id is not null and file_path is not null")
+    burst = m.groupBy(F.col("module_id").alias("repository")).agg(F.lit(0).alias("start"), F.array_sort(F.collect_set("file_path")).alias("paths"))
+    return debounce.portions(burst).select("repository", "portion", F.size("paths").alias("n"), F.get("paths", 0).alias("first"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,8 @@ from pyspark.sql import types as T
 # Directories that are never sources, by language where they differ.
 PRUNED = "node_modules .git .hg .svn __pycache__ venv .venv env .tox .mypy_cache .pytest_cache build dist target out .gradle .idea .vscode bin obj vendor .next coverage".split()
 EXTENSIONS = {"java": [".java"], "python": [".py"], "typescript": [".ts", ".tsx", ".js", ".jsx", ".mjs"], "go": [".go"], "csharp": [".cs"], "scala": [".scala"], "smithy": [".smithy"], "docs": [".md", ".mdx", ".txt"], "resources": [".yaml", ".yml", ".json", ".xml"]}
+#: Directories that are never sources of one language, though they may be of another.
+PRUNED_FOR = {"java": ["generated-sources", "generated-test-sources"], "python": ["site-packages", "dist-packages", "migrations", ".eggs"], "typescript": ["bower_components", ".nuxt", "storybook-static"], "go": ["testdata", "third_party"], "csharp": ["packages", "TestResults"], "scala": ["project", ".bloop", ".metals"]}
 MANIFESTS = {"pom.xml": "java", "build.gradle": "java", "build.gradle.kts": "java", "package.json": "typescript", "tsconfig.json": "typescript", "pyproject.toml": "python", "setup.py": "python", "requirements.txt": "python", "go.mod": "go", "build.sbt": "scala"}
 MOST_BYTES, HEADER_LINES, LONG_LINE = 1_000_000, 10, 500
 GENERATED_HEADER = r"(?i)(code generated|@generated|auto-?generated|do not edit)"
@@ -24,15 +28,55 @@ def listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFram
 
 
 def pruned(files: DataFrame, language: str | None = None) -> DataFrame:
-    """Files of a language outside the directories that are never sources."""
+    """Files of a language outside the directories that are never sources, those whose name begins with a dot among them."""
     parts = F.slice(F.split("relative", "/"), 1, F.greatest(F.lit(0), F.size(F.split("relative", "/")) - 1))
-    out = files.filter(F.size(F.array_intersect(parts, F.array(*(F.lit(p) for p in PRUNED)))) == 0)
+    names = [*PRUNED, *PRUNED_FOR.get(language or "", [])]
+    out = files.filter((F.size(F.array_intersect(parts, F.array(*(F.lit(p) for p in names)))) == 0) & ~F.exists(parts, lambda d: d.rlike(r"^\.[^.]")))
     if language is None:
         return out
     ends = F.exists(F.array(*(F.lit(e) for e in EXTENSIONS[language])), lambda e: F.col("relative").endswith(e))
     return out.filter(ends)
 
 
+def resource_files(files: DataFrame) -> DataFrame:
+    """YAML, JSON and XML files below any directory named resources."""
+    return files.filter(F.concat(F.lit("/"), F.col("relative")).rlike(r"/resources/(?:.*/)?[^/]+\.(?:ya?ml|json|xml)$"))
+
+
+def ignore_pattern(rule: str) -> str:
+    """The regular expression over relative paths for a line of an ignore file; ``**`` stands for any directories, a rule with
+    a slash other than at its end is bound to the root, one that ends with a slash is of directories."""
+    directory, bound = rule.endswith("/"), "/" in rule.rstrip("/")
+    out, body = "", rule.strip("/")
+    i = 0
+    while i < len(body):
+        if body.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif body.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif body[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        elif body[i] == "?":
+            out, i = out + "[^/]", i + 1
+        else:
+            out, i = out + ("\\" + body[i] if not body[i].isalnum() and body[i] not in "_/ " else body[i]), i + 1
+    return ("^" if bound else "^(?:.*/)?") + out + ("/.*$" if directory else "(?:/.*)?$")
+
+
+def not_ignored(files: DataFrame, rules: Sequence[str], skip_folders: Sequence[str] = ()) -> DataFrame:
+    """Files that the lines of an ignore file leave, the last line that fits deciding (``!`` takes back), and that lie outside of
+    ``skip_folders``, which are path prefixes."""
+    out = F.lit(False)
+    for rule in (r.strip() for r in rules):
+        if rule and not rule.startswith("#"):
+            back = rule.startswith("!")
+            out = F.when(F.col("relative").rlike(ignore_pattern(rule.lstrip("!"))), F.lit(not back)).otherwise(out)
+    for folder in (f.strip("/") for f in skip_folders):
+        if folder:
+            out = out | F.col("relative").startswith(folder + "/") | (F.col("relative") == folder)
+    return files.filter(~out)
+
+
 def texts(spark: SparkSession, files: str, glob: str | None = None) -> DataFrame:
     """(path, text): files read whole."""
     read = spark.read.text(files, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)

@@ -78,11 +78,15 @@ def classes(rows: DataFrame) -> DataFrame:
 
 
 def functions(rows: DataFrame) -> DataFrame:
-    """(path, owner, name, start_line, end_line, parameters, role)."""
+    """(path, owner, name, start_line, end_line, parameters, role): roles by decorators, and for methods named as a verb of a
+    subclass of a view."""
     d = F.from_json("detail", "parameters array<string>, decorators array<string>")
     f = rows.filter("kind = 'function'").withColumn("d", d)
     deco = lambda p: F.exists("d.decorators", lambda x: x.rlike(p))
-    role = F.when(deco(r"\.route\("), "flask_route").when(deco(r"\.(get|post|put|delete|patch)\("), "fastapi_route")
+    role = F.when(deco(r"\.route\("), "flask_route").when(deco(r"\.(get|post|put|delete|patch|head|options)\("), "fastapi_route")
+    views = classes(rows).filter(F.array_contains("stereotypes", "django_view")).select("path", F.col("full_name").alias("owner"), F.lit(True).alias("view")).distinct()
+    f = f.join(views, ["path", "owner"], "left")
+    role = role.when(F.col("view") & F.col("name").isin("get", "post", "put", "patch", "delete", "head", "options"), "django_handler")
     return f.select("path", "owner", "name", "start_line", "end_line", "d.parameters", role.alias("role"))
 
 

@@ -12,36 +12,45 @@ from pyspark.sql import functions as F
 
 _HEADER = re.compile(r"^[ \t]*(structure|union|operation|service|resource|enum|intEnum|list|map|string|integer|long|boolean|timestamp|blob|document)\s+(\w+)([^\n{]*)", re.M)
 _MEMBER = re.compile(r"((?:@[\w#.]+(?:\([^)]*\))?\s*)*)([\w$]+)\s*:\s*=?\s*([\w.#$]+)?")
-_HTTP = re.compile(r"@http\(([^)]*)\)")
+_HTTP = re.compile(r'@http\(((?:"(?:\\.|[^"\\])*"|[^)"])*)\)')
 
 
-def _block(text: str, at: int) -> str:
-    """What lies between the brace at or after ``at`` and the one that closes it; strings and comments don't count."""
+_MARK = re.compile(r'"(?:\\.|[^"\\])*"|//[^\n]*|[{}]')
+
+
+def _span(text: str, at: int) -> tuple[int, int]:
+    """The places of the brace at or after ``at`` and of the one that closes it; strings and comments don't count."""
     start = text.find("{", at)
     if start < 0:
-        return ""
-    depth, i = 0, start
-    for m in re.finditer(r'"(?:\\.|[^"\\])*"|//[^\n]*|[{}]', text[start:]):
+        return len(text), len(text)
+    depth = 0
+    for m in _MARK.finditer(text, start):
         if m[0] == "{":
             depth += 1
         elif m[0] == "}":
             depth -= 1
             if not depth:
-                return text[start + 1 : start + m.start()]
-    return text[i + 1 :]
+                return start, m.start()
+    return start, len(text)
+
+
+def _block(text: str, at: int) -> str:
+    start, end = _span(text, at)
+    return text[start + 1 : end]
 
 
 def shapes_of(path: str, text: str) -> list[tuple[Any, ...]]:
     """(path, namespace, kind, name, members, detail) of each shape of a file; members as JSON."""
     namespace = (re.search(r"^\s*namespace\s+([\w.]+)", text, re.M) or [None, ""])[1]
-    out = []
+    out, last = [], 0  # all between the shape before and a header are the header's traits
     for m in _HEADER.finditer(text):
+        if m.start() < last:
+            continue  # within the shape before
         kind, name = m[1], m[2]
         line_end = text.find("\n", m.end())
         has_body = "{" in text[m.start() : line_end if line_end >= 0 else len(text)]
-        body = _block(text, m.start()) if has_body else ""
-        before = text[max(0, m.start() - 400) : m.start()]
-        traits = before[before.rfind("\n}") + 2 :] if "\n}" in before else before
+        start, end = _span(text, m.start()) if has_body else (m.end(), m.end())
+        body, traits, last = text[start + 1 : end], text[last : m.start()], end
         members = [{"name": x[2], "target_shape": x[3], "required": "@required" in (x[1] or "")} for x in _MEMBER.finditer(body)] if kind in ("structure", "union") else []
         detail: dict[str, Any] = {}
         if kind == "operation":

@@ -34,6 +34,11 @@ def append_events(df: DataFrame, path: str) -> None:
     df.withColumn("day", F.to_date(F.timestamp_millis("ts"))).write.mode("append").partitionBy("day").parquet(path)
 
 
+def iso_times(events: DataFrame, column: str = "ts") -> DataFrame:
+    """``events`` with ``<column>_iso``: epoch milliseconds as an ISO time in UTC."""
+    return events.withColumn(f"{column}_iso", F.date_format(F.timestamp_millis(column), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+
+
 def history(events: DataFrame, repository: str, limit: int = 50) -> DataFrame:
     """The last events of a repository (a report's limit)."""
     return events.filter(F.col("repository") == repository).orderBy(F.desc("ts")).limit(limit)

@@ -24,6 +24,14 @@ def bursts(events: DataFrame, by: str = "repository", at: str = "at", gap: str =
     return s.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "events", "paths")
 
 
+def portions(burst: DataFrame, most: int = 50, by: str = "repository") -> DataFrame:
+    """(by, start, portion, paths): the paths of each burst in portions of at most so many, the first of which is flushed at once
+    and the others after it."""
+    n = F.ceil(F.size("paths") / most).cast("int")
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.struct(i.alias("portion"), F.slice("paths", i * most + 1, most).alias("paths")))
+    return burst.select(by, "start", F.explode(cuts).alias("c")).select(by, "start", "c.portion", "c.paths").filter(F.size("paths") > 0)
+
+
 def flush(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second") -> StreamingQuery:
     """Each batch of changes once: ``apply(batch, number)`` must be idempotent in the number, as a batch may be repeated."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -90,3 +90,31 @@ def test_bursts_batch_and_stream(spark, tmp_path):
     seen = []
     debounce.drain(debounce.file_events(spark, str(folder)), lambda df, n: seen.extend(debounce.bursts(df).collect()), str(tmp_path / "cp"))
     assert sorted(r["events"] for r in seen) == [2, 3]
+
+
+def test_ignore_rules_and_resources(spark):
+    paths = ["a.log", "x/a.log", "x/keep.log", "build/a.py", "x/build/a.py", "docs/a/b.md", "docs/c.md", "legacy/a.py", "vendor/legacy/a.py", "resources/a.yml", "m/src/main/resources/x/b.json", "resources.json", "q/resources/c.txt", ".hidden/a.py", "migrations/a.py"]
+    df = spark.createDataFrame([(p,) for p in paths], "relative string")
+    kept = {r[0] for r in files.not_ignored(df, ["# a comment", "", "*.log", "!keep.log", "/build/", "docs/**/b.md"], ["legacy/"]).collect()}
+    assert set(paths) - kept == {"a.log", "x/a.log", "build/a.py", "docs/a/b.md", "legacy/a.py"}
+    assert {r[0] for r in files.resource_files(df).collect()} == {"resources/a.yml", "m/src/main/resources/x/b.json"}
+    assert {r[0] for r in files.pruned(df, "python").collect()} == {"legacy/a.py"}
+    assert "migrations/a.py" in {r[0] for r in files.pruned(df).collect()}
+
+
+def test_traits_of_any_length(spark):
+    long = "/// " + "words of a long description " * 60
+    text = f'namespace n\n\nstructure A {{ x: String }}\n{long}\n@documentation("with {{ and ) within")\n@http(method: "GET", uri: "/a(b)")\noperation Get {{\n  input: A\n}}\noperation Other {{ input: A }}\n'
+    rows = smithy.shapes_of("p", text)
+    detail = {r[3]: json.loads(r[5]) for r in rows}
+    assert detail["Get"]["uri"] == "/a(b)" and "uri" not in detail["Other"]
+
+
+def test_views_and_times(spark):
+    text = "class V(APIView):\n    def get(self): pass\n    def other(self): pass\nclass W:\n    def get(self): pass\n@app.head('/x')\ndef h(): pass\n"
+    rows = spark.createDataFrame(python_code.rows_of("a.py", text), python_code.ROWS)
+    got = {(r["owner"], r["name"]): r["role"] for r in python_code.functions(rows).collect()}
+    assert got == {("V", "get"): "django_handler", ("V", "other"): None, ("W", "get"): None, (None, "h"): "fastapi_route"}
+    assert store.iso_times(spark.createDataFrame([(1_700_000_000_123,)], "ts long")).first()["ts_iso"] == "2023-11-14T22:13:20.123Z"
+    burst = spark.createDataFrame([("r", D(2024, 1, 1), [f"f{i:03d}" for i in range(120)]), ("s", D(2024, 1, 1), [])], "repository string, start timestamp, paths array<string>")
+    assert [(r["portion"], len(r["paths"])) for r in debounce.portions(burst).orderBy("portion").collect()] == [(0, 50), (1, 50), (2, 20)]
