@@ -17,15 +17,13 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..operators.rollups import ranked
 
 LIMIT, OVERLAP = 3000, 200
-#: So many chunk positions of a source are numbered by one sort.
-NUMBERED_TOGETHER = 1024
 
 _TOKEN = re.compile(r"\w+|\s+|[^\w\s]")
 _SENTENCE_END = frozenset(".!?…。！？")
@@ -109,22 +107,16 @@ def current(chunks: DataFrame) -> DataFrame:
 def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """The current rows of ``chunks`` in pieces, with ``chunk_index`` renumbered from 0 per ``source_path``.
 
-    Columns: those of the table; ``id`` is that of the row that a piece comes from, ``piece`` its number in it. A source may
-    hold a third of all rows: its positions are numbered in blocks, and only the blocks' totals are summed per source.
+    Columns: those of the table; ``id`` is that of the row that a piece comes from, ``piece`` its number in it. Rows without
+    ``chunk_index`` come last in their source, those of equal index by id. A source may hold a third of all rows, or have as many
+    rows without index: rows are numbered in parts by range, and only the parts' sizes are summed per source.
     """
     rows = current(chunks).withColumn("_long", F.length("content") > limit)
     long = split(rows.filter("_long"), "content", limit, overlap)
     pieces = rows.filter(~F.coalesce("_long", F.lit(False))).withColumn("piece", F.lit(0)).unionByName(long)
-    position = F.coalesce("chunk_index", F.lit(2**31 - 1))
-    pieces = cut(pieces)  # read twice
-    pieces = pieces.withColumn("_block", F.floor(position / NUMBERED_TOGETHER)).withColumn("_position", position)
-    totals = pieces.groupBy("source_path", "_block").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("source_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select(F.col("source_path").alias("_source"), F.col("_block").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("source_path", "_block").orderBy("_position", "id", "piece")) - 1
-    numbered = pieces.withColumn("_inside", inside)
-    numbered = numbered.join(totals, F.col("source_path").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_of")))
-    return numbered.select("id", "source_path", "source_type", "title", "content", "linked_classes", (F.col("_inside") + F.col("_before")).cast("int").alias("chunk_index"), "ts", "piece")
+    pieces = pieces.withColumn("_position", F.coalesce("chunk_index", F.lit(2**31 - 1)))
+    numbered = ranked(pieces, "source_path", [F.col("_position"), F.col("id"), F.col("piece")])
+    return numbered.select("id", "source_path", "source_type", "title", "content", "linked_classes", (F.col("rank") - 1).cast("int").alias("chunk_index"), "ts", "piece")
 
 
 def corrected_sources(sources: DataFrame, pieces: DataFrame) -> DataFrame:
