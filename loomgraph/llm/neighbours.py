@@ -62,6 +62,11 @@ class Codebooks:
     asking: np.ndarray
     stored: np.ndarray
 
+    @property
+    def cell_type(self) -> type:
+        """Numbers of cells take two bytes where they can."""
+        return np.uint16 if len(self.cells) <= 1 << 16 else np.int32
+
     @property
     def words(self) -> np.ndarray:
         return np.vstack([self.cells, *self.books])
@@ -357,7 +362,7 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
                     coded = np.hstack([codes[:, :1].astype(np.int32).view(np.uint8), codes[:, 1:].astype(np.uint8)])
                     raw = np.rint(x * FIXED).astype(np.int16)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(of[first], pa.int32()), pa.array(of[first] == unit[row[first], 0]), part.column(0).take(take), part.column(1).take(take), _binary(coded).take(take), pa.array(norms).take(take), _binary(raw).take(take), _binary(near.ravel()[order].astype(np.int32), np.append(first, len(order)) * 4)],
+                        [pa.array(of[first], pa.int32()), pa.array(of[first] == unit[row[first], 0]), part.column(0).take(take), part.column(1).take(take), _binary(coded).take(take), pa.array(norms).take(take), _binary(raw).take(take), _binary(near.ravel()[order].astype(c.cell_type), np.append(first, len(order)) * np.dtype(c.cell_type).itemsize)],
                         names=["unit", "home", "model", "method_id", "codes", "norm", "vector", "cells"],
                     )
 
@@ -392,10 +397,10 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
         norms = table.column("norm").to_numpy().astype(np.float32)
         asks, holds = (table.column(x).to_numpy(zero_copy_only=False) for x in ("asks", "holds"))
         data, lengths = _bytes(table.column("cells"))
-        cells, counts = data.copy().view(np.int32), lengths // 4
+        cells, counts = data.copy().view(c.cell_type), lengths // np.dtype(c.cell_type).itemsize
         starts = np.cumsum(counts) - counts
         held = np.repeat(holds, counts)
-        owner, of = np.repeat(np.arange(len(counts)), counts)[held], cells[held]
+        owner, of = np.repeat(np.arange(len(counts)), counts)[held], cells[held].astype(np.int64)
         by = np.argsort(of, kind="stable")
         bounds = np.flatnonzero(np.diff(of[by], prepend=-1, append=-1)) if len(of) else []
         listed = {int(of[by[a]]): owner[by[a:b]] for a, b in pairwise(bounds)}
