@@ -25,7 +25,7 @@ from .skew import hot_keys, left_join_unique
 
 MOST_ROUNDS = 200
 #: So many nodes are solved by one task instead of further rounds.
-CORE = 4096
+CORE = 16_384
 
 _SOLVED = "node string, root string, depth long, path array<string>, below long"
 
