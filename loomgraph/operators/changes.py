@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +65,22 @@ def upsert(base: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame
     return base.join(k, on, "left_anti").unionByName(changes.select(*base.columns))
 
 
+def replaced_groups(base: DataFrame, rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``base`` with all rows of the groups that ``rows`` has rows of replaced by these; nulls match nulls. So the chunks of a
+    document, or the call sites of a method, are replaced together, fewer than before or more."""
+    return upsert(base, rows, by)
+
+
+def without_groups(base: DataFrame, gone: DataFrame, by: str) -> DataFrame:
+    """``base`` without the rows whose ``by`` is among ``gone`` (a column of that name)."""
+    return base.join(gone.select(by).distinct(), by, "left_anti").select(*base.columns)
+
+
+def replaced_edges(edges: DataFrame, fresh: DataFrame, callers: DataFrame) -> DataFrame:
+    """Call edges with those of some callers (src) replaced."""
+    return without_groups(edges, callers, "src").unionByName(fresh.join(callers.select("src").distinct(), "src", "left_semi").select(*edges.columns))
+
+
 def without_files(df: DataFrame, paths: DataFrame) -> DataFrame:
     return df.join(paths.select("file_path").distinct(), "file_path", "left_anti").select(*df.columns)
 
@@ -120,6 +136,28 @@ def hash_gate(wanted: DataFrame, have: DataFrame, key: Sequence[str] = ("method_
     return wanted.join(have.select(*key, mark).distinct(), [*key, mark], "left_anti")
 
 
+def embedded(wanted: DataFrame, have: DataFrame, encode: Callable[[list[str]], Sequence[Sequence[float]]], batch: int = 256) -> DataFrame:
+    """(method_id, model, text_hash, embedding) of the rows of ``wanted`` (method_id, model, text_hash, payload) that aren't stored yet,
+    by an encoder that takes texts in batches; it runs on the executors and must be sent there whole."""
+    todo = hash_gate(wanted, have).select("method_id", "model", "text_hash", "payload")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                vectors = encode([t or "" for t in part.column(3).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float32()))], names=["method_id", "model", "text_hash", "embedding"])
+
+    return todo.mapInArrow(run, "method_id string, model string, text_hash string, embedding array<float>")
+
+
+def model_in_use(vectors: DataFrame) -> DataFrame:
+    """(model): the one with most vectors, ties by name."""
+    return vectors.groupBy("model").agg(F.count("*").alias("n")).filter("model is not null").orderBy(F.desc("n"), "model").limit(1).select("model")
+
+
 def table_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: a number that changes with the rows, whatever their order."""
     h = F.xxhash64(*columns)

@@ -147,6 +147,15 @@ def uncertain_summary(edges: DataFrame, most: int = 8) -> DataFrame:
     return first.withColumns({"total": F.lit(total or 0), "omitted": F.lit(max(0, kinds - max(1, most)))})
 
 
+def important_unresolved(calls: DataFrame, ranks: DataFrame, most: int = 10) -> DataFrame:
+    """The unresolved calls (caller_method_id, callee_name, receiver, receiver_type, candidates, line) most worth a look, by the
+    tier and rank of their callers, then name and line; those that say nothing are left out (a report's limit)."""
+    why = lookups.unimportant(F.col("callee_name"), F.col("receiver"), F.col("receiver_type"), F.size("candidates"))
+    c = calls.filter(F.coalesce(F.size("candidates"), F.lit(0)) != 1).filter(why.isNull())
+    j = c.join(ranks.select(F.col("id").alias("caller_method_id"), "tier", "rank"), "caller_method_id")
+    return j.orderBy(lookups.tier_priority(F.col("tier")), F.desc("rank"), "callee_name", "line", "caller_method_id").limit(most)
+
+
 def stopped_summary(stops: DataFrame) -> DataFrame:
     """(reason, n) of paths (id, reason) that ended."""
     return stops.groupBy(F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"))

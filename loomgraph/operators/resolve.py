@@ -148,18 +148,21 @@ def resolve(calls: DataFrame, methods: DataFrame, classes: DataFrame, inheritanc
     c = cut(c)
 
     pairs = c.select(F.col("type").alias("cls"), F.col("callee_name").alias("method_name")).filter("cls is not null").distinct()
-    exact = pairs.join(look.by_class, ["cls", "method_name"]).select("cls", "method_name", F.col("c").alias("exact"))
+    kinds: dict[str, DataFrame] = {"exact": pairs.join(look.by_class, ["cls", "method_name"])}
     up = ancestors(look.classes, inheritance)
-    inherited = pairs.join(up, "cls").join(look.by_class.select(F.col("cls").alias("ancestor"), "method_name", F.col("c").alias("found")), ["ancestor", "method_name"])
-    inherited = inherited.groupBy("cls", "method_name").agg(F.min_by("found", F.struct("distance", "rank", "ancestor")).alias("inherited"))
+    inherited = pairs.join(up, "cls").join(look.by_class.withColumnRenamed("cls", "ancestor"), ["ancestor", "method_name"])
+    kinds["inherited"] = inherited.groupBy("cls", "method_name").agg(F.min_by("c", F.struct("distance", "rank", "ancestor")).alias("c"))
     # receivers of unqualified types meet the names that implementers wrote, the others full names
     below = inheritance.unionByName(written).filter("relation = 'implements'").groupBy(F.col("target").alias("cls")).agg(F.count_distinct("source").alias("k"), F.min("source").alias("sole")).filter("k = 1")
-    sole = pairs.join(below, "cls").join(look.by_class.select(F.col("cls").alias("sole"), "method_name", F.col("c").alias("impl")), ["sole", "method_name"]).select("cls", "method_name", "impl")
-    short = pairs.withColumn("short", ids.short_name("cls")).join(look.by_short.withColumnRenamed("c", "by_short"), ["short", "method_name"]).select("cls", "method_name", "by_short")
+    kinds["impl"] = pairs.join(below, "cls").join(look.by_class.withColumnRenamed("cls", "sole"), ["sole", "method_name"])
     parts = F.split("cls", r"\.")
     nested = pairs.filter("cls like '%.%'").withColumns({"outer": F.try_element_at(parts, F.lit(-2)), "inner": F.try_element_at(parts, F.lit(-1))}).join(inner_classes(look.classes), ["outer", "inner"])
-    nested = nested.join(look.by_class.select(F.col("cls").alias("full_name"), "method_name", F.col("c").alias("nested")), ["full_name", "method_name"]).select("cls", "method_name", "nested")
-    facts = reduce(lambda a, b: a.join(b, ["cls", "method_name"], "left"), (exact, inherited, sole, nested, short), pairs)
+    kinds["nested"] = nested.join(look.by_class.withColumnRenamed("cls", "full_name"), ["full_name", "method_name"])
+    kinds["by_short"] = pairs.withColumn("short", ids.short_name("cls")).join(look.by_short, ["short", "method_name"])
+    # one row of each kind for a pair, brought together by one aggregation
+    none = pairs.select("cls", "method_name", F.lit("").alias("kind"), F.lit(None).cast(look.by_class.schema["c"].dataType).alias("c"))
+    rows = reduce(lambda a, b: a.unionByName(b), (df.select("cls", "method_name", F.lit(k).alias("kind"), "c") for k, df in kinds.items()), none)
+    facts = rows.groupBy("cls", "method_name").agg(*(F.first(F.when(F.col("kind") == k, F.col("c")), ignorenulls=True).alias(k) for k in kinds))
     known = look.classes.select(F.col("full_name").alias("cls"), F.lit(True).alias("known"))
     facts = facts.join(known, "cls", "left")
     # a name like get may stand in a tenth of all calls: such keys are spread

@@ -267,3 +267,14 @@ def majority_root(df: DataFrame, path: str) -> DataFrame:
     root = F.substring_index(F.regexp_replace(F.translate(path, "\\", "/"), r"^\./", ""), "/", 1)
     counts = df.groupBy(root.alias("root")).agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).filter("share > 0.5")
+
+
+def majority_ancestor(df: DataFrame, path: str) -> DataFrame:
+    """(root, n, share): the longest directory that more than half of the paths lie in; none where there is no such directory."""
+    parts = F.split(F.regexp_replace(F.translate(F.col(path), "\\", "/"), r"^(?:\./)+", ""), "/")
+    own = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1))), lambda i: F.array_join(F.slice(own, 1, i), "/"))
+    total = df.filter(F.col(path).isNotNull()).count()
+    counts = df.filter(F.col(path).isNotNull()).filter(F.size(own) > 0).select(F.explode(above).alias("root")).groupBy("root").agg(F.count("*").alias("n"))
+    most = counts.filter(2 * F.col("n") > total)  # nested directories only: at most one of each depth
+    return most.orderBy(F.desc(F.length("root"))).limit(1).select("root", "n", (F.col("n") / F.lit(max(1, total))).alias("share"))

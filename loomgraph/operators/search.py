@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
+from ..session import cut
 
 K1, B = 1.2, 0.75
 
@@ -51,37 +52,42 @@ def postings(docs: DataFrame, id_: str, columns: Sequence[str]) -> DataFrame:
     return rows.groupBy("id", "term", "length").agg(*(F.count_if(F.col("column") == c).alias(c) for c in columns))
 
 
-def bm25(docs: DataFrame, terms: Sequence[str], columns: Sequence[str], id_: str = "id", weights: Mapping[str, float] | None = None, only: str | None = None, every: bool = False) -> DataFrame:
-    """(id, score, terms): documents with any (or ``every``) of the prefix ``terms``, in ``only`` one column if given.
-
-    Frequencies of the few query terms are counted in the scan, of which only documents with a hit leave; corpus figures are
-    one row of sums."""
-    weights = weights or {}
+def counted(docs: DataFrame, terms: Sequence[str], columns: Sequence[str], id_: str = "id") -> DataFrame:
+    """(id, length, f_k_column): how often each of the prefix ``terms`` begins a token of each column. The texts are scanned once;
+    the few numbers of each document are stored, as corpus figures and scores both need them."""
     tokens = {c: _plain(c) for c in columns}
     size = reduce(lambda a, b: a + b, (F.regexp_count(t, F.lit(_TOKENS)) for t in tokens.values()))
-    counted = {}
-    for k, term in enumerate(terms):
-        for c in columns:
-            counted[f"f_{k}_{c}"] = _starting(tokens[c], term)
-    rows = docs.select(F.col(id_).alias("id"), size.alias("length"), *(v.alias(n) for n, v in counted.items()))
-    seen = {k: reduce(lambda a, b: a + b, (F.col(f"f_{k}_{c}") for c in ([only] if only else columns))) for k in range(len(terms))}
+    each = [_starting(tokens[c], term).alias(f"f_{k}_{c}") for k, term in enumerate(terms) for c in columns]
+    return cut(docs.select(F.col(id_).alias("id"), size.alias("length"), *each))
+
+
+def scored(rows: DataFrame, terms: Sequence[str], columns: Sequence[str], weights: Mapping[str, float] | None = None, only: str | None = None, every: bool = False) -> DataFrame:
+    """(id, score, terms) of what :func:`counted` gave: documents with any (or ``every``) of the terms, in ``only`` one column if
+    given."""
+    weights, used = weights or {}, [only] if only else list(columns)
+    if not terms:
+        return rows.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("terms")).limit(0)
+    seen = {k: reduce(lambda a, b: a + b, (F.col(f"f_{k}_{c}") for c in used)) for k in range(len(terms))}
     sums = rows.agg(F.count("*").alias("n"), F.avg("length").alias("average"), *(F.count_if(seen[k] > 0).alias(f"n_{k}") for k in seen)).first()
     n, average = sums["n"], sums["average"] or 1.0
     hit = [seen[k] > 0 for k in seen]
-    if not hit:
-        return rows.select("id", F.lit(0.0).alias("score"), F.lit(0).alias("terms")).limit(0)
     score: Column = F.lit(0.0)
     for k in seen:
         held = sums[f"n_{k}"]
         idf = math.log((n - held + 0.5) / (held + 0.5)) if n else 0.0
         idf = idf if idf > 0 else 1e-6
-        used = [only] if only else list(columns)
         f = reduce(lambda a, b: a + b, (F.lit(float(weights.get(c, 1.0))) * F.col(f"f_{k}_{c}") for c in used))
         score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.lit(float(average))))
     kept = rows.filter(reduce(lambda a, b: (a & b) if every else (a | b), hit))
     return kept.select("id", (-score).alias("score"), reduce(lambda a, b: a + b, (h.cast("int") for h in hit)).alias("terms"))
 
 
+def bm25(docs: DataFrame, terms: Sequence[str], columns: Sequence[str], id_: str = "id", weights: Mapping[str, float] | None = None, only: str | None = None, every: bool = False) -> DataFrame:
+    """(id, score, terms): documents with any (or ``every``) of the prefix ``terms``, in ``only`` one column if given; a scan of
+    the texts, where :mod:`index` keeps postings."""
+    return scored(counted(docs, terms, columns, id_), terms, columns, weights, only, every)
+
+
 METHOD_COLUMNS = ("method_name", "signature", "class_full_name", "source")
 
 
@@ -89,9 +95,9 @@ def two_phase(methods: DataFrame, query_terms: Sequence[str], context: Sequence[
     """(id, score, bucket): hits by name come first by an offset, then hits anywhere; hits in ``context`` classes are lifted.
 
     Phase one searches the name column with tenfold weight, phase two all columns; a method keeps its better score."""
-    weights = {"method_name": 10.0}
-    name = bm25(methods, query_terms, METHOD_COLUMNS, weights=weights, only="method_name").select("id", (F.col("score") - 1000.0).alias("score"), F.lit("name").alias("bucket"))
-    any_ = bm25(methods, query_terms, METHOD_COLUMNS).select("id", "score", F.lit("text").alias("bucket"))
+    rows = counted(methods, query_terms, METHOD_COLUMNS)
+    name = scored(rows, query_terms, METHOD_COLUMNS, {"method_name": 10.0}, only="method_name").select("id", (F.col("score") - 1000.0).alias("score"), F.lit("name").alias("bucket"))
+    any_ = scored(rows, query_terms, METHOD_COLUMNS).select("id", "score", F.lit("text").alias("bucket"))
     best = name.unionByName(any_).groupBy("id").agg(F.min(F.struct("score", "bucket")).alias("b")).select("id", "b.*")
     if context:
         inside = methods.filter(F.col("class_full_name").isin(list(context))).select("id").withColumn("lift", F.lit(500.0))

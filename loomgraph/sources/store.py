@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ids, rules
 from ..operators.changes import upsert
 
 SCHEMA_VERSION = "1"
@@ -29,6 +30,19 @@ def upsert_snapshot(spark: SparkSession, old: str, changes: DataFrame, key: Sequ
     return write_snapshot(upsert(spark.read.parquet(old), changes, key), root, name)
 
 
+def write_resolution(state: DataFrame, calls: DataFrame, root: str) -> tuple[str, str]:
+    """What the cascade found (callsite_id, status, candidates) as two tables below ``root``: call sites with their state, and an edge
+    for each candidate, each in the variant of the call's own file (calls: callsite_id, caller_method_id, file_path). Variants
+    that no call is of keep what they have."""
+    variant = rules.path_variant(F.coalesce("file_path", F.lit(""))).alias("variant")
+    rows = state.join(calls.select("callsite_id", "caller_method_id", variant), "callsite_id")
+    edges = rows.select("callsite_id", F.col("caller_method_id").alias("src"), F.explode("candidates").alias("dst"), "variant").withColumn("id", ids.digest("edge::", F.col("callsite_id"), "::", F.col("dst")))
+    sites = rows.select("callsite_id", "status", F.size("candidates").alias("candidate_count"), "candidates", "variant")
+    write_scope(edges, f"{root.rstrip('/')}/edges", ["variant"])
+    write_scope(sites, f"{root.rstrip('/')}/callsites", ["variant"])
+    return f"{root.rstrip('/')}/edges", f"{root.rstrip('/')}/callsites"
+
+
 def append_events(df: DataFrame, path: str) -> None:
     """Telemetry: append only, a day a folder."""
     df.withColumn("day", F.to_date(F.timestamp_millis("ts"))).write.mode("append").partitionBy("day").parquet(path)

@@ -179,3 +179,31 @@ def test_what_had_no_caller(spark):
     assert [r[0] for r in calls.select(rules.lambda_noise(F.col("c"), F.col("s"), F.col("r"))).collect()] == [True, True, True, False, False, False]
     r = spark.createDataFrame([('"a"', {"x": "T"}), ("x", {"x": "T"}), ("1.5f", None), ("0x1F", None), ("'c'", None), ("null", None), ("f(x)", {"x": "T"}), (None, None)], "a string, v map<string,string>")
     assert [x[0] for x in r.select(rules.argument_type(F.col("a"), F.col("v"))).collect()] == ["java.lang.String", "T", "double", "int", "char", "null", None, None]
+
+
+def test_sinks_and_encoders(spark, tmp_path):
+    from loomgraph.operators import rollups
+    from loomgraph.sources import store
+
+    state = spark.createDataFrame([("1", "resolved_exact", ["x", "y"]), ("2", "unresolved_method", []), ("3", "resolved_exact", ["x"])], "callsite_id string, status string, candidates array<string>")
+    calls = spark.createDataFrame([("1", "a", "src/main/A.java"), ("2", "b", "src/test/B.java"), ("3", "b", "src/test/B.java")], "callsite_id string, caller_method_id string, file_path string")
+    edges, sites = store.write_resolution(state, calls, str(tmp_path))
+    assert {(r["src"], r["dst"], r["variant"]) for r in spark.read.parquet(edges).collect()} == {("a", "x", "main"), ("a", "y", "main"), ("b", "x", "test")}
+    store.write_resolution(state.filter("callsite_id = '3'"), calls, str(tmp_path))
+    assert spark.read.parquet(sites).count() == 2
+    chunks = spark.createDataFrame([("d", 1, "x"), ("d", 2, "y"), ("e", 1, "z"), (None, 1, "n")], "path string, i int, text string")
+    out = changes.replaced_groups(chunks, spark.createDataFrame([("d", 1, "new"), (None, 5, "m")], "path string, i int, text string"), ["path"])
+    assert {tuple(r) for r in out.collect()} == {("d", 1, "new"), ("e", 1, "z"), (None, 5, "m")}
+    e = spark.createDataFrame([("a", "b"), ("c", "d")], "src string, dst string")
+    assert {tuple(r) for r in changes.replaced_edges(e, spark.createDataFrame([("a", "z"), ("c", "q")], "src string, dst string"), e.filter("src = 'a'").select("src")).collect()} == {("a", "z"), ("c", "d")}
+    wanted = spark.createDataFrame([("1", "m", "h1", "ab"), ("2", "m", "h2", None), ("3", "m", "h3", "abc")], "method_id string, model string, text_hash string, payload string")
+    have = spark.createDataFrame([("1", "m", "h1"), ("2", "m", "old")], "method_id string, model string, text_hash string")
+    got = changes.embedded(wanted, have, lambda texts: [[len(t), 1.0] for t in texts], batch=1)
+    assert {r["method_id"]: r["embedding"] for r in got.collect()} == {"2": [0.0, 1.0], "3": [3.0, 1.0]}
+    assert changes.model_in_use(have).first()["model"] == "m" and changes.model_in_use(have.limit(0)).count() == 0
+    paths = spark.createDataFrame([("./a/b/c.py",), ("a/b/d/e.py",), ("a\\\\x.py".replace("\\\\", "\\"),), ("z.py",), (None,)], "p string")
+    assert tuple(rollups.majority_ancestor(paths, "p").first())[:2] == ("a", 3)
+    assert rollups.majority_ancestor(paths.filter("p = 'z.py'"), "p").count() == 0
+    lost = spark.createDataFrame([("1", "a", "save", "svc", "p.S", [], 3), ("2", "a", "info", "log", "L", [], 4), ("3", "b", "load", "svc", "p.S", ["x", "y"], 5), ("4", "b", "ok", "svc", "p.S", ["x"], 6)], "callsite_id string, caller_method_id string, callee_name string, receiver string, receiver_type string, candidates array<string>, line int")
+    ranks = spark.createDataFrame([("a", "utility", 9.0), ("b", "primary", 1.0)], "id string, tier string, rank double")
+    assert [r["callsite_id"] for r in reports.important_unresolved(lost, ranks).collect()] == ["3", "1"]
