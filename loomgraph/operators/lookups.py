@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from .traversal import both_ways, deep_closure, levels
+from .traversal import both_ways, closure, levels
 
 
 def _keyed(methods: DataFrame) -> DataFrame:
@@ -78,14 +78,14 @@ def implementations(classes: DataFrame, inheritance: DataFrame, transitive: bool
     """(type, implementer, distance): by short name, as clauses are written, the classes that extend or implement each type.
 
     Short names meet short names, so types of equal short names share their implementers. ``transitive`` follows them
-    down by doubling, so that long hierarchies and cycles take few rounds."""
+    down hop by hop: short names lead into each other densely, where joining all with all would cost far more."""
     names = classes.select("full_name").filter("full_name is not null").distinct().withColumn("short", ids.short_name("full_name"))
     direct = inheritance.filter(F.col("relation").isin("implements", "extends")).select(ids.short_name("target").alias("type"), F.col("source").alias("implementer")).distinct()
     direct = direct.join(names.select(F.col("full_name").alias("implementer")), "implementer", "left_semi")
     if not transitive:
         return direct.select("type", "implementer", F.lit(1).alias("distance"))
     short = direct.select(F.col("type").alias("src"), ids.short_name("implementer").alias("dst")).distinct()
-    reach = deep_closure(short).unionByName(short.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth")).distinct())
+    reach = closure(short).unionByName(short.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth")).distinct())
     down = reach.join(direct.select(F.col("type").alias("dst"), "implementer"), "dst")
     return down.groupBy(F.col("src").alias("type"), "implementer").agg((F.min("depth") + 1).alias("distance"))
 
