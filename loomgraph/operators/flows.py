@@ -15,12 +15,12 @@ _PYTHON = r'^\s*File "([^"]+)", line (\d+), in (\S+)'
 
 
 def stack_frames(traces: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """(id, position, class, method, file, line): frames of stack traces, in order."""
+    """(id, position, class, method, file, line): frames of stack traces, in order; a line number that no int holds is null."""
     lines = traces.select(F.col(id_).alias("id"), F.posexplode(F.split(text, r"\r\n|\n|\r")).alias("position", "l"))
     java, python = F.col("l").rlike(_JAVA), F.col("l").rlike(_PYTHON)
     got = lines.filter(java | python)
     part = lambda p, g: F.regexp_extract("l", p, g)
-    return got.select("id", "position", F.when(java, part(_JAVA, 1)).alias("class"), F.when(java, part(_JAVA, 2)).otherwise(part(_PYTHON, 3)).alias("method"), F.when(java, part(_JAVA, 3)).otherwise(F.substring_index(part(_PYTHON, 1), "/", -1)).alias("file"), F.when(java, part(_JAVA, 4)).otherwise(part(_PYTHON, 2)).cast("int").alias("line"))
+    return got.select("id", "position", F.when(java, part(_JAVA, 1)).alias("class"), F.when(java, part(_JAVA, 2)).otherwise(part(_PYTHON, 3)).alias("method"), F.when(java, part(_JAVA, 3)).otherwise(F.substring_index(part(_PYTHON, 1), "/", -1)).alias("file"), F.when(java, part(_JAVA, 4)).otherwise(part(_PYTHON, 2)).try_cast("int").alias("line"))
 
 
 def matched_frames(frames: DataFrame, methods: DataFrame) -> DataFrame:
