@@ -5,12 +5,15 @@ Questions come as DataFrames, so that one pass over the graph answers all of the
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..session import cut
+from . import walks
 from .traversal import both_ways, closure, levels
 
 
@@ -78,18 +81,52 @@ def implementations(classes: DataFrame, inheritance: DataFrame, transitive: bool
     """(type, implementer, distance): by short name, as clauses are written, the classes that extend or implement each type.
 
     Short names meet short names, so types of equal short names share their implementers. ``transitive`` follows them
-    down hop by hop: short names lead into each other densely, where joining all with all would cost far more."""
+    down. Short names lead into each other densely, so the result is the square of the graph: each task has the graph at
+    hand and writes the rows of its types without storing any; a graph too large for that is walked hop by hop."""
     names = classes.select("full_name").filter("full_name is not null").distinct().withColumn("short", ids.short_name("full_name"))
     direct = inheritance.filter(F.col("relation").isin("implements", "extends")).select(ids.short_name("target").alias("type"), F.col("source").alias("implementer")).distinct()
     direct = direct.join(names.select(F.col("full_name").alias("implementer")), "implementer", "left_semi")
     if not transitive:
         return direct.select("type", "implementer", F.lit(1).alias("distance"))
+    direct = cut(direct.filter("type is not null"))
+    if direct.count() <= walks.AT_HAND:
+        return _implementations_at_hand(direct)
     short = direct.select(F.col("type").alias("src"), ids.short_name("implementer").alias("dst")).distinct()
     reach = closure(short).unionByName(short.select("src", F.col("src").alias("dst"), F.lit(0).alias("depth")).distinct())
     down = reach.join(direct.select(F.col("type").alias("dst"), "implementer"), "dst")
     return down.groupBy(F.col("src").alias("type"), "implementer").agg((F.min("depth") + 1).alias("distance"))
 
 
+def _implementations_at_hand(direct: DataFrame) -> DataFrame:
+    """All (type, implementer, distance) that follow from ``direct`` (type, implementer); no type meets another in a join."""
+    import pyarrow as pa
+
+    spark = direct.sparkSession
+    rows = direct.select("type", "implementer", ids.short_name("implementer").alias("short")).toArrow()
+    types, shorts = rows.column("type").to_pylist(), rows.column("short").to_pylist()
+    names, (of, below) = walks.coded(types, shorts)
+    implementers, (who,) = walks.coded(rows.column("implementer").to_pylist())
+    by = np.argsort(who, kind="stable")  # each implementer's clauses stand together
+    sources = np.unique(of)
+    shared = spark.sparkContext.broadcast((walks.Graph(len(names), of, below), of[by], np.flatnonzero(np.diff(who[by], prepend=-1)), sources, pa.array(names, pa.string()), pa.array(implementers, pa.string())))
+
+    def run(batches: Iterator) -> Iterator:
+        graph, clause, first, sources, names, implementers = shared.value
+        for batch in batches:
+            wanted = sources[batch.column(0).to_numpy()]
+            for i in range(0, len(wanted), graph.together):
+                part = wanted[i : i + graph.together]
+                for source, reached in zip(part, graph.distances([np.array([s]) for s in part]), strict=True):
+                    least = np.minimum.reduceat(reached[clause], first)
+                    found = np.flatnonzero(least < walks.FAR)
+                    for j in range(0, len(found), 65_536):
+                        some = found[j : j + 65_536]
+                        yield pa.RecordBatch.from_arrays([pa.repeat(names[int(source)], len(some)), implementers.take(pa.array(some)), pa.array(least[some] + 1, pa.int32())], names=["type", "implementer", "distance"])
+
+    n = len(sources)
+    return spark.range(0, n, 1, max(1, -(-n // walks.TOGETHER))).mapInArrow(run, "type string, implementer string, distance int")
+
+
 def declared_types(classes: DataFrame) -> DataFrame:
     """(short, full_name): of the classes of a short name an interface first, then an abstract class, then by full name."""
     rank = F.when(F.array_contains("stereotypes", "interface"), 0).when(F.array_contains("stereotypes", "abstract"), 1).otherwise(2)
