@@ -7,15 +7,17 @@ per key, so a join never multiplies rows; lists are capped nowhere.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, rules
 from ..session import cut
+from . import walks
 from .lookups import implementer_methods
 from .skew import hot_keys, left_join_unique
 from .synthesis import inner_classes
@@ -391,21 +393,85 @@ def by_impl_suffix(calls: DataFrame, state: DataFrame, methods: DataFrame, class
 def embedded_cascade(calls: DataFrame, methods: DataFrame, classes: DataFrame, embeds: DataFrame) -> DataFrame:
     """The cascade for languages with embedding: a bare call goes to the functions of its package's module classes, a call on
     a type of short name to the classes of that name, or else to what they embed (embeds: source full name, target short
-    name), nearest first. Calls need callsite_id, package_name, callee_name, receiver, receiver_type (short)."""
+    name), nearest first. Calls need callsite_id, package_name, callee_name, receiver, receiver_type (short). What classes
+    reach isn't stored: each task has the graph at hand and gives the nearest classes only, unless the graph is too large."""
     m = methods.select("id", F.col("class_full_name").alias("cls"), F.col("method_name").alias("callee_name"))
     names = classes.select(F.col("full_name").alias("cls"), F.col("name").alias("short"), "package_name", F.coalesce(F.array_contains("stereotypes", "module"), F.lit(False)).alias("module")).distinct()
     bare = calls.filter("receiver is null").join(names.filter("module").select("package_name", "cls"), "package_name").join(m, ["cls", "callee_name"]).select("callsite_id", "id")
-    inner = embeds.select(F.col("source").alias("src"), ids.short_name("target").alias("short")).join(names.select("short", F.col("cls").alias("dst")), "short").select("src", "dst").distinct()
-    reach = deep_closure(inner).select(F.col("src").alias("owner"), F.col("dst").alias("cls"), F.col("depth"))
-    reach = names.select(F.col("cls").alias("owner"), "cls", F.lit(0).alias("depth")).unionByName(reach.filter("owner <> cls")).distinct()
     typed = calls.filter("receiver is not null and receiver_type is not null").withColumn("short", ids.short_name("receiver_type"))
-    on = typed.select("short", "callee_name").distinct().join(names.select("short", F.col("cls").alias("owner")).distinct(), "short").join(reach, "owner").join(m, ["cls", "callee_name"])
-    near = on.groupBy("short", "callee_name", "owner", "depth").agg(F.collect_set("id").alias("ids"))
-    near = near.groupBy("short", "callee_name", "owner").agg(F.min_by("ids", "depth").alias("ids")).groupBy("short", "callee_name").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    asked = typed.select("short", "callee_name").distinct()
+    owned = names.select("short", "cls").filter("short is not null and cls is not null").distinct()
+    into = embeds.select(F.col("source").alias("cls"), ids.short_name("target").alias("short")).filter("cls is not null and short is not null").distinct()
+    declared = m.select("callee_name", "cls").distinct().join(owned.select("cls").distinct(), "cls", "left_semi").join(asked.select("callee_name").distinct(), "callee_name", "left_semi")
+    owned, into, declared = cut(owned), cut(into), cut(declared)
+    if max(df.count() for df in (owned, into, declared)) <= walks.AT_HAND:
+        near = _nearest_at_hand(asked, owned, into, declared).join(m, ["cls", "callee_name"]).groupBy("short", "callee_name").agg(F.collect_set("id").alias("ids"))
+    else:
+        inner = into.join(owned.withColumnRenamed("cls", "dst"), "short").select(F.col("cls").alias("src"), "dst").distinct()
+        reach = deep_closure(inner).select(F.col("src").alias("owner"), F.col("dst").alias("cls"), F.col("depth"))
+        reach = owned.select(F.col("cls").alias("owner"), "cls", F.lit(0).alias("depth")).unionByName(reach.filter("owner <> cls")).distinct()
+        on = asked.join(owned.select("short", F.col("cls").alias("owner")), "short").join(reach, "owner").join(m, ["cls", "callee_name"])
+        near = on.groupBy("short", "callee_name", "owner", "depth").agg(F.collect_set("id").alias("ids"))
+        near = near.groupBy("short", "callee_name", "owner").agg(F.min_by("ids", "depth").alias("ids")).groupBy("short", "callee_name").agg(F.flatten(F.collect_list("ids")).alias("ids"))
     found = typed.join(near, ["short", "callee_name"]).select("callsite_id", F.explode("ids").alias("id"))
     return _counted(calls, bare.unionByName(found))
 
 
+def _nearest_at_hand(asked: DataFrame, owned: DataFrame, into: DataFrame, declared: DataFrame) -> DataFrame:
+    """(short, callee_name, cls): for each of ``asked`` (short, callee_name) the classes that declare the name nearest to a class
+    of that short name, itself first (owned: classes with their short names; into: the short names that they embed)."""
+    import pyarrow as pa
+
+    spark = asked.sparkSession
+    tables = [df.toArrow() for df in (owned.select("cls", "short"), into.select("cls", "short"), declared.select("cls", "callee_name"))]
+    columns = [[t.column(i).to_pylist() for i in (0, 1)] for t in tables]
+    classes, (own, source, declarer) = walks.coded(*(c[0] for c in columns))
+    shorts, (short_of, target) = walks.coded(columns[0][1], columns[1][1])
+    callees, (callee,) = walks.coded(columns[2][1])
+    # a class leads to all of what it embeds, so a short name leads to what any of its classes embeds
+    sort = lambda by, values: (values[np.argsort(by, kind="stable")], np.searchsorted(np.sort(by), np.arange(len(classes) + 1)))
+    targets, target_at = sort(source, target)
+    codes = np.argsort(own, kind="stable")
+    named, first = own[codes], np.flatnonzero(np.diff(own[codes], prepend=-1))
+    counts = np.diff(target_at)[own]
+    ends = targets[np.repeat(target_at[own], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
+    edges = np.unique(np.repeat(short_of, counts) * max(1, len(shorts)) + ends)
+    graph = walks.Graph(len(shorts), edges // max(1, len(shorts)), edges % max(1, len(shorts)))
+    by_callee = np.argsort(callee, kind="stable")
+    declaring, declaring_at = declarer[by_callee], np.searchsorted(callee[by_callee], np.arange(len(callees) + 1))
+    shared = spark.sparkContext.broadcast((graph, targets, target_at, short_of[codes], named[first], first, {c: i for i, c in enumerate(callees)}, declaring, declaring_at, pa.array(classes, pa.string()), {c: i for i, c in enumerate(classes)}))
+
+    def run(batches: Iterator) -> Iterator:
+        graph, targets, target_at, short_of, named, first, callees, declaring, declaring_at, classes, places = shared.value
+        far = np.full(len(classes), walks.FAR, np.int32)
+        for batch in batches:
+            wanted = []  # of each row: its names, the classes that declare them, where each name's begin, which are nearest
+            for names in batch.column(1).to_pylist():
+                known = [c for c in names if c in callees]
+                each = [declaring[declaring_at[callees[c]] : declaring_at[callees[c] + 1]] for c in known]
+                sizes = np.fromiter(map(len, each), np.int64, len(each))
+                there = np.concatenate([*each, np.zeros(0, np.int64)]).astype(np.int64)
+                wanted.append((known, there, np.cumsum(sizes) - sizes, sizes, np.zeros(len(there), bool)))
+            owners = [(row, places[o]) for row, os in enumerate(batch.column(2).to_pylist()) if wanted[row][0] for o in os]
+            for i in range(0, len(owners), graph.together):
+                part = owners[i : i + graph.together]
+                for (row, owner), reached in zip(part, graph.distances([targets[target_at[o] : target_at[o + 1]] for _, o in part]), strict=True):
+                    far[named] = np.minimum.reduceat(reached[short_of], first)
+                    far[owner] = -1
+                    _, there, at, sizes, near = wanted[row]
+                    distance = far[there]
+                    least = np.repeat(np.minimum.reduceat(distance, at), sizes)
+                    near |= (distance == least) & (distance < walks.FAR)
+            for row, (known, there, _, sizes, near) in enumerate(wanted):
+                if near.any():
+                    of = np.repeat(np.arange(len(known)), sizes)[near]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[row], len(of)), pa.array(known, pa.string()).take(pa.array(of)), classes.take(pa.array(there[near]))], names=["short", "callee_name", "cls"])
+
+    rows = asked.filter("callee_name is not null").groupBy("short").agg(F.collect_set("callee_name").alias("names")).join(owned.groupBy("short").agg(F.collect_set("cls").alias("owners")), "short")
+    rows = rows.select("short", "names", "owners").repartition(max(4 * spark.sparkContext.defaultParallelism, len(shorts) // 256))
+    return rows.mapInArrow(run, "short string, callee_name string, cls string")
+
+
 def owner_cascade(calls: DataFrame, methods: DataFrame, classes: DataFrame) -> DataFrame:
     """The cascade for languages with types at hand: a call on a type goes to the classes of its short name, a bare call to
     its own class. Calls need callsite_id, caller_class, callee_name, receiver, receiver_type."""

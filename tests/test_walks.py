@@ -7,7 +7,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from loomgraph.operators import lookups, walks
+from loomgraph.operators import lookups, resolve, walks
 from loomgraph.session import ensure_checkpoint_dir
 
 N = 400
@@ -62,3 +62,29 @@ def test_implementations_of_a_graph_too_large_for_a_task(spark, dense, monkeypat
     monkeypatch.setattr(walks, "AT_HAND", 10)
     assert rows() == at_hand
     assert lookups.implementations(dense[0].limit(0), dense[1].limit(0), transitive=True).count() == 0
+
+
+def test_embedded_calls_on_a_dense_graph(spark, dense, monkeypatch):
+    rng = random.Random(2)
+    names = [(f"{p}.C{i}", f"C{i}", p, []) for i in range(N) for p in (("p", "q") if i % 5 == 0 else ("p",))]
+    classes = spark.createDataFrame(names, "full_name string, name string, package_name string, stereotypes array<string>")
+    methods = [(f"m{k}", f"p.C{rng.randrange(N)}", f"run{k % 20}") for k in range(60)]
+    calls = [(str(k), "p", f"run{rng.randrange(22)}", "x", f"C{rng.randrange(N + 3)}") for k in range(300)]
+    c = spark.createDataFrame(calls, "callsite_id string, package_name string, callee_name string, receiver string, receiver_type string")
+    m = spark.createDataFrame(methods, "id string, class_full_name string, method_name string")
+    run = lambda: {r["callsite_id"]: r["candidates"] for r in resolve.embedded_cascade(c, m, classes, dense[1].select("source", "target")).collect()}
+    before = stored(spark)
+    got = run()
+    assert stored(spark) - before < 200_000
+    edges = {}
+    for s, t, _ in DENSE:
+        edges.setdefault(s, []).extend(n[0] for n in names if n[1] == t)
+    for id_, _, callee, _, type_ in calls:
+        want = set()
+        for owner in (n[0] for n in names if n[1] == type_):
+            far = plain(edges, owner)
+            at = [(far[cls], i) for i, cls, name in methods if name == callee and cls in far]
+            want |= {i for d, i in at if d == min(at)[0]}
+        assert got[id_] == sorted(want)
+    monkeypatch.setattr(walks, "AT_HAND", -1)
+    assert run() == got
