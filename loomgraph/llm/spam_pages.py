@@ -7,8 +7,11 @@ tables, configuration), link list, tag list or menu; the labels are the most lik
 between sentences stays prose while the same words in a run of short lines are a menu. A page is a case if the lines of
 the last three labels hold at least ``SHARE`` of its words.
 
-No feature knows a language: no word list takes part. Emissions and the probability to stay are learned by Baum-Welch from ``SAMPLE`` pages at most (those of least id hash, ``WINDOW`` units of each), beginning with ``PRIOR``,
-which gives the labels their meaning and goes on to count as ``PRIOR_UNITS`` observed units of each label.
+No feature knows a language: no word list takes part. Emissions and the probability to stay are learned by Baum-Welch from
+all units of all pages, beginning with ``PRIOR``, which gives the labels their meaning and goes on to count as ``PRIOR_UNITS``
+observed units of each label for ``PAGES`` pages: the evidence of more pages is weighed down to that of so many, and that of
+a page of more units to that of ``PAGE_UNITS``, so that neither a large table nor a long page drowns the prior. The units are
+taken from the texts once and stored; each round sums up what it expects over them.
 
 Defined results: null, empty, blank and very short texts (fewer than ``LEAST_WORDS`` words) are no cases and have no
 labelled words; texts of any length are read whole; repeated rows are judged alike; a table without usable pages keeps
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -28,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 SHARE, LEAST_WORDS = 0.55, 15
 #: Lines shorter than this are code or not as a whole; of longer ones each sentence is.
 SHORT_LINE = 120
@@ -35,8 +40,10 @@ SHORT_LINE = 120
 WRAPPED = 50
 #: A pair of words is hot with so large a share of the page's pairs, a word with so large a share of its words.
 HOT_PAIR, HOT_WORD = 0.05, 0.15
-#: Pages and units of each from which the model is learned, the rounds, and the weight of the prior.
-SAMPLE, WINDOW, ROUNDS, PRIOR_UNITS = 2048, 64, 4, 4000
+#: What pages, and the units of one, weigh at most when the model is learned; the rounds, and the weight of the prior.
+PAGES, PAGE_UNITS, ROUNDS, PRIOR_UNITS = 2048, 64, 4, 4000
+#: Units that are summed up at once, and how fine sums are kept: as integers, they don't depend on their order.
+UNITS_AT_ONCE, FINE = 1 << 17, 1 << 20
 
 STATES = ("prose", "structure", "links", "tags", "menu")
 #: P(value | label) of each feature at the start, labels in the order of STATES.
@@ -96,45 +103,71 @@ def _model(tables: list[np.ndarray], start: np.ndarray, stay: float) -> Model:
 PRIOR_MODEL = _model([np.array(t) for t in PRIOR.values()], np.array(START), STAY)
 
 
-def fit(sequences: list[list[int]]) -> Model:
-    """Baum-Welch over sequences of feature combinations, all at once; PRIOR is the beginning and the Dirichlet prior."""
-    priors = [np.array(t) for t in PRIOR.values()]
-    tables, start, stay = priors, np.array(START), STAY
-    seen = [s[:WINDOW] for s in sequences if s]
-    if not seen:
-        return PRIOR_MODEL
-    n, width, k = len(seen), max(map(len, seen)), len(STATES)
-    symbols, there = np.zeros((n, width), np.int64), np.zeros((n, width), bool)
-    for i, s in enumerate(seen):
-        symbols[i, : len(s)], there[i, : len(s)] = s, True
-    values = np.unravel_index(symbols, SIZES)
-    for _ in range(ROUNDS):
-        m = _model(tables, start, stay)
-        emit = np.exp(np.array(m.emission))[symbols]  # n, width, k
-        moves = np.full((k, k), np.exp(m.move)) + np.eye(k) * (np.exp(m.stay) - np.exp(m.move))
-        forward, back = np.zeros((n, width, k)), np.ones((n, width, k))
-        forward[:, 0] = emit[:, 0] * start
-        forward[:, 0] /= forward[:, 0].sum(1, keepdims=True)
-        for t in range(1, width):
-            step = (forward[:, t - 1] @ moves) * emit[:, t]
-            step /= step.sum(1, keepdims=True)
-            forward[:, t] = np.where(there[:, t, None], step, forward[:, t - 1])
+def expected(sequences: list[np.ndarray], m: Model) -> np.ndarray:
+    """(combinations + 1, labels): how often each combination of features is expected under each label; in the last row how
+    often a label is expected to stay, all moves, and the pages. Of ``sequences`` none is empty."""
+    e, start = np.exp(np.array(m.emission)), np.exp(np.array(m.start))
+    stay, move = np.exp(m.stay), np.exp(m.move)
+    out = np.zeros((len(e) + 1, len(STATES)))
+    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+    while order:
+        width = len(sequences[order[0]])
+        n = max(1, UNITS_AT_ONCE // width)
+        part, order = [sequences[i] for i in order[:n]], order[n:]
+        lengths = np.array([len(s) for s in part])  # falling, so that at each step the first pages go on
+        n, on = len(part), (lengths[None, :] > np.arange(width)[:, None]).sum(1)
+        there = np.arange(width)[:, None] < lengths[None, :]
+        symbols = np.zeros((width, n), np.int64)
+        symbols.T[there.T] = np.concatenate(part)
+        emit = e[symbols]
+        forward, back = np.zeros((width, n, len(STATES))), np.ones((width, n, len(STATES)))
+        forward[0] = emit[0] * start
+        forward[0] /= forward[0].sum(1, keepdims=True)
+        for t in range(1, width):  # a label is reached from itself or, equally, from the others
+            step = (move + (stay - move) * forward[t - 1, : on[t]]) * emit[t, : on[t]]
+            forward[t, : on[t]] = step / step.sum(1, keepdims=True)
         for t in range(width - 2, -1, -1):
-            step = (back[:, t + 1] * emit[:, t + 1]) @ moves.T
-            step /= step.sum(1, keepdims=True)
-            back[:, t] = np.where(there[:, t + 1, None], step, 1.0)
+            ahead = back[t + 1, : on[t + 1]] * emit[t + 1, : on[t + 1]]
+            step = move * ahead.sum(1, keepdims=True) + (stay - move) * ahead
+            back[t, : on[t + 1]] = step / step.sum(1, keepdims=True)
+        weight = np.minimum(1, PAGE_UNITS / lengths)
         share = forward * back
-        share *= (there / share.sum(2))[:, :, None]
+        share *= (weight[None, :] * there / np.where(there, share.sum(2), 1))[:, :, None]
+        flat, there_flat = symbols.ravel(), there.ravel()
+        for k in range(len(STATES)):
+            out[:-1, k] += np.bincount(flat[there_flat], share[:, :, k].ravel()[there_flat], minlength=len(e))
+        ahead, before = back[1:] * emit[1:], forward[:-1]
+        both = ((move + (stay - move) * before) * ahead).sum(2)
+        stayed = stay * (before * ahead).sum(2) / np.where(there[1:], both, 1)
+        out[-1, 0] += (stayed * there[1:] * weight).sum()
+        out[-1, 1] += ((lengths - 1) * weight).sum()
+        out[-1, 2] += n
+    return out
+
+
+def _fitted(sums: Callable[[Model], np.ndarray]) -> Model:
+    """Baum-Welch, with a function that sums up :func:`expected` of a model; PRIOR is the beginning and the Dirichlet prior."""
+    priors = [np.array(t) for t in PRIOR.values()]
+    model = PRIOR_MODEL
+    for _ in range(ROUNDS):
+        got = sums(model)
+        stayed, moved, pages = got[-1, :3]
+        if not pages:
+            return PRIOR_MODEL
+        scale = min(1.0, PAGES / pages)
+        by = got[:-1].reshape(*SIZES, len(STATES)) * scale
         tables = []
-        for prior, value in zip(priors, values, strict=True):
-            counts = np.stack([(share * (value == v)[:, :, None]).sum((0, 1)) for v in range(prior.shape[1])], axis=1)
-            counts += PRIOR_UNITS * prior
+        for i, prior in enumerate(priors):
+            counts = by.sum(tuple(j for j in range(len(SIZES)) if j != i)).T + PRIOR_UNITS * prior
             tables.append(counts / counts.sum(1, keepdims=True))
-        both = forward[:, :-1, :, None] * moves * (back[:, 1:] * emit[:, 1:])[:, :, None, :]
-        both *= (there[:, 1:] / both.sum((2, 3)))[:, :, None, None]
-        stayed, moved = float(np.trace(both.sum((0, 1)))), float(both.sum())
-        stay = (stayed + PRIOR_UNITS * STAY) / (moved + PRIOR_UNITS)
-    return _model(tables, start, stay)
+        model = _model(tables, np.array(START), (stayed * scale + PRIOR_UNITS * STAY) / (moved * scale + PRIOR_UNITS))
+    return model
+
+
+def fit(sequences: list[list[int]]) -> Model:
+    """The model of sequences of feature combinations."""
+    seen = [np.array(s, np.int64) for s in sequences if s]
+    return _fitted(lambda m: expected(seen, m))
 
 
 def _weight(words: list[str]) -> int:
@@ -285,34 +318,64 @@ def label(text: str | None, m: Model = PRIOR_MODEL) -> list[int]:
     return out
 
 
-def learned(df: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """The model of a table's pages, from the units of at most SAMPLE of them."""
-    usable = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") > 0)
-    few = usable.orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE)
+def units_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, and of each page the feature combinations and words of its units as bytes."""
+    read = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([symbols(t)[0][:WINDOW] for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["units"])
+            pages = [symbols(t) if t else ((), ()) for t in batch.column(1).to_pylist()]
+            parts = [pa.array([np.array(p[i], kind).tobytes() for p in pages], pa.binary()) for i, kind in enumerate((np.uint16, np.uint32))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *parts], names=[key, "_units", "_sizes"])
+
+    return read.mapInArrow(run, T.StructType([T.StructField(key, read.schema[0].dataType), T.StructField("_units", T.BinaryType()), T.StructField("_sizes", T.BinaryType())]))
+
 
-    return fit(few.select("_text").mapInArrow(run, "units array<int>").toArrow().column(0).to_pylist())
+def learned(units: DataFrame) -> Model:
+    """The model of all pages of :func:`units_of`: a pass over their units a round."""
+    kept = units.select("_units").filter(F.length("_units") > 0)
+    names = [f"_{s}" for s in STATES]
+
+    def sums(m: Model) -> np.ndarray:
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            total = np.zeros((len(m.emission) + 1, len(STATES)))
+            for batch in batches:
+                total += expected([np.frombuffer(b, np.uint16).astype(np.int64) for b in batch.column(0).to_pylist()], m)
+            seen = np.flatnonzero(total.any(1))
+            fine = np.rint(total[seen] * FINE).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), *(pa.array(fine[:, k]) for k in range(len(STATES)))], names=["_row", *names])
+
+        rows = kept.mapInArrow(run, T.StructType([T.StructField(c, T.LongType()) for c in ("_row", *names)]))
+        got = rows.groupBy("_row").agg(*(F.sum(c).alias(c) for c in names)).collect()  # a row for each combination of features at most
+        out = np.zeros((len(m.emission) + 1, len(STATES)))
+        for r in got:
+            out[r["_row"]] = np.array([r[c] for c in names]) / FINE
+        return out
+
+    return _fitted(sums)
 
 
 def labelled_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, the words of each label, their total, ``share`` (of link lists, tag lists and menus) and ``spam``; a narrow
     step behind the fitting of the model."""
-    m = learned(df, key, text)
-    read = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    units = cut(units_of(df, key, text))
+    m = learned(units)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            counts = [label(t, m) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([c[s] for c in counts], pa.int64()) for s in range(len(STATES)))], names=[key, *STATES])
+            counts = np.zeros((batch.num_rows, len(STATES)), np.int64)
+            for i, (observed, sizes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for state, n in zip(viterbi(np.frombuffer(observed, np.uint16).tolist(), m), np.frombuffer(sizes, np.uint32).tolist(), strict=True):
+                    counts[i, state] += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[:, s]) for s in range(len(STATES)))], names=[key, *STATES])
 
-    out = read.mapInArrow(run, T.StructType([T.StructField(key, read.schema[0].dataType), *(T.StructField(s, T.LongType(), False) for s in STATES)]))
+    out = units.mapInArrow(run, T.StructType([T.StructField(key, units.schema[0].dataType), *(T.StructField(s, T.LongType(), False) for s in STATES)]))
     words = sum((F.col(s) for s in STATES[1:]), F.col(STATES[0]))
     share = F.when(F.col("words") > 0, (F.col("links") + F.col("tags") + F.col("menu")) / F.col("words")).otherwise(0.0)
     return out.withColumn("words", words).withColumn("share", share).withColumn("spam", (F.col("words") >= LEAST_WORDS) & (F.col("share") >= SHARE))

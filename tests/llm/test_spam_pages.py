@@ -150,3 +150,33 @@ def test_table(spark):
     assert sorted(r["doc_id"] for r in got if r["spam"]) == [1, 1, 5]
     assert len(got) == 6
     assert sp.labelled_pages(df.limit(0)).count() == 0
+
+
+def test_expected_counts_against_brute_force():
+    rng = random.Random(7)
+    m, combinations = sp.PRIOR_MODEL, len(sp.PRIOR_MODEL.emission)
+    pages = [[rng.randrange(combinations) for _ in range(n)] for n in (4, 1, 3, 4, 2)]
+    want = np.zeros((combinations + 1, 5))
+    for page in pages:
+        score = {}
+        for path in itertools.product(range(5), repeat=len(page)):
+            s = m.start[path[0]] + sum(m.emission[o][k] for o, k in zip(page, path, strict=True))
+            score[path] = math.exp(s + sum(m.stay if a == b else m.move for a, b in itertools.pairwise(path)))
+        for path, p in score.items():
+            p /= sum(score.values())
+            for o, k in zip(page, path, strict=True):
+                want[o, k] += p
+            want[-1, 0] += p * sum(a == b for a, b in itertools.pairwise(path))
+        want[-1, 1] += len(page) - 1
+    want[-1, 2] = len(pages)
+    assert np.allclose(sp.expected([np.array(p) for p in pages], m), want)
+
+
+def test_all_pages_and_all_units_are_learned_from(spark, monkeypatch):
+    a, b, c = 3, 200, 500
+    assert sp.fit([[a] * 64 + [b] * 64]) != sp.fit([[a] * 64 + [c] * 64])
+    monkeypatch.setattr(sp, "PAGES", 5)
+    texts = [x for _ in range(4) for x in (*CASES.values(), *NOT.values())]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got, want = sp.learned(sp.units_of(df, "doc_id", "text")), sp.fit([sp.symbols(x)[0] for x in texts])
+    assert np.allclose(got.emission, want.emission, atol=1e-5) and math.isclose(got.stay, want.stay, abs_tol=1e-5)
