@@ -15,6 +15,13 @@ region in which it is listed, as 16-bit fixed-point numbers (cosines differ by a
 task without joins. Regions that, going by the sample, hold more than the bounds are split by query and by stored
 vector, and the parts' best are merged.
 
+Where only neighbours of at least some cosine are asked for, the cells are those that such pairs need: a pair counts for both of
+its vectors, whichever is listed in the other's cell, and of the sample's nearest pairs, turned towards each other to just that
+cosine where they are farther apart, ``SURE`` have a vector that lies within ``reach`` of the other's cell. The cells listed don't
+grow with the vectors, as those for the nearest pairs of vectors without structure do. A stored vector is then
+scored exactly wherever its score by table, with the angle between it and its reconstruction, leaves the cosine possible, so
+that quantisation loses nothing.
+
 Groups of more than ``COPIES`` equal vectors are indexed by their first members; the others' nearest are these, exactly.
 
 Codebooks are fitted, each model by one task, on a sample of ``SAMPLE`` vectors of each model, or of ``PER_CENTRE`` for each
@@ -37,23 +44,28 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 K = 5
-LEAST_PROBES, COVERED = 8, 0.95
+LEAST_PROBES, COVERED, SURE, SUREST = 8, 0.95, 0.99, 0.999
 RERANKED, BEAM = 160, 3
 BOOKS, WORDS = 12, 256
 PER_CELL, FLAT_CELLS = 256, 2048
 SAMPLE, PER_CENTRE = 65_536, 8
 #: Scores that a block of queries and stored vectors has at once.
 BLOCK = 1 << 22
+#: Scores that are summed up at once, within a core's cache.
+INNER = 1 << 18
 REGION = 32_768
 MOST_QUERIES, MOST_STORED = 65_536, 262_144
 FIXED = 32_767
 COPIES = K + 1
+#: How much the cosine of 16-bit vectors is trusted to differ from that of the stored ones.
+SLACK = 1e-3
 
 
 @dataclass
 class Codebooks:
     """``cells`` is the first codebook, ``books`` the others; ``region`` has the region of each cell; ``probes`` is in how
-    many cells a vector is listed; ``asking`` and ``stored`` are the expected numbers of vectors of each region."""
+    many cells a vector is listed, at most where ``reach`` bounds by how much more it may lose there than in its own;
+    ``asking`` and ``stored`` are the expected numbers of vectors of each region."""
 
     cells: np.ndarray
     books: list[np.ndarray]
@@ -61,6 +73,7 @@ class Codebooks:
     probes: int
     asking: np.ndarray
     stored: np.ndarray
+    reach: float = np.inf
 
     @property
     def cell_type(self) -> type:
@@ -122,8 +135,8 @@ def sample_of(total: int) -> int:
     return min(total, max(PER_CENTRE * cells_of(total), min(SAMPLE, max(64 * WORDS, 32 * total // PER_CELL))))
 
 
-def fit(sample: np.ndarray, total: int, seed: int = 0) -> Codebooks:
-    """Codebooks for about ``total`` unit vectors of which ``sample`` is a sample."""
+def fit(sample: np.ndarray, total: int, seed: int = 0, least: float | None = None) -> Codebooks:
+    """Codebooks for about ``total`` unit vectors of which ``sample`` is a sample, for neighbours of at least the cosine ``least``."""
     rng = np.random.default_rng(seed)
     k = int(min(cells_of(total), max(1, len(sample) / PER_CENTRE)))
     cells = _kmeans(sample, k, 8, rng)
@@ -137,11 +150,11 @@ def fit(sample: np.ndarray, total: int, seed: int = 0) -> Codebooks:
     scale = total / max(1, len(sample))
     region = _regions(cells, np.bincount(near, minlength=len(cells)) * scale + 1e-9, REGION)
     some = sample[:16_384]
-    probes = _probes(some, cells, rng)
-    lists = _listed(some, cells, probes)
-    part = np.unique(region[lists] + np.arange(len(some))[:, None] * (region.max() + 1)) % (region.max() + 1)
+    probes, reach = (_probes(some, cells, rng), np.inf) if least is None else _reach(some, cells, rng, least)
+    lists = _reached(some, cells, _listed(some, cells, probes), reach)
+    part = np.unique((region[lists] + np.arange(len(some))[:, None] * (region.max() + 1))[lists >= 0]) % (region.max() + 1)
     scale, most = total / max(1, len(some)), int(region.max()) + 1
-    return Codebooks(cells, books, region, probes, np.bincount(region[lists[:, 0]], minlength=most) * scale, np.bincount(part, minlength=most) * scale)
+    return Codebooks(cells, books, region, probes, np.bincount(region[lists[:, 0]], minlength=most) * scale, np.bincount(part, minlength=most) * scale, reach)
 
 
 def _listed(x: np.ndarray, cells: np.ndarray, probes: int) -> np.ndarray:
@@ -156,12 +169,34 @@ def _listed(x: np.ndarray, cells: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
-def _probes(sample: np.ndarray, cells: np.ndarray, rng: np.random.Generator) -> int:
-    """In how many cells vectors must be listed so that enough of a vector's nearest in the sample are in its own cell."""
+def _reached(x: np.ndarray, cells: np.ndarray, near: np.ndarray, reach: float) -> np.ndarray:
+    """The cells of ``near`` that lose no more than ``reach`` against the first; -1 for the others."""
+    if reach == np.inf:
+        return near
+    loss = (cells * cells).sum(1)[near] / 2 - np.stack([np.einsum("nd,nd->n", x, cells[c]) for c in near.T], axis=1)
+    return np.where((loss <= loss[:, :1] + reach) | (np.arange(near.shape[1]) == 0), near, -1)
+
+
+def _turned(x: np.ndarray, near: np.ndarray, least: float) -> np.ndarray:
+    """Of each vector's ``near`` (n, k, d) those farther than the cosine ``least`` turned towards the vector to just that."""
+    cosine = np.einsum("nd,nkd->nk", x, near)[:, :, None]
+    aside = near - cosine * x[:, None, :]
+    length = np.sqrt((aside * aside).sum(2, keepdims=True))
+    edge = least * x[:, None, :] + (1 - least * least) ** 0.5 * aside / np.maximum(length, 1e-6)
+    return np.where((cosine < least) & (length > 1e-6), edge, near).astype(np.float32)
+
+
+def _some_nearest(sample: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the sample and the nearest of each in it."""
     asked = rng.choice(len(sample), min(512, len(sample)), replace=False)
     score = sample[asked] @ sample.T
     score[np.arange(len(asked)), asked] = -np.inf
-    top = _best(score, min(K, max(1, len(sample) - 1)))
+    return asked, _best(score, min(K, max(1, len(sample) - 1)))
+
+
+def _probes(sample: np.ndarray, cells: np.ndarray, rng: np.random.Generator) -> int:
+    """In how many cells vectors must be listed so that enough of a vector's nearest in the sample are in its own cell."""
+    asked, top = _some_nearest(sample, rng)
     half = (cells * cells).sum(1) / 2
     home = np.argmin(half - sample[asked] @ cells.T, axis=1)
     ranks = []
@@ -172,14 +207,30 @@ def _probes(sample: np.ndarray, cells: np.ndarray, rng: np.random.Generator) ->
     return min(len(cells), max(LEAST_PROBES, need))
 
 
+def _reach(sample: np.ndarray, cells: np.ndarray, rng: np.random.Generator, least: float) -> tuple[int, float]:
+    """In how many cells at most, and how far from their own, vectors must be listed so that of enough pairs at the cosine
+    ``least`` one is in the other's own cell."""
+    asked, top = _some_nearest(sample, rng)
+    half = (cells * cells).sum(1) / 2
+    ranks, reaches = [], []
+    for x, others in zip(sample[asked], _turned(sample[asked], sample[top], least), strict=True):
+        mine, theirs = half - x @ cells.T, half - others @ cells.T
+        there, here = mine[np.argmin(theirs, axis=1)], theirs[:, np.argmin(mine)]
+        reaches.append(np.minimum(there - mine.min(), here - theirs.min(1)))
+        ranks.append(np.minimum((mine < there[:, None]).sum(1), (theirs < here[:, None]).sum(1)))
+    need = int(np.quantile(np.concatenate(ranks), SUREST, method="higher")) + 1
+    return min(len(cells), max(LEAST_PROBES, need)), float(np.quantile(np.concatenate(reaches), SURE, method="higher")) + 1e-5
+
+
 def encode(x: np.ndarray, c: Codebooks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (n, 1 + books), norms of the reconstructions, and the nearest cells (n, probes), nearest first."""
+    """Codes (n, 1 + books), norms of the reconstructions, and the nearest cells (n, probes), nearest first, -1
+    for those beyond reach."""
     n = len(x)
     near = _listed(x, c.cells, max(c.probes, BEAM))
     codes = near[:, :BEAM, None].astype(np.int32)  # n, beam, levels so far
     rest = x[:, None, :] - c.cells[codes[:, :, 0]]  # what each beam leaves over
     cost = (rest * rest).sum(2)
-    near = near[:, : c.probes]
+    near = _reached(x, c.cells, near[:, : c.probes], c.reach)
     for book in c.books:
         step = (book * book).sum(1) - 2 * (rest.reshape(-1, x.shape[1]) @ book.T)
         total = (cost[:, :, None] + step.reshape(n, -1, len(book))).reshape(n, -1)
@@ -200,13 +251,82 @@ def _best(score: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-score, k - 1, axis=1)[:, :k]
 
 
-def search(c: Codebooks, queries: np.ndarray, own: np.ndarray, home: np.ndarray, stored: np.ndarray, codes: np.ndarray, norms: np.ndarray, listed: dict[int, np.ndarray], k: int = K) -> tuple[np.ndarray, np.ndarray]:
+def _scores(table: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows, for each stored vector and query."""
+    score, more = np.take(table, flat[:, 0], axis=0), np.empty((len(flat), table.shape[1]), np.float32)
+    for level in range(1, flat.shape[1]):
+        score += np.take(table, flat[:, level], axis=0, out=more, mode="clip")
+    return score
+
+
+def _nearest_stored(table: np.ndarray, q: np.ndarray, own: np.ndarray, members: np.ndarray, flat: np.ndarray, norms: np.ndarray, stored: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places among ``members`` and the cosines of each query's nearest: the best by table, ranked exactly."""
+    top = top_score = None
+    width, inner = max(RERANKED, BLOCK // len(q)), max(1, INNER // len(q))
+    for j in range(0, len(members), width):
+        block = members[j : j + width]
+        score = np.empty((len(q), len(block)), np.float32)
+        for i in range(0, len(block), inner):
+            part = block[i : i + inner]
+            score[:, i : i + inner] = (_scores(table, flat[part]) / norms[part, None]).T
+        if len(block) > RERANKED or top is not None:
+            best = _best(score, RERANKED)
+            found, score = block[best], np.take_along_axis(score, best, 1)
+        else:
+            found = np.broadcast_to(block, score.shape)
+        if top is not None:
+            found, score = np.hstack([top, found]), np.hstack([top_score, score])
+            best = _best(score, RERANKED)
+            found, score = np.take_along_axis(found, best, 1), np.take_along_axis(score, best, 1)
+        top, top_score = found, score
+    exact = np.einsum("nd,nrd->nr", q, stored[top])
+    exact[top == own[:, None]] = -np.inf
+    rank = np.lexsort((top, -exact), axis=1)[:, :k]
+    cosines = np.take_along_axis(exact, rank, 1)
+    return np.where(np.isfinite(cosines), np.take_along_axis(top, rank, 1), -1), cosines
+
+
+def _stored_within(table: np.ndarray, q: np.ndarray, own: np.ndarray, members: np.ndarray, flat: np.ndarray, bound: np.ndarray, stored: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_nearest_stored``, of those of at least the cosine ``least``: all whose score by table reaches their ``bound`` are
+    scored exactly."""
+    row, place, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+    width = max(1, INNER // len(q))
+    for j in range(0, len(members), width):
+        block = members[j : j + width]
+        possible = np.flatnonzero(_scores(table, flat[block]) >= bound[block, None])
+        for i in range(0, len(possible), 1 << 16):
+            at, ask = np.divmod(possible[i : i + (1 << 16)], len(q))
+            cosine = np.einsum("nd,nd->n", q[ask], stored[block[at]])
+            near = (cosine >= least) & (block[at] != own[ask])
+            row, place, value = np.append(row, ask[near]), np.append(place, block[at[near]]), np.append(value, cosine[near])
+            order = np.lexsort((place, -value, row))
+            order = order[np.arange(len(order)) - np.searchsorted(row[order], row[order]) < k]
+            row, place, value = row[order], place[order], value[order]
+    places, cosines = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -np.inf, np.float32)
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    places[row, rank], cosines[row, rank] = place, value
+    return places, cosines
+
+
+def _bounds(c: Codebooks, stored: np.ndarray, flat: np.ndarray, norms: np.ndarray, least: float) -> np.ndarray:
+    """The least sum by table that a query can have whose cosine with the stored vector is at least ``least``: the angle to the
+    reconstruction is no more than that to the vector and the one between these two."""
+    words, lean = c.words, np.empty(len(stored), np.float32)
+    for i in range(0, len(stored), 8192):
+        made = _scores(words, flat[i : i + 8192])
+        lean[i : i + 8192] = np.einsum("nd,nd->n", made, stored[i : i + 8192]) / norms[i : i + 8192]
+    angle = np.arccos(np.clip(lean, -1, 1)) + np.arccos(least)
+    return (np.cos(np.minimum(angle, np.pi)) - SLACK) * norms  # vectors have 16 bits
+
+
+def search(c: Codebooks, queries: np.ndarray, own: np.ndarray, home: np.ndarray, stored: np.ndarray, codes: np.ndarray, norms: np.ndarray, listed: dict[int, np.ndarray], k: int = K, least: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each query (with its cell in ``home`` and its own place among ``stored`` or -1) the places and cosines of its
-    ``k`` nearest stored vectors; -1 where there are fewer."""
+    ``k`` nearest stored vectors, of at least the cosine ``least``; -1 where there are fewer."""
     places = np.full((len(queries), k), -1, np.int64)
     cosines = np.full((len(queries), k), -np.inf, np.float32)
     offsets = np.cumsum([0, len(c.cells), *(len(b) for b in c.books)])[:-1]
     words, flat = c.words, codes + offsets[None, :]
+    bound = None if least is None else _bounds(c, stored, flat, norms, least)
     order = np.argsort(home, kind="stable")
     bounds = np.flatnonzero(np.diff(home[order], prepend=-1, append=-1))
     for a, b in pairwise(bounds):
@@ -219,31 +339,11 @@ def search(c: Codebooks, queries: np.ndarray, own: np.ndarray, home: np.ndarray,
             ask = asking[i : i + step]
             q = queries[ask]
             table = words @ q.T  # the products of all codewords; a codeword's row is contiguous
-            top = top_score = None
-            width = max(RERANKED, BLOCK // len(ask))
-            for j in range(0, len(members), width):
-                block = members[j : j + width]
-                score, more = np.take(table, flat[block, 0], axis=0), np.empty((len(block), len(ask)), np.float32)
-                for level in range(1, flat.shape[1]):
-                    score += np.take(table, flat[block, level], axis=0, out=more, mode="clip")
-                score /= norms[block, None]
-                score = np.ascontiguousarray(score.T)
-                if len(block) > RERANKED or top is not None:
-                    best = _best(score, RERANKED)
-                    found, score = block[best], np.take_along_axis(score, best, 1)
-                else:
-                    found = np.broadcast_to(block, score.shape)
-                if top is not None:
-                    found, score = np.hstack([top, found]), np.hstack([top_score, score])
-                    best = _best(score, RERANKED)
-                    found, score = np.take_along_axis(found, best, 1), np.take_along_axis(score, best, 1)
-                top, top_score = found, score
-            exact = np.einsum("nd,nrd->nr", q, stored[top])
-            exact[top == own[ask, None]] = -np.inf
-            rank = np.lexsort((top, -exact), axis=1)[:, :k]
-            m = rank.shape[1]
-            cosines[ask, :m] = np.take_along_axis(exact, rank, 1)
-            places[ask, :m] = np.where(np.isfinite(cosines[ask, :m]), np.take_along_axis(top, rank, 1), -1)
+            if least is None:
+                found, exact = _nearest_stored(table, q, own[ask], members, flat, norms, stored, k)
+            else:
+                found, exact = _stored_within(table, q, own[ask], members, flat, bound, stored, k, least)
+            places[ask, : found.shape[1]], cosines[ask, : found.shape[1]] = found, exact
     return places, cosines
 
 
@@ -288,7 +388,7 @@ def _joined(column: Any, kind: Any, width: int) -> np.ndarray:
     return _bytes(column)[0].copy().view(kind).reshape(-1, width)
 
 
-def fitted(base: DataFrame, sizes: dict[str, int]) -> dict[str, Codebooks]:
+def fitted(base: DataFrame, sizes: dict[str, int], least: float | None = None) -> dict[str, Codebooks]:
     """The codebooks of each model, fitted by one task a model from the rows of least id hash."""
     spark = base.sparkSession
     wanted = spark.createDataFrame([(m, n, sample_of(n)) for m, n in sizes.items()], "model string, _total long, _most int")
@@ -304,7 +404,7 @@ def fitted(base: DataFrame, sizes: dict[str, int]) -> dict[str, Codebooks]:
         order = np.lexsort((np.array(table.column("method_id").to_pylist(), object).astype(str), table.column("_h").to_numpy()))
         total, most = table.column("_total")[0].as_py(), table.column("_most")[0].as_py()
         taken = table.take(pa.array(order[:most]))
-        made = fit(_matrix(taken.column("embedding").combine_chunks()), total)
+        made = fit(_matrix(taken.column("embedding").combine_chunks()), total, least=least)
         return pa.table({"model": pa.array([table.column("model")[0].as_py()]), "books": pa.array([pickle.dumps(made)], pa.binary())})
 
     import pickle
@@ -313,8 +413,9 @@ def fitted(base: DataFrame, sizes: dict[str, int]) -> dict[str, Codebooks]:
     return {r["model"]: pickle.loads(r["books"]) for r in rows}
 
 
-def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
-    """(model, method_id, neighbour, cosine): the ``k`` nearest of each usable vector within its model."""
+def neighbours(vectors: DataFrame, k: int = K, least: float | None = None) -> DataFrame:
+    """(model, method_id, neighbour, cosine): the ``k`` nearest of each usable vector within its model; with ``least``, those of
+    them that are at least so similar, for which far fewer vectors are looked at."""
     spark = vectors.sparkSession
     base = cut(usable(vectors).withColumn("_copy", F.xxhash64("embedding")))
     sizes = {r["model"]: r["n"] for r in base.groupBy("model").agg(F.count("*").alias("n")).collect()}  # one row per model
@@ -326,17 +427,16 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
     crowded = cut(crowded)
     copies, index = None, base
     if not crowded.isEmpty():
-        index = base.join(crowded, ["model", "_copy"], "left_anti")
         group = ["model", "_copy"]
-        many = base.join(crowded, group).withColumn("_salt", F.pmod(F.xxhash64("method_id"), F.lit(1024)))
+        many = base.select("model", "method_id", "_copy").join(crowded, group).withColumn("_salt", F.pmod(F.xxhash64("method_id"), F.lit(1024)))
         few = many.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_salt").orderBy("method_id"))).filter(F.col("_r") <= COPIES)
         few = cut(few.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("method_id"))).filter(F.col("_r") <= COPIES).drop("_salt"))
-        index = index.unionByName(few.select(*index.columns))
         first = few.filter(F.col("_r") <= k).groupBy(*group).agg(F.collect_list("method_id").alias("_nearest"))
         others = many.join(few.select("model", "method_id"), ["model", "method_id"], "left_anti")
+        index = base.join(others.select("model", "method_id"), ["model", "method_id"], "left_anti")
         copies = others.join(first, group).select("model", "method_id", F.explode("_nearest").alias("neighbour"), F.lit(1.0).cast("float").alias("cosine"))
 
-    books = fitted(base.select("model", "method_id", "embedding"), sizes)
+    books = fitted(base.select("model", "method_id", "embedding"), sizes, least)
     # a 256th of the vectors at most, a root of them in great models, and BOOKS * WORDS codewords for each model
     shared = spark.sparkContext.broadcast(books)
     names = sorted(sizes)
@@ -353,16 +453,16 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
                     part = batch.take(pa.array(rows[i : i + 2048]))
                     c, x = shared.value[model], _matrix(part.column(2))
                     codes, norms, near = encode(x, c)
-                    unit = c.region[near] + first_unit[model]
-                    row = np.repeat(np.arange(len(x)), near.shape[1])
-                    order = np.lexsort((unit.ravel(), row))  # stable: a vector's cells within a region stay nearest first
-                    row, of = row[order], unit.ravel()[order]
+                    row, cell = np.nonzero(near >= 0)[0], near[near >= 0]
+                    unit = c.region[cell] + first_unit[model]
+                    order = np.lexsort((unit, row))  # stable: a vector's cells within a region stay nearest first
+                    row, of, own = row[order], unit[order], c.region[near[:, 0]] + first_unit[model]
                     first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (of[1:] != of[:-1])))
                     take = pa.array(row[first].astype(np.int32))
                     coded = np.hstack([codes[:, :1].astype(np.int32).view(np.uint8), codes[:, 1:].astype(np.uint8)])
                     raw = np.rint(x * FIXED).astype(np.int16)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(of[first], pa.int32()), pa.array(of[first] == unit[row[first], 0]), part.column(0).take(take), part.column(1).take(take), _binary(coded).take(take), pa.array(norms).take(take), _binary(raw).take(take), _binary(near.ravel()[order].astype(c.cell_type), np.append(first, len(order)) * np.dtype(c.cell_type).itemsize)],
+                        [pa.array(of[first], pa.int32()), pa.array(of[first] == own[row[first]]), part.column(0).take(take), part.column(1).take(take), _binary(coded).take(take), pa.array(norms).take(take), _binary(raw).take(take), _binary(cell[order].astype(c.cell_type), np.append(first, len(order)) * np.dtype(c.cell_type).itemsize)],
                         names=["unit", "home", "model", "method_id", "codes", "norm", "vector", "cells"],
                     )
 
@@ -406,24 +506,33 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
         listed = {int(of[by[a]]): owner[by[a:b]] for a, b in pairwise(bounds)}
         asking = np.flatnonzero(asks)
         home = cells[starts[asking]].astype(np.int64)
-        places, cosines = search(c, vectors[asking], asking, home, vectors, codes, norms, listed, k)
+        places, cosines = search(c, vectors[asking], asking, home, vectors, codes, norms, listed, k, least)
         row, col = np.nonzero(places >= 0)
-        return pa.table({"model": pa.array([model] * len(row), pa.string()), "method_id": pa.array(ids[asking[row]], pa.string()), "neighbour": pa.array(ids[places[row, col]], pa.string()), "cosine": pa.array(cosines[row, col], pa.float32())})
+        one, other, cosine = ids[asking[row]], ids[places[row, col]], cosines[row, col]
+        if least is not None:  # a pair counts for both
+            one, other, cosine = np.append(one, other), np.append(other, one), np.append(cosine, cosine)
+        return pa.table({"model": pa.array([model] * len(one), pa.string()), "method_id": pa.array(one, pa.string()), "neighbour": pa.array(other, pa.string()), "cosine": pa.array(cosine, pa.float32())})
 
     found = placed.groupBy("unit", "qs", "ss").applyInArrow(ask, result)
-    if any(s > 1 for _, s in split.values()):
+    if least is not None:  # found from both ends, in parts
+        found = found.groupBy("model", "method_id", "neighbour").agg(F.max("cosine").alias("cosine"))
+        order = Window.partitionBy("model", "method_id").orderBy(F.desc("cosine"), "neighbour")
+        found = found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+    elif any(s > 1 for _, s in split.values()):
         best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "neighbour"))), 1, k)
         found = found.groupBy("model", "method_id").agg(best.alias("_best")).select("model", "method_id", F.explode("_best").alias("_b")).select("model", "method_id", "_b.neighbour", (-F.col("_b.c")).alias("cosine"))
+    if least is not None:
+        found = cut(found)  # few rows, at which those who ask for them look twice
     return found.unionByName(copies) if copies is not None else found
 
 
 def similar_pairs(nearest: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    """(model, method_id_a, method_id_b, cosine): each pair once, the lesser id first, of those at least ``least`` similar.
+    """(model, method_id_a, method_id_b): each pair once, the lesser id first, of those at least ``least`` similar.
 
-    The few pairs near enough are scored again with the vectors as stored."""
-    near = nearest.filter(F.col("cosine") >= F.lit(least - 1e-3))
-    pairs = near.select("model", F.least("method_id", "neighbour").alias("method_id_a"), F.greatest("method_id", "neighbour").alias("method_id_b")).distinct()
-    pairs = cut(pairs)
+    The few pairs within ``SLACK`` of that are scored again with the vectors as stored."""
+    named = ["model", F.least("method_id", "neighbour").alias("method_id_a"), F.greatest("method_id", "neighbour").alias("method_id_b")]
+    sure = nearest.filter(F.col("cosine") >= F.lit(least + SLACK)).select(*named)
+    pairs = cut(nearest.filter((F.col("cosine") >= F.lit(least - SLACK)) & (F.col("cosine") < F.lit(least + SLACK))).select(*named).distinct())
     asked = pairs.select("model", F.explode(F.array("method_id_a", "method_id_b")).alias("method_id")).distinct()
     known = usable(vectors.join(asked, ["model", "method_id"], "left_semi"))
     unit = F.transform("embedding", lambda x: x.cast("double"))
@@ -432,4 +541,4 @@ def similar_pairs(nearest: DataFrame, vectors: DataFrame, least: float) -> DataF
     a, b = (known.select("model", F.col("method_id").alias(f"method_id_{s}"), F.col("v").alias(f"v_{s}")) for s in "ab")
     both = pairs.join(a, ["model", "method_id_a"]).join(b, ["model", "method_id_b"])
     cosine = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return both.select("model", "method_id_a", "method_id_b", cosine.alias("cosine")).filter(F.col("cosine") >= least)
+    return sure.unionByName(both.filter(cosine >= least).select("model", "method_id_a", "method_id_b")).distinct()

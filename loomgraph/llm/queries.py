@@ -64,7 +64,8 @@ def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = neighbours.similar_pairs(p4_neighbours(spark, folder), table(spark, folder, "method_embeddings"), SIMILAR)
+    vectors = table(spark, folder, "method_embeddings")
+    pairs = neighbours.similar_pairs(neighbours.neighbours(vectors, least=SIMILAR - neighbours.SLACK), vectors, SIMILAR)
     return pairs.select("model", "method_id_a", "method_id_b")
 
 

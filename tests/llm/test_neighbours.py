@@ -84,3 +84,37 @@ def test_codes_rebuild_vectors():
     made = sum(level[codes[:, i]] for i, level in enumerate([c.cells, *c.books]))
     assert np.allclose(np.linalg.norm(made, axis=1), norms, atol=1e-3)
     assert ((made - x[:500]) ** 2).sum(1).mean() < 0.15 and near.shape[1] == c.probes
+
+
+def test_similar_pairs_of_noise_need_few_cells(spark, monkeypatch):
+    """Vectors without structure share cells with their nearest only if listed in hundreds; pairs at a high cosine don't."""
+    monkeypatch.setattr(nb, "PER_CELL", 16)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 48)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(600):  # pairs at cosines from 0.91 to 1
+        u = rng.normal(size=48)
+        u -= (u @ x[i]) * x[i]
+        c = 0.91 + 0.09 * i / 600
+        x[5000 + i] = c * x[i] + (1 - c * c) ** 0.5 * u / np.linalg.norm(u)
+    assert nb.fit(x, len(x)).probes > 100
+    assert all(nb.fit(x[:n], n, least=0.919).probes <= 32 for n in (1500, 3000, 6000))
+    df = spark.createDataFrame(rows_of(x), SCHEMA)
+    got = {(r["method_id_a"], r["method_id_b"]) for r in nb.similar_pairs(nb.neighbours(df, least=0.919), df, 0.92).collect()}
+    s, _ = exact(x)
+    want = {(f"{i:05d}", f"{j:05d}") for i, j in zip(*np.nonzero(s >= 0.92), strict=True) if i < j}
+    assert got <= want and len(got) >= 0.99 * len(want) > 500
+
+
+def test_least_cosine_leaves_of_the_nearest_what_reaches_it(spark, monkeypatch):
+    """Crowds of near and of equal vectors, with regions split by query and stored vector: as the five nearest, filtered."""
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(40, 24)), 12, axis=0) + 0.25 * rng.normal(size=(480, 24))
+    x = np.vstack([x, np.repeat(x[:3], 9, axis=0)]).astype(np.float32)
+    df = spark.createDataFrame(rows_of(x), SCHEMA)
+    want = nb.neighbours(df).filter("cosine >= 0.9").collect()
+    monkeypatch.setattr(nb, "MOST_QUERIES", 100)
+    monkeypatch.setattr(nb, "MOST_STORED", 200)
+    got = nb.neighbours(df, least=0.9).collect()
+    key = lambda rows: sorted((r["method_id"], r["neighbour"], round(r["cosine"], 4)) for r in rows)
+    assert key(got) == key(want) and len(got) > 500
