@@ -82,7 +82,7 @@ def implementations(classes: DataFrame, inheritance: DataFrame, transitive: bool
 
     Short names meet short names, so types of equal short names share their implementers. ``transitive`` follows them
     down. Short names lead into each other densely, so the result is the square of the graph: each task has the graph at
-    hand and writes the rows of its types without storing any; a graph too large for that is walked hop by hop."""
+    hand and writes the rows of some implementers without storing any; a graph too large for that is walked hop by hop."""
     names = classes.select("full_name").filter("full_name is not null").distinct().withColumn("short", ids.short_name("full_name"))
     direct = inheritance.filter(F.col("relation").isin("implements", "extends")).select(ids.short_name("target").alias("type"), F.col("source").alias("implementer")).distinct()
     direct = direct.join(names.select(F.col("full_name").alias("implementer")), "implementer", "left_semi")
@@ -98,7 +98,12 @@ def implementations(classes: DataFrame, inheritance: DataFrame, transitive: bool
 
 
 def _implementations_at_hand(direct: DataFrame) -> DataFrame:
-    """All (type, implementer, distance) that follow from ``direct`` (type, implementer); no type meets another in a join."""
+    """All (type, implementer, distance) that follow from ``direct`` (type, implementer); no type meets another in a join.
+
+    Each task walks up from some implementers and returns their rows type by type, for as many implementers at once as are
+    walked together. So each name stands in runs or comes again soon, and the names of a task fit a Parquet dictionary: the
+    result, which is all that is stored, takes less than a byte a row. All implementers of one type at a time would be
+    written out in full."""
     import pyarrow as pa
 
     spark = direct.sparkSession
@@ -107,24 +112,24 @@ def _implementations_at_hand(direct: DataFrame) -> DataFrame:
     names, (of, below) = walks.coded(types, shorts)
     implementers, (who,) = walks.coded(rows.column("implementer").to_pylist())
     by = np.argsort(who, kind="stable")  # each implementer's clauses stand together
+    starts = np.split(of[by], np.flatnonzero(np.diff(who[by])) + 1)
     sources = np.unique(of)
-    shared = spark.sparkContext.broadcast((walks.Graph(len(names), of, below), of[by], np.flatnonzero(np.diff(who[by], prepend=-1)), sources, pa.array(names, pa.string()), pa.array(implementers, pa.string())))
+    tasks = [(i, j, k, n) for i, j in walks.parts(implementers, walks.A_TASK) for k, n in walks.parts([names[s] for s in sources])]
+    shared = spark.sparkContext.broadcast((walks.Graph(len(names), below, of), starts, pa.array([names[s] for s in sources], pa.string()), sources, pa.array(implementers, pa.string()), tasks))
 
     def run(batches: Iterator) -> Iterator:
-        graph, clause, first, sources, names, implementers = shared.value
+        graph, starts, types, sources, implementers, tasks = shared.value
         for batch in batches:
-            wanted = sources[batch.column(0).to_numpy()]
-            for i in range(0, len(wanted), graph.together):
-                part = wanted[i : i + graph.together]
-                for source, reached in zip(part, graph.distances([np.array([s]) for s in part]), strict=True):
-                    least = np.minimum.reduceat(reached[clause], first)
-                    found = np.flatnonzero(least < walks.FAR)
+            for first, last, low, high in (tasks[x] for x in batch.column(0).to_pylist()):
+                for i in range(first, last, graph.together):
+                    far = graph.distances(starts[i : min(last, i + graph.together)]).T[sources[low:high]]
+                    found = np.flatnonzero(far < walks.FAR)
                     for j in range(0, len(found), 65_536):
                         some = found[j : j + 65_536]
-                        yield pa.RecordBatch.from_arrays([pa.repeat(names[int(source)], len(some)), implementers.take(pa.array(some)), pa.array(least[some] + 1, pa.int32())], names=["type", "implementer", "distance"])
+                        type_, implementer = np.divmod(some, far.shape[1])
+                        yield pa.RecordBatch.from_arrays([types.take(pa.array(type_ + low)), implementers.take(pa.array(implementer + i)), pa.array(far.ravel()[some] + 1, pa.int32())], names=["type", "implementer", "distance"])
 
-    n = len(sources)
-    return spark.range(0, n, 1, max(1, -(-n // walks.TOGETHER))).mapInArrow(run, "type string, implementer string, distance int")
+    return spark.range(0, len(tasks), 1, max(1, len(tasks))).mapInArrow(run, "type string, implementer string, distance int")
 
 
 def declared_types(classes: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import numpy as np
 AT_HAND = 1_000_000
 #: Starts walked together, one bit of a word each, and the distances that are kept for them at once.
 TOGETHER, DISTANCES = 64, 1 << 24
+#: Starts that a task walks from, and bytes of names that its rows may hold: half of what a Parquet dictionary takes.
+A_TASK, NAMES = 8 * TOGETHER, 1 << 19
 #: The distance of what isn't reached.
 FAR = np.iinfo(np.int32).max
 
@@ -53,3 +55,15 @@ def coded(*columns: list) -> tuple[list, list[np.ndarray]]:
     values = sorted(set().union(*columns))
     place = {v: i for i, v in enumerate(values)}
     return values, [np.fromiter((place[v] for v in c), np.int64, len(c)) for c in columns]
+
+
+def parts(values: list[str], most: int | None = None) -> list[tuple[int, int]]:
+    """(first, last) of ranges that ``values`` are cut into: ``NAMES`` bytes each and ``most`` values, but one value at least."""
+    out, first, held = [], 0, 0
+    for i, v in enumerate(values):
+        more = len(v.encode()) + 4
+        if i > first and (held + more > NAMES or i - first == most):
+            out.append((first, i))
+            first, held = i, 0
+        held += more
+    return [*out, (first, len(values))] if values else []

@@ -56,6 +56,32 @@ def test_what_implementations_reach_is_not_stored(spark, dense):
     assert stored(spark) - before < 200_000  # the result has 160,000 rows, the graph 800
 
 
+def test_what_implementations_return_takes_little_disk(spark, tmp_path):
+    rng = random.Random(3)
+    owners = [f"{rng.getrandbits(1200):x}.X{i}" for i in range(4000)]  # 1.2 MB of names, more than a Parquet dictionary takes
+    clauses = [(f"p.T{(i + 1) % 60}", f"T{i}", "extends") for i in range(60)] + [(o, f"T{rng.randrange(60)}", "extends") for o in owners]
+    classes = spark.createDataFrame([(s,) for s, _, _ in clauses], "full_name string")
+    lookups.implementations(classes, spark.createDataFrame(clauses, "source string, target string, relation string"), transitive=True).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out")).select("type", "implementer").distinct()
+    assert got.count() == 60 * 4060
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 4_000_000  # 243,600 rows; the names alone are 1.2 MB
+
+
+def test_parts_of_names(monkeypatch):
+    monkeypatch.setattr(walks, "NAMES", 20)
+    assert walks.parts([]) == []
+    assert walks.parts(["a"] * 9) == [(0, 4), (4, 8), (8, 9)]
+    assert walks.parts(["a"] * 9, 3) == [(0, 3), (3, 6), (6, 9)]
+    assert walks.parts(["a", "b" * 30, "\u00e9" * 8, "c"]) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+
+
+def test_implementations_in_parts(spark, dense, monkeypatch):
+    rows = lambda: sorted(tuple(r) for r in lookups.implementations(*dense, transitive=True).collect())
+    whole = rows()
+    monkeypatch.setattr(walks, "NAMES", 1000)
+    assert rows() == whole
+
+
 def test_implementations_of_a_graph_too_large_for_a_task(spark, dense, monkeypatch):
     rows = lambda: {tuple(r) for r in lookups.implementations(*dense, transitive=True).collect()}
     at_hand = rows()
