@@ -112,17 +112,18 @@ def _implementations_at_hand(direct: DataFrame) -> DataFrame:
     names, (of, below) = walks.coded(types, shorts)
     implementers, (who,) = walks.coded(rows.column("implementer").to_pylist())
     by = np.argsort(who, kind="stable")  # each implementer's clauses stand together
-    starts = np.split(of[by], np.flatnonzero(np.diff(who[by])) + 1)
+    ends = np.searchsorted(who[by], np.arange(len(implementers)), side="right")
     sources = np.unique(of)
     tasks = [(i, j, k, n) for i, j in walks.parts(implementers, walks.A_TASK) for k, n in walks.parts([names[s] for s in sources])]
-    shared = spark.sparkContext.broadcast((walks.Graph(len(names), below, of), starts, pa.array([names[s] for s in sources], pa.string()), sources, pa.array(implementers, pa.string()), tasks))
+    shared = spark.sparkContext.broadcast((walks.Graph(len(names), below, of), of[by], ends, pa.array([names[s] for s in sources], pa.string()), sources, pa.array(implementers, pa.string()), tasks))
 
     def run(batches: Iterator) -> Iterator:
-        graph, starts, types, sources, implementers, tasks = shared.value
+        graph, clauses, ends, types, sources, implementers, tasks = shared.value
         for batch in batches:
             for first, last, low, high in (tasks[x] for x in batch.column(0).to_pylist()):
                 for i in range(first, last, graph.together):
-                    far = graph.distances(starts[i : min(last, i + graph.together)]).T[sources[low:high]]
+                    own = range(i, min(last, i + graph.together))
+                    far = graph.distances([clauses[ends[x - 1] if x else 0 : ends[x]] for x in own]).T[sources[low:high]]
                     found = np.flatnonzero(far < walks.FAR)
                     for j in range(0, len(found), 65_536):
                         some = found[j : j + 65_536]
